@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker tokenises at a time; a longer text is one slice by itself.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _FOLDERS: dict[str, str] = {}
 

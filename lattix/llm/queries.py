@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .decontaminate import op10_decontamination
+from .langid import op5_language_id
+from .quality import op1_quality
 from .warc import op8_warc
 
-QUERIES = {"op8_warc": op8_warc, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_quality": op1_quality, "op5_language_id": op5_language_id, "op8_warc": op8_warc, "op10_decontamination": op10_decontamination}
 
 ORACLE_SQL = {
     "op8_warc": """
