@@ -6,13 +6,24 @@ from .decontaminate import op10_decontamination
 from .html_text import op6_html
 from .langid import op5_language_id
 from .mix import op7_mixing
+from .ngram_join import op3_ngram_join
 from .quality import op1_quality
 from .shard import op9_sharding
 from .warc import op8_warc
 
-QUERIES = {"op1_quality": op1_quality, "op5_language_id": op5_language_id, "op6_html": op6_html, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_quality": op1_quality, "op3_ngram_join": op3_ngram_join, "op5_language_id": op5_language_id, "op6_html": op6_html, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination}
 
 ORACLE_SQL = {
+    "op3_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), '[^ ]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM o JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 90 * (x.n + y.n - c)),
+d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT x, d.b FROM r JOIN d ON r.y = d.a)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(m, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM r GROUP BY x) USING (doc_id)""",
     "op8_warc": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT d, min(page_id) AS first_page FROM p WHERE n >= 100 GROUP BY d)
