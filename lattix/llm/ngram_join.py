@@ -117,6 +117,8 @@ def _roots(code: np.ndarray, of: np.ndarray, j: np.ndarray, measure: Measure) ->
     empties = np.bincount(owner, size == 0, len(j))
     keep = (size > 0) | (empties > np.minimum(SPARE, differ))[owner]
     root = mix(total ^ mix((j[owner].astype(np.uint64) << np.uint64(40)) | part.astype(np.uint64)))
+    # The lowest bit tells the two ranges apart that a set can belong to.
+    root = (root << np.uint64(1)) | (j[owner] & 1).astype(np.uint64)
     return owner[keep], root[keep].view(np.int64), size[keep].astype(np.int32)
 
 
@@ -195,7 +197,7 @@ def _to_hubs(batches):
             hub[root == last_root] = last_hub
         last_root, last_hub = root[-1], hub[-1]
         keep = one != hub
-        yield pa.RecordBatch.from_arrays([pa.array(one[keep]), pa.array(hub[keep]), batch.column("size").filter(pa.array(keep))], names=["class_id", "hub", "size"])
+        yield pa.RecordBatch.from_arrays([pa.array(one[keep]), pa.array(hub[keep]), pa.array((root[keep] & 1).astype(np.int32)), batch.column("size").filter(pa.array(keep))], names=["class_id", "hub", "range", "size"])
 
 
 #: What a node has besides its bitmap.
@@ -385,7 +387,7 @@ def link_components(documents: DataFrame, width: int = 5, p: int = 4, q: int = 5
     shared = store(hung.repartition("root").sortWithinPartitions("root", "class_id").mapInArrow(_shared_roots, hung.schema))
     degree = shared.groupBy("class_id").agg(F.count("*").alias("degree"))
     ranked = shared.join(degree, "class_id").repartition("root").sortWithinPartitions("root", F.desc("degree"), "class_id")
-    to_hub = store(ranked.mapInArrow(_to_hubs, "class_id long, hub long, size int").groupBy("class_id", "hub").agg(F.sum("size").alias("overlap")))
+    to_hub = store(ranked.mapInArrow(_to_hubs, "class_id long, hub long, range int, size int").groupBy("class_id", "hub", "range").agg(F.sum("size").alias("overlap")))
     sizes = classes.select("class_id", "n")
     proven = to_hub.join(sizes, "class_id").join(sizes.select(F.col("class_id").alias("hub"), F.col("n").alias("m")), "hub")
     proven = proven.where(F.col("overlap") * (p + q) >= p * (F.col("n") + F.col("m")))
