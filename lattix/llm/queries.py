@@ -6,13 +6,14 @@ from .ann import op2_nearest
 from .decontaminate import op10_decontamination
 from .html_text import op6_html
 from .langid import op5_language_id
+from .line_dedup import op4_line_dedup
 from .mix import op7_mixing
 from .ngram_join import op3_ngram_join
 from .quality import op1_quality
 from .shard import op9_sharding
 from .warc import op8_warc
 
-QUERIES = {"op1_quality": op1_quality, "op2_nearest": op2_nearest, "op3_ngram_join": op3_ngram_join, "op5_language_id": op5_language_id, "op6_html": op6_html, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_quality": op1_quality, "op2_nearest": op2_nearest, "op3_ngram_join": op3_ngram_join, "op4_line_dedup": op4_line_dedup, "op5_language_id": op5_language_id, "op6_html": op6_html, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination}
 
 ORACLE_SQL = {
     "op3_ngram_join": r"""
