@@ -1 +1 @@
-
+"""The operators of arrays."""

@@ -1 +1 @@
-
+"""Storage of arrays."""
