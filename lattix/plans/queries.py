@@ -1,4 +1,456 @@
-"""The queries over array views of the tables, and their SQL."""
+"""The queries: each operator over array views of the tables, with DuckDB SQL for those that SQL can express.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Views: E embeddings (vec_id, position), EL their labels, V event values, U users of events, O order
+prices, P and PS part prices and sizes, C customer balances, G lineitem quantities by supplier and
+line number.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+import lattix as xp
+
+from ..array import Array
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _view(spark, sf_dir, table, key, value, dtype, chunks) -> Array:
+    return xp.from_table(_table(spark, sf_dir, table).select(F.col(key).alias("_k"), F.col(value).alias("_v")), ["_k"], "_v", dtype=dtype, chunks=chunks)
+
+
+def E(spark, d) -> Array:
+    rows = _table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "x")).select("vec_id", "k", F.col("x").cast("double").alias("x"))
+    n = rows.agg(F.max("vec_id")).first()[0] + 1
+    return xp.from_table(rows, ["vec_id", "k"], "x", (n, 64), "float64", (1000, 16))
+
+
+def EL(spark, d):
+    return _view(spark, d, "embeddings", "vec_id", "label", "int32", 1000)
+
+
+def V(spark, d):
+    return _view(spark, d, "events", "event_id", "value", "float64", 1000)
+
+
+def U(spark, d):
+    return _view(spark, d, "events", "event_id", "user_id", "int64", 1000)
+
+
+def O(spark, d):  # noqa: E743
+    return _view(spark, d, "orders", "o_orderkey", "o_totalprice", "float64", 5000)
+
+
+def P(spark, d):
+    return _view(spark, d, "part", "p_partkey", "p_retailprice", "float64", 500)
+
+
+def PS(spark, d):
+    return _view(spark, d, "part", "p_partkey", "p_size", "int32", 500)
+
+
+def C(spark, d):
+    return _view(spark, d, "customer", "c_custkey", "c_acctbal", "float64", 500)
+
+
+def G(spark, d) -> Array:
+    sums = _table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("i"), (F.col("l_linenumber") - 1).cast("long").alias("j")).agg(F.sum("l_quantity").alias("q"))
+    n, m = sums.agg(F.max("i") + 1, F.max("j") + 1).first()
+    places = spark.range(n).toDF("i").crossJoin(F.broadcast(spark.range(m).toDF("j")))
+    full = places.join(sums, ["i", "j"], "left").select("i", "j", F.coalesce("q", F.lit(0.0)).alias("q"))
+    return xp.from_table(full, ["i", "j"], "q", (n, m), "float64", (25, 7))
+
+
+def _over(columns: dict[str, Array]) -> DataFrame:
+    """Arrays of one shape as a table: i0, i1, ... and a column for each; what shares a table isn't joined."""
+    names = list(columns)
+    arrays = [columns[n] for n in names]
+    out = xp.array.combine(lambda *cs: F.struct(*[c.alias(n) for n, c in zip(names, cs, strict=True)]), arrays, np.float64)
+    return out.base().select(*[c.alias(f"i{i}") for i, c in enumerate(out.coordinates)], out.column.alias("_s")).select(*[f"i{i}" for i in range(out.ndim)], "_s.*")
+
+
+def _out(x: Array, name: str = "v", digits: int | None = None) -> DataFrame:
+    df = x.cells(name)
+    for i in range(x.ndim):
+        df = df.withColumnRenamed(f"d{i}", f"i{i}")
+    return df.withColumn(name, F.round(name, digits)) if digits is not None else df
+
+
+def _rounded(df: DataFrame, digits: int = 6, skip=()) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" and c not in skip else F.col(c) for c, t in df.dtypes])
+
+
+QUERIES, ORACLE_SQL = {}, {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_E = "(SELECT vec_id AS i, unnest(range(64)) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
+_G = "(SELECT i, j, coalesce(q, 0) AS q FROM (SELECT unnest(range((SELECT max(l_suppkey) + 1 FROM lineitem))) AS i) CROSS JOIN (SELECT unnest(range((SELECT max(l_linenumber) FROM lineitem))) AS j) LEFT JOIN (SELECT l_suppkey AS i, l_linenumber - 1 AS j, sum(l_quantity) AS q FROM lineitem GROUP BY ALL) USING (i, j))"
+
+
+@_query(f"SELECT j AS i0, round(sum(x), 6) AS v FROM {_E} GROUP BY j")
+def sum_axis0(spark, d):
+    return _out(xp.sum(E(spark, d), axis=0), digits=6)
+
+
+@_query("SELECT event_id AS i0, round(value * 2 + 1.5, 6) AS a, round(value - value * value, 6) AS b, round(value / (value * value + 1), 9) AS c, round(-value, 6) AS n FROM events")
+def ew_arith(spark, d):
+    v = V(spark, d)
+    return _rounded(_over({"a": v * 2.0 + 1.5, "b": v - v * v, "c": v / (v * v + 1.0), "n": -v}), 6, ("c",)).withColumn("c", F.round("c", 9))
+
+
+@_query("SELECT event_id AS i0, round(exp(value / 1000), 9) AS e, round(ln(value * value + 1), 9) AS l, round(sin(value), 9) AS s, round(cos(value), 9) AS c, round(atan(value), 9) AS t, round(sqrt(abs(value)), 9) AS r, round(tanh(value / 100), 9) AS h, round(log2(value * value + 1), 9) AS l2 FROM events")
+def ew_math(spark, d):
+    v = V(spark, d)
+    square = xp.square(v) + 1.0
+    return _rounded(_over({"e": xp.exp(v / 1000.0), "l": xp.log(square), "s": xp.sin(v), "c": xp.cos(v), "t": xp.atan(v), "r": xp.sqrt(abs(v)), "h": xp.tanh(v / 100.0), "l2": xp.log2(square)}), 9)
+
+
+@_query("SELECT event_id AS i0, value > 50 AS g, value <= 10 OR value > 90 AS o, NOT (value < 50) AS n, (value > 20) <> (value > 60) AS x, user_id % 7 = 3 AS q FROM events")
+def ew_cmp_logic(spark, d):
+    v, u = V(spark, d), U(spark, d)
+    return _over({"g": v > 50.0, "o": xp.logical_or(v <= 10.0, v > 90.0), "n": xp.logical_not(v < 50.0), "x": xp.logical_xor(v > 20.0, v > 60.0), "q": u % 7 == 3})
+
+
+@_query("SELECT event_id AS i0, user_id & 12 AS a, user_id | 5 AS o, xor(user_id, 9) AS x, ~user_id AS n, user_id << 3 AS l, user_id >> 2 AS r FROM events")
+def ew_bitwise(spark, d):
+    u = U(spark, d)
+    return _over({"a": u & 12, "o": u | 5, "x": u ^ 9, "n": ~u, "l": u << 3, "r": u >> 2})
+
+
+@_query("SELECT event_id AS i0, floor(value) AS f, ceil(value) AS c, trunc(value) AS t, round_even(value * 4, 0) AS r, sign(value - 50) AS s FROM events")
+def ew_round_floor(spark, d):
+    v = V(spark, d)
+    return _over({"f": xp.floor(v), "c": xp.ceil(v), "t": xp.trunc(v), "r": xp.round(v * 4.0), "s": xp.sign(v - 50.0)})
+
+
+@_query("SELECT o_orderkey AS i0, CAST(floor(o_custkey_ / 7.0) AS BIGINT) AS q, ((o_custkey_ % 7) + 7) % 7 AS m FROM (SELECT o_orderkey, o_custkey - 500 AS o_custkey_ FROM orders)")
+def ew_floor_divide(spark, d):
+    c = _view(spark, d, "orders", "o_orderkey", "o_custkey", "int64", 5000) - 500
+    return _over({"q": c // 7, "m": c % 7})
+
+
+@_query("SELECT event_id AS i0, greatest(value, user_id) AS a, least(value, user_id) AS i, round(sqrt(value * value + user_id * user_id), 6) AS h, round(atan2(value, user_id + 1), 9) AS t FROM events")
+def ew_binary(spark, d):
+    v, u = V(spark, d), U(spark, d).astype("float64")
+    return _over({"a": xp.maximum(v, u), "i": xp.minimum(v, u), "h": xp.hypot(v, u), "t": xp.atan2(v, u + 1.0)}).select("i0", "a", "i", F.round("h", 6).alias("h"), F.round("t", 9).alias("t"))
+
+
+@_query("SELECT event_id AS i0, least(greatest(value, 25), 75) AS c, CASE WHEN value > 50 THEN value ELSE -1 END AS w FROM events")
+def clip_where(spark, d):
+    v = V(spark, d)
+    return _over({"c": xp.clip(v, 25.0, 75.0), "w": xp.where(v > 50.0, v, -1.0)})
+
+
+@_query("SELECT event_id AS i0, CAST(round(value * 100) AS BIGINT) AS v FROM (SELECT event_id, trunc(value * 100) / 100 AS value FROM events)")
+def astype_int(spark, d):
+    return _out(xp.round(xp.trunc(V(spark, d) * 100.0) / 100.0 * 100.0).astype("int64"))
+
+
+@_query(f"SELECT (i - 10) // 3 AS i0, j - 4 AS i1, x AS v FROM {_E} WHERE i >= 10 AND i < 200 AND (i - 10) % 3 = 0 AND j >= 4 AND j < 20")
+def index_slice(spark, d):
+    return _out(E(spark, d)[10:200:3, 4:20])
+
+
+@_query("SELECT (400 - event_id) // 5 AS i0, value AS v FROM events WHERE event_id <= 400 AND event_id > 100 AND (400 - event_id) % 5 = 0")
+def index_negative_step(spark, d):
+    return _out(V(spark, d)[400:100:-5])
+
+
+@_query(f"SELECT p AS i0, j AS i1, x AS v FROM {_E} JOIN (VALUES (0, 7), (1, 3), (2, 7), (3, 499)) t(p, r) ON i = r")
+def take(spark, d):
+    return _out(xp.take(E(spark, d), np.array([7, 3, 7, 499]), axis=0))
+
+
+@_query(f"SELECT i - 25 AS i0, j AS i1, q AS v FROM {_G} WHERE i >= 25 AND i < 50")
+def block_view(spark, d):
+    return _out(G(spark, d).blocks[1])
+
+
+@_query("WITH n AS (SELECT count(*) AS n FROM events) SELECT (n - 1 - event_id + 3) % n AS i0, value AS v FROM events, n")
+def flip_roll(spark, d):
+    return _out(xp.roll(xp.flip(V(spark, d)), 3))
+
+
+@_query("WITH n AS (SELECT count(*) AS n FROM part) SELECT p_partkey AS i0, p_retailprice AS v FROM part UNION ALL SELECT p_partkey + n, -p_retailprice FROM part, n")
+def concat(spark, d):
+    p = P(spark, d)
+    return _out(xp.concat([p, -p]))
+
+
+@_query("SELECT p_partkey AS i0, 0 AS i1, p_retailprice AS v FROM part UNION ALL SELECT p_partkey, 1, CAST(p_size AS DOUBLE) FROM part")
+def stack(spark, d):
+    return _out(xp.stack([P(spark, d), PS(spark, d).astype("float64")], axis=1))
+
+
+@_query(f"SELECT (i * 64 + j) // 128 AS i0, (i * 64 + j) % 128 AS i1, x AS v FROM {_E}")
+def reshape_flatten(spark, d):
+    return _out(xp.reshape(xp.flatten(E(spark, d)), (-1, 128)))
+
+
+@_query(f"SELECT j AS i0, i AS i1, x AS v FROM {_E}")
+def transpose(spark, d):
+    return _out(E(spark, d).T)
+
+
+@_query("WITH n AS (SELECT count(*) AS n FROM supplier) SELECT s_suppkey * 2 + r + t * 2 * n AS i0, s_acctbal AS v FROM supplier, n, (SELECT unnest(range(2)) AS r), (SELECT unnest(range(3)) AS t)")
+def repeat_tile(spark, d):
+    s = _view(spark, d, "supplier", "s_suppkey", "s_acctbal", "float64", 25)
+    return _out(xp.tile(xp.repeat(s, 2), (3,)))
+
+
+@_query("WITH n AS (SELECT count(*) AS n FROM supplier) SELECT s_suppkey + 2 AS i0, s_acctbal AS v FROM supplier UNION ALL SELECT unnest([0, 1]), 99 UNION ALL SELECT n + 2, 99 FROM n")
+def pad_constant(spark, d):
+    s = _view(spark, d, "supplier", "s_suppkey", "s_acctbal", "float64", 25)
+    return _out(xp.pad(s, ((2, 1),), constant_values=99.0))
+
+
+@_query(f"SELECT i AS i0, j AS i1, CASE WHEN j <= i + 1 THEN q ELSE 0 END AS l, CASE WHEN j >= i - 1 THEN q ELSE 0 END AS u FROM {_G}")
+def tril_triu(spark, d):
+    g = G(spark, d)
+    return _over({"l": xp.tril(g, k=1), "u": xp.triu(g, k=-1)})
+
+
+@_query("SELECT y AS i0, x AS i1, x * 10 + y AS v FROM (SELECT unnest(range(30)) AS y), (SELECT unnest(range(20)) AS x)")
+def meshgrid_xy(spark, d):
+    a, b = xp.meshgrid(xp.arange(20), xp.arange(30))
+    return _out(a * 10 + b)
+
+
+@_query("SELECT i AS i0, j AS i1, CASE WHEN j - i = 2 THEN 1.0 ELSE 0.0 END AS e, i * 0.5 AS l, CAST(7 AS BIGINT) AS f FROM (SELECT unnest(range(20)) AS i), (SELECT unnest(range(15)) AS j)")
+def creation(spark, d):
+    shape = (20, 15)
+    return _over({"e": xp.eye(20, 15, k=2), "l": xp.broadcast_to(xp.reshape(xp.linspace(0.0, 9.5, 20), (20, 1)), shape), "f": xp.full(shape, 7)})
+
+
+@_query(f"SELECT i AS i0, 0 AS i1, round(avg(x), 9) AS v FROM {_E} GROUP BY i")
+def mean_keepdims(spark, d):
+    return _out(xp.mean(E(spark, d), axis=1, keepdims=True), digits=9)
+
+
+@_query(f"SELECT i AS i0, min(x) AS lo, max(x) AS hi FROM {_E} GROUP BY i")
+def minmax(spark, d):
+    e = E(spark, d)
+    return _over({"lo": xp.min(e, axis=1), "hi": xp.max(e, axis=1)})
+
+
+@_query(f"SELECT j AS i0, round(var_samp(x), 9) AS v, round(stddev_pop(x), 9) AS s FROM {_E} GROUP BY j")
+def var_std_corr(spark, d):
+    e = E(spark, d)
+    return _rounded(_over({"v": xp.var(e, axis=0, correction=1.0), "s": xp.std(e, axis=0)}), 9)
+
+
+@_query(f"SELECT i AS i0, arg_max(j, x) AS hi, arg_min(j, x) AS lo FROM (SELECT * FROM {_E} ORDER BY i, j) GROUP BY i")
+def argmax_argmin(spark, d):
+    e = E(spark, d)
+    return _over({"hi": xp.argmax(e, axis=1), "lo": xp.argmin(e, axis=1)})
+
+
+@_query(f"SELECT j AS i0, bool_and(q > 0) AS a, bool_or(q > 1000) AS o FROM {_G} GROUP BY j")
+def all_any(spark, d):
+    g = G(spark, d)
+    return _over({"a": xp.all(g > 0.0, axis=0), "o": xp.any(g > 1000.0, axis=0)})
+
+
+@_query("SELECT count(*) FILTER (user_id % 5 <> 0) AS v FROM events")
+def count_nonzero(spark, d):
+    return _out(xp.count_nonzero(U(spark, d) % 5))
+
+
+@_query("SELECT CAST(sum(user_id % 100) AS BIGINT) AS s, round(avg(user_id % 100), 9) AS m, max(user_id) AS x FROM events")
+def sum_mean_int(spark, d):
+    u = U(spark, d)
+    return _rounded(_over({"s": xp.sum(u % 100), "m": xp.mean(u % 100), "x": xp.max(u)}), 9)
+
+
+@_query("WITH s AS (SELECT s_suppkey, 1 + s_suppkey % 3 AS f FROM supplier WHERE s_suppkey < 20) SELECT CAST(round(exp(sum(ln(f)))) AS BIGINT) AS v FROM s")
+def prod(spark, d):
+    return _out(xp.prod(1 + _view(spark, d, "supplier", "s_suppkey", "s_suppkey", "int64", 25)[:20] % 3))
+
+
+@_query(f"WITH n AS (SELECT i, x FROM {_E} WHERE x > 0) SELECT i AS i0, round(coalesce(sum(x), 0), 9) AS s, round(avg(x), 9) AS m, max(x) AS hi, min(x) AS lo, round(median(x), 9) AS med, round(var_pop(x), 9) AS v FROM n GROUP BY i")
+def nan_family(spark, d):
+    e = E(spark, d)
+    x = xp.where(e > 0.0, e, math.nan)
+    return _rounded(_over({"s": xp.nansum(x, axis=1), "m": xp.nanmean(x, axis=1), "hi": xp.nanmax(x, axis=1), "lo": xp.nanmin(x, axis=1), "med": xp.nanmedian(x, axis=1), "v": xp.nanvar(x, axis=1)}), 9, ("hi", "lo"))
+
+
+@_query(f"SELECT i AS i0, arg_max(j, x) AS hi, arg_min(j, x) AS lo FROM (SELECT * FROM {_E} WHERE x > 0 ORDER BY i, j) GROUP BY i")
+def nanargmax_nanargmin(spark, d):
+    e = E(spark, d)
+    x = xp.where(e > 0.0, e, math.nan)
+    return _over({"hi": xp.nanargmax(x, axis=1), "lo": xp.nanargmin(x, axis=1)})
+
+
+@_query("SELECT event_id AS i0, round(sum(value) OVER (ORDER BY event_id), 4) AS v FROM events")
+def cumulative_sum(spark, d):
+    return _out(xp.cumulative_sum(V(spark, d)), digits=4)
+
+
+@_query("SELECT event_id AS i0, CAST(sum(user_id) OVER (ORDER BY event_id) AS BIGINT) AS v FROM events")
+def cumulative_sum_int(spark, d):
+    return _out(xp.cumulative_sum(U(spark, d)))
+
+
+@_query(f"SELECT i AS i0, j AS i1, round(product(1 + x / 100) OVER (PARTITION BY i ORDER BY j), 9) AS v FROM {_E}")
+def cumulative_prod(spark, d):
+    return _out(xp.cumulative_prod(E(spark, d) / 100.0 + 1.0, axis=1), digits=9)
+
+
+@_query(f"SELECT i AS i0, j AS i1, round(sum(CASE WHEN x > 0 THEN x ELSE 0 END) OVER (PARTITION BY i ORDER BY j), 9) AS v FROM {_E}")
+def nancumsum(spark, d):
+    e = E(spark, d)
+    return _out(xp.nancumsum(xp.where(e > 0.0, e, math.nan), axis=1), digits=9)
+
+
+@_query("SELECT event_id AS i0, lead(user_id, 2) OVER w - 2 * lead(user_id, 1) OVER w + user_id AS v FROM events WINDOW w AS (ORDER BY event_id) QUALIFY lead(user_id, 2) OVER w IS NOT NULL")
+def diff_n2(spark, d):
+    return _out(xp.diff(U(spark, d), n=2))
+
+
+@_query("SELECT p_partkey AS i0, (SELECT count(*) FROM range(0, 3000, 125) r(x) WHERE x < p_retailprice) AS l, (SELECT count(*) FROM range(0, 3000, 125) r(x) WHERE x <= p_retailprice) AS r FROM part")
+def searchsorted_left_right(spark, d):
+    p, edges = P(spark, d), xp.arange(0.0, 3000.0, 125.0)
+    return _over({"l": xp.searchsorted(edges, p, side="left"), "r": xp.searchsorted(edges, p, side="right")})
+
+
+@_query("SELECT event_id AS i0, user_id IN (SELECT s_suppkey * 3 FROM supplier) AS v FROM events")
+def isin(spark, d):
+    keys = _view(spark, d, "supplier", "s_suppkey", "s_suppkey", "int64", 25) * 3
+    return _out(xp.isin(U(spark, d), keys))
+
+
+@_query("SELECT g AS i0, round(avg(value), 6) AS v FROM (SELECT user_id % 10 AS g, value FROM events) GROUP BY g")
+def groupby_mean(spark, d):
+    return _out(xp.groupby_reduction(V(spark, d), U(spark, d) % 10, "mean", axis=0, num_groups=10), digits=6)
+
+
+@_query(f"SELECT g AS i0, j AS i1, round(sum(x), 6) AS v FROM (SELECT e.j, e.x, m.label AS g FROM {_E} e JOIN embeddings m ON e.i = m.vec_id) GROUP BY ALL UNION ALL SELECT 10, unnest(range(64)), 0")
+def groupby_sum_2d(spark, d):
+    return _out(xp.groupby_reduction(E(spark, d), EL(spark, d), "sum", axis=0, num_groups=11), digits=6)
+
+
+@_query("SELECT event_id // 100 AS i0, round(sum(value), 6) AS v FROM events GROUP BY ALL")
+def groupby_blockwise_sum(spark, d):
+    v = V(spark, d)
+    return _out(xp.groupby_blockwise(v, xp.arange(v.shape[0], chunks=1000) // 100, "sum", axis=0, num_groups=-(-v.shape[0] // 100)), digits=6)
+
+
+@_query(f"SELECT a.j AS i0, b.j AS i1, round(sum(a.x * b.x), 6) AS v FROM {_E} a JOIN {_E} b USING (i) GROUP BY ALL")
+def matmul(spark, d):
+    e = E(spark, d)
+    return _out(e.T @ e, digits=6)
+
+
+@_query(f"SELECT a.j AS i0, b.j AS i1, sum(a.q * b.q) AS v FROM {_G} a JOIN {_G} b USING (i) GROUP BY ALL")
+def tensordot(spark, d):
+    g = G(spark, d)
+    return _out(xp.tensordot(g, g, axes=((0,), (0,))))
+
+
+@_query(f"SELECT i AS i0, round(sum(x * x), 9) AS v FROM {_E} GROUP BY i")
+def vecdot(spark, d):
+    e = E(spark, d)
+    return _out(xp.vecdot(e, e), digits=9)
+
+
+@_query("SELECT a.s_suppkey AS i0, b.s_suppkey AS i1, round(a.s_acctbal * b.s_acctbal, 6) AS v FROM supplier a, supplier b WHERE a.s_suppkey < 50 AND b.s_suppkey < 50")
+def outer(spark, d):
+    s = _view(spark, d, "supplier", "s_suppkey", "s_acctbal", "float64", 25)[:50]
+    return _out(xp.linalg.outer(s, s), digits=6)
+
+
+@_query("SELECT event_id AS i0, round((coalesce(lag(value) OVER w, 0) + value + coalesce(lead(value) OVER w, 0)) / 3, 6) AS v FROM events WINDOW w AS (ORDER BY event_id)")
+def overlap_mean3(spark, d):
+    return _out(xp.map_overlap(lambda b: (b[:-2] + b[1:-1] + b[2:]) / 3, V(spark, d), depth=1, boundary=0.0), digits=6)
+
+
+@_query("SELECT event_id AS i0, value * 2 + event_id // 1000 AS v FROM events")
+def map_blocks_udf(spark, d):
+    return _out(xp.map_blocks(lambda b, block_id: b * 2 + block_id[0], V(spark, d)))
+
+
+@_query(f"SELECT i AS i0, round(avg(x), 9) AS v FROM {_E} GROUP BY i")
+def gufunc(spark, d):
+    return _out(xp.apply_gufunc(lambda a: a.mean(-1), "(i)->()", E(spark, d).rechunk((500, -1)), output_dtypes="float64"), digits=9)
+
+
+@_query("SELECT i AS i0, j AS i1, CAST((i // 7) * 4 + j // 10 AS BIGINT) AS v FROM (SELECT unnest(range(30)) AS i), (SELECT unnest(range(40)) AS j)")
+def block_ids(spark, d):
+    from ..operators.creation import block_ids as ids
+
+    return _out(ids((30, 40), (7, 10)))
+
+
+_WANG = "SELECT i, xor(xor(s, 61), s >> 16) AS s FROM (SELECT i, i AS s FROM range(10000) r(i))"
+
+
+@_query(f"""
+WITH a AS ({_WANG}), b AS (SELECT i, (s * 9) & 4294967295 AS s FROM a), c AS (SELECT i, xor(s, s >> 4) AS s FROM b),
+d AS (SELECT i, (s * 668265261) & 4294967295 AS s FROM c), e AS (SELECT i, xor(s, s >> 15) AS s FROM d)
+SELECT i // 100 AS i0, i % 100 AS i1, CAST(CASE WHEN s >= 2147483648 THEN s - 4294967296 ELSE s END AS INTEGER) AS v FROM e""")
+def random_integers(spark, d):
+    return _out(xp.random.integers((100, 100), chunks=(30, 40)))
+
+
+@_query("SELECT o_orderkey AS i0, o_totalprice AS v FROM orders")
+def rechunk_roundtrip(spark, d):
+    """Through storage and back, with other chunks."""
+    from ..sources.parquet import checkpoint
+
+    o = O(spark, d).rechunk(2500)
+    return _out(xp.from_cells(checkpoint(o.cells()), o.shape, o.dtype, o.chunks).rechunk(10_000))
+
+
+@_query(f"SELECT i AS i0, j AS i1, round((x - m) / s, 6) AS v FROM (SELECT i, j, x, avg(x) OVER (PARTITION BY j) AS m, stddev_pop(x) OVER (PARTITION BY j) AS s FROM {_E})")
+def standardize(spark, d):
+    e = E(spark, d)
+    return _out((e - xp.mean(e, axis=0)) / xp.std(e, axis=0), digits=6)
+
+
+@_query("SELECT round(avg(a.value * (a.value + 1)), 6) AS v FROM events a")
+def quad_means(spark, d):
+    v = V(spark, d)
+    return _out(xp.mean(v * (v + 1.0)), digits=6)
+
+
+@_query()
+def random_uniform(spark, d):
+    return _out(xp.random.random((200, 50), chunks=(50, 25), seed=42))
+
+
+@_query()
+def qr_svd(spark, d):
+    """Singular values, and how far Q is from orthonormal."""
+    e = E(spark, d).rechunk((500, -1))
+    q, _ = xp.linalg.qr(e)
+    s = xp.linalg.svdvals(e)
+    return _over({"s": s, "off": xp.max(abs(q.T @ q - xp.eye(64)), axis=0)}).select("i0", F.round("s", 6).alias("s"), (F.col("off") < 1e-8).alias("orthonormal"))
+
+
+@_query()
+def nextafter(spark, d):
+    return _out(xp.nextafter(V(spark, d), xp.full((), math.inf)))
+
+
+@_query()
+def complex_parts(spark, d):
+    """exp(i x) has modulus 1."""
+    v = V(spark, d).astype("complex128")
+    return _out(abs(xp.exp(v * 1j)), digits=9)
