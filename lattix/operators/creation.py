@@ -19,7 +19,7 @@ MAX_LITERAL_BYTES = 1_000_000
 def arange(start, /, stop=None, step=1, *, dtype=None, device=None, chunks="auto", spec=None) -> Array:
     if stop is None:
         start, stop = 0, start
-    dtype = np.dtype(dtype or np.arange(start, start, step).dtype)
+    dtype = np.dtype(dtype or np.asarray([start, stop, step]).dtype)
     n = max(math.ceil((stop - start) / step), 0)
     if dtype.kind in "iu":
         return Array(None, lambda c: ieee.as_type(F.lit(int(start)) + c[0] * F.lit(int(step)), dtype), (n,), dtype, chunks, spec)
