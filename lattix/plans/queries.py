@@ -65,7 +65,7 @@ def G(spark, d) -> Array:
     n, m = sums.agg(F.max("i") + 1, F.max("j") + 1).first()
     places = spark.range(n).toDF("i").crossJoin(F.broadcast(spark.range(m).toDF("j")))
     full = places.join(sums, ["i", "j"], "left").select("i", "j", F.coalesce("q", F.lit(0.0)).alias("q"))
-    return xp.from_table(full, ["i", "j"], "q", (n, m), "float64", (25, 7))
+    return xp.from_table(full, ["i", "j"], "q", (n, m), "float64", (5, 7))
 
 
 def _over(columns: dict[str, Array]) -> DataFrame:
@@ -178,7 +178,7 @@ def take(spark, d):
     return _out(xp.take(E(spark, d), np.array([7, 3, 7, 499]), axis=0))
 
 
-@_query(f"SELECT i - 25 AS i0, j AS i1, q AS v FROM {_G} WHERE i >= 25 AND i < 50")
+@_query(f"SELECT i - 5 AS i0, j AS i1, q AS v FROM {_G} WHERE i >= 5 AND i < 10")
 def block_view(spark, d):
     return _out(G(spark, d).blocks[1])
 
