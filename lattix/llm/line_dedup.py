@@ -2,15 +2,17 @@
 
 A line (text between newlines, trimmed and lower-cased) is the set of its shingles: the hashes of
 all runs of ``SHINGLE`` bytes of its UTF-8, or of the whole line if it is shorter. Its signature has
-the least hash in each of ``BINS`` equal ranges of hash values (one-permutation MinHash: with the range
-limits sorted in among the hashes, each minimum is the entry behind a limit, so one sort gives the
-whole signature). ``BANDS`` bands of neighbouring bins are the keys under which lines meet. Under a key, a
-line is compared with the least line of the key and with the one before it: as many candidates as
-lines, however many meet. Candidates are verified by the exact Jaccard similarity of their shingle
-sets (``P`` / ``Q`` or more), and distributed union-find makes components of the verified pairs.
-Of each component the first occurrence, by doc_id and line number, stays.
-
-Banding misses a pair at the very threshold with a probability of (1 - J^2)^5 or 0.6 %, and less above;
+the least hash in each of ``BINS`` equal ranges of hash values (one-permutation MinHash: each shingle is
+hashed once, and one aggregation of conditional minima gives the whole signature). ``BANDS`` bands of
+neighbouring bins are the keys under which lines meet. Under a key, a line is compared with the least
+line of the key and with the one before it: as many candidates as lines, however many meet.
+Candidates whose signatures agree in ``AGREE`` bins or more (by ``BITS`` bits of each) are verified by the exact
+Jaccard similarity of their shingle sets (``P`` / ``Q`` or more), and distributed union-find makes
+components of the verified pairs. Of each component the first occurrence, by doc_id and line number,
+stays.
+
+Banding misses a pair at the very threshold with a probability of (1 - J^2)^5 or 0.6 %, agreement in
+fewer bins than ``AGREE`` happens to 0.1 % of such pairs, and both are rarer above the threshold;
 two similar lines of a key that are each unlike the lines they are compared with can only meet under
 another key. Equal lines are one line from the start and always found.
 
@@ -30,11 +32,13 @@ from .components import connected_components
 SHINGLE = 9
 BANDS, ROWS = 5, 2
 BINS = BANDS * ROWS
+AGREE, BITS = 4, 6
 P, Q = 4, 5
 #: Lines whose ids may be broadcast (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
-_LIMITS = [-(1 << 63) + (k << 64) // BINS for k in range(BINS)] + [(1 << 63) - 1]
+#: Bins of the upper halves of hashes.
+_LIMITS = [-(1 << 31) + (k << 32) // BINS for k in range(BINS)] + [1 << 31]
 
 
 def normal_line(line: Column) -> Column:
@@ -54,27 +58,41 @@ def lines_of(documents: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line_no", normal_line(F.col("raw")).alias("line")).where("line <> ''")
 
 
-def _banded(lines: DataFrame) -> DataFrame:
-    """doc_id, line_no, line_id and the keys band0, band1, ..."""
-    limits = F.array(*[F.lit(x).cast("long") for x in _LIMITS])
-    rows = lines.select("doc_id", "line_no", F.xxhash64("line").alias("line_id"), F.sort_array(F.concat(shingles(F.col("line")), limits)).alias("hashes"))
-    rows = rows.select("doc_id", "line_no", "line_id", *[F.element_at("hashes", (F.array_position("hashes", F.lit(_LIMITS[k]).cast("long")) + 1).cast("int")).alias(f"bin{k}") for k in range(BINS)])
-    # A bin whose least entry is the next limit is empty.
-    mins = [F.when(F.col(f"bin{k}") != _LIMITS[k + 1], F.col(f"bin{k}")) for k in range(BINS)]
-    bands = []
-    for b in range(BANDS):
-        part = mins[b * ROWS : (b + 1) * ROWS]
-        bands.append(F.when(F.coalesce(*part).isNotNull(), F.xxhash64(F.lit(b), *[F.coalesce(m, F.lit(0)) for m in part])).alias(f"band{b}"))
-    return rows.select("doc_id", "line_no", "line_id", *bands)
-
-
-def _candidates(banded: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of line_ids that meet under a key."""
-    distinct = banded.groupBy("line_id").agg(*[F.min(f"band{b}").alias(f"band{b}") for b in range(BANDS)])
-    keyed = distinct.select("line_id", F.explode(F.array(*[f"band{b}" for b in range(BANDS)])).alias("key")).where("key IS NOT NULL")
+def _signatures(lines: DataFrame) -> DataFrame:
+    """line_id and the minima bin0, bin1, ... (null: empty) of each distinct line."""
+    data = lines.select(F.xxhash64("line").alias("line_id"), F.col("line").cast("binary").alias("data"))
+    starts = F.sequence(F.lit(1), F.greatest(F.octet_length("data") - (SHINGLE - 1), F.lit(1)))
+    hashes = data.select("line_id", "data", F.explode(starts).alias("at")).select("line_id", F.shiftright(F.xxhash64(F.substring("data", F.col("at"), F.lit(SHINGLE))), 32).cast("int").alias("h"))
+    h = F.col("h")
+    return hashes.groupBy("line_id").agg(*[F.min(F.when((h >= low) & (h < high), h)).alias(f"bin{k}") for k, (low, high) in enumerate(zip(_LIMITS, _LIMITS[1:], strict=False))])
+
+
+def _keyed(signatures: DataFrame) -> DataFrame:
+    """line_id, sketch (BITS bits of each bin) and key, for each band of a line that isn't empty."""
+    bins = [F.col(f"bin{k}") for k in range(BINS)]
+    sketch = F.lit(0).cast("long")
+    for c in bins:
+        # Minima lie low in their ranges: their hashes are spread, their values aren't.
+        sketch = F.shiftleft(sketch, BITS).bitwiseOR(F.when(c.isNotNull(), F.hash(c).bitwiseAND(F.lit((1 << BITS) - 1)).cast("long")).otherwise(F.lit(0).cast("long")))
+    bands = [F.when(F.coalesce(*bins[b * ROWS : (b + 1) * ROWS]).isNotNull(), F.xxhash64(F.lit(b), *[F.coalesce(c, F.lit(0)) for c in bins[b * ROWS : (b + 1) * ROWS]])) for b in range(BANDS)]
+    return signatures.select("line_id", sketch.alias("sketch"), F.explode(F.array(*bands)).alias("key")).where("key IS NOT NULL")
+
+
+def _agree(a: Column, b: Column) -> Column:
+    """In how many bins two sketches agree."""
+    apart, low = a.bitwiseXOR(b), F.lit((1 << BITS) - 1)
+    out = F.lit(0)
+    for k in range(BINS):
+        out = out + (F.shiftright(apart, BITS * k).bitwiseAND(low) == 0).cast("int")
+    return out
+
+
+def _candidates(lines: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of line_ids that meet under a key and whose sketches agree enough."""
     order = Window.partitionBy("key").orderBy("line_id")
-    met = keyed.select("line_id", F.lag("line_id").over(order).alias("before"), F.first("line_id").over(order).alias("least")).where("before IS NOT NULL")
-    return met.select(F.col("line_id").alias("a"), F.explode(F.array("before", "least")).alias("b")).distinct()
+    met = _keyed(_signatures(lines)).select("line_id", "sketch", F.lag(F.struct("line_id", "sketch")).over(order).alias("before"), F.first(F.struct("line_id", "sketch")).over(order).alias("least")).where("before IS NOT NULL")
+    pairs = met.select(F.col("line_id").alias("a"), "sketch", F.explode(F.array("before", "least")).alias("other"))
+    return pairs.where(_agree(F.col("sketch"), F.col("other.sketch")) >= AGREE).select("a", F.col("other.line_id").alias("b")).distinct()
 
 
 def _similar(lines: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -93,10 +111,10 @@ def _similar(lines: DataFrame, pairs: DataFrame) -> DataFrame:
 def dropped_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, line_no) of the lines that go."""
     lines = lines_of(documents.select("doc_id", "text"))
-    banded = store(_banded(lines))
-    pairs = store(_candidates(banded))
+    places = store(lines.select("doc_id", "line_no", F.xxhash64("line").alias("line_id")))
+    pairs = store(_candidates(lines))
     components = connected_components(_similar(lines, pairs)).withColumnRenamed("node", "line_id")
-    places = banded.select("doc_id", "line_no", "line_id").join(components, "line_id", "left").select("doc_id", "line_no", F.coalesce("component", "line_id").alias("line"))
+    places = places.join(components, "line_id", "left").select("doc_id", "line_no", F.coalesce("component", "line_id").alias("line"))
     firsts = places.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("many")).where("many > 1").select("line", "first")
     return places.join(firsts, "line").where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first"))).select("doc_id", "line_no").distinct()
 
