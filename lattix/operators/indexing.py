@@ -40,7 +40,7 @@ def index(x: Array, key) -> Array:
             shape.append(1)
             chunks.append((1,))
             continue
-        n, c = x.shape[axis], F.col(f"d{axis}")
+        n = x.shape[axis]
         if isinstance(k, bool | np.bool_) or isinstance(k, np.ndarray) and k.dtype.kind == "b":
             raise NotImplementedError("boolean masks have shapes that depend on data")
         if isinstance(k, numbers.Integral):
@@ -69,7 +69,6 @@ def index(x: Array, key) -> Array:
         else:
             raise IndexError(f"index {k!r}")
         axis += 1
-        del c
     chunks = meta.normalize_chunks(tuple(c[0] if isinstance(c, tuple) else c for c in chunks), tuple(shape), x.dtype)
     if x.table is None:  # a function of coordinates stays one
         return _compose(x, parts, shape, chunks)
