@@ -5,8 +5,13 @@
    linked sets differ by at most d n-grams, so if all n-grams are dealt by hash into more than d
    parts, some part is the same in both. A root is a (size range, part, content); a set hangs under
    one root for each of its parts. This loses no link. A set may also belong to the next range if a
-   linked larger one could. Parts without n-grams would bring unrelated sets together: ``SPARE``
-   further parts make them unnecessary, except for sets with more such parts than that.
+   linked larger one could. Parts without n-grams would bring unrelated sets together: some
+   spare parts make them unnecessary, except for sets with more such parts than spare ones. So would
+   parts of nothing but n-grams of passages that many documents share. These common n-grams are
+   left out of the parts (linked sets differ by at most d n-grams without them, too); sets that
+   then have more empty parts than those spare hang under roots made of all their n-grams as well.
+   A pair of such sets meets there, any other pair under a root without common n-grams. Which
+   n-grams count as common is told by a bounded sample, and changes the work but no result.
 3. Under each root the set that shares most roots is the hub. Parts that a set has in common with
    its hub bound the overlap from below; where that bound alone proves the link, the link is kept.
 4. What is left are families: sets connected by roots whose members are not yet all in one
@@ -38,10 +43,11 @@ from .components import connected_components
 
 #: Upper ends of size ranges grow by this factor.
 RANGE = 1.5
-SPARE = 2
 BITS = 4096
 LEAF, FAN = 32, 8
 BLOCK = 1024
+#: Common n-grams: those in this many documents or more of a sample of so many; at most MAX_COMMON (2.4 MB) are told to the tasks.
+COMMON_SAMPLE, COMMON_DOCUMENTS, MAX_COMMON = 4000, 3, 300_000
 #: Distinct sets whose roots a task remembers to have sent already.
 REMEMBERED = 500_000
 #: Documents whose ids may be broadcast (8 MB); more are joined by a shuffle.
@@ -57,6 +63,21 @@ class Measure:
         while self.starts[-1] < 1 << 40:
             self.starts.append(max(self.starts[-1] + 1, int(self.starts[-1] * RANGE)))
 
+        spare = [self._spare(j) for j in range(len(self.starts) - 1)]
+        self._spares = np.array(spare, np.int64)
+
+    def _spare(self, j: int) -> int:
+        """Parts beyond d + 1 that suffice for the empty ones of nearly all sets of size range j."""
+        d = int(self.differ(j))
+        for s in (min(2, d), *(max(2, d * k // 100) for k in range(1, 101))) if d else ():
+            empty = (d + 1 + s) * np.exp(-self.starts[j] / (d + 1 + s))
+            if empty + 3 * np.sqrt(empty) <= s:
+                return s
+        return min(2, d)
+
+    def spare(self, j: np.ndarray) -> np.ndarray:
+        return self._spares[j]
+
     def ranges(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(np.array(self.starts), sizes, side="right") - 1
 
@@ -102,28 +123,79 @@ def _sums(values: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
         return low + (high << np.uint64(32))
 
 
-def _roots(code: np.ndarray, of: np.ndarray, j: np.ndarray, measure: Measure) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, root, n-grams of the part) of sets 0.. in size ranges j."""
+def _roots(code: np.ndarray, of: np.ndarray, j: np.ndarray, measure: Measure, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, root, n-grams of the part) of sets 0.. in size ranges j. The two lowest bits of a root tell
+    apart the ranges that a set can belong to, and parts of all n-grams from those of uncommon ones."""
     differ = measure.differ(j)
-    parts = np.where(differ > 0, differ + 1 + np.minimum(SPARE, differ), 0)
-    first = np.concatenate([[0], np.cumsum(parts)])
+    spare = measure.spare(j)
+    parts = np.where(differ > 0, differ + 1 + spare, 0)
     use = parts[of] > 0
     code, of = code[use], of[use]
+    place = np.minimum(np.searchsorted(common, code), max(0, len(common) - 1))
+    rare = common[place] != code if len(common) else np.ones(len(code), bool)
+    found = [_deal(code[rare], of[rare], j, parts, 0)]
+    full = found[0][2] > 0
+    poor = parts - np.bincount(found[0][0], full, len(j)).astype(np.int64) > spare
+    found[0] = tuple(x[full] for x in found[0])
+    if poor.any():
+        own = poor[of]
+        owner, root, size = _deal(code[own], of[own], j, np.where(poor, parts, 0), 1)
+        empties = np.bincount(owner, size == 0, len(j))
+        keep = (size > 0) | (empties > spare)[owner]
+        found.append((owner[keep], root[keep], size[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _deal(code: np.ndarray, of: np.ndarray, j: np.ndarray, parts: np.ndarray, whole: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    first = np.concatenate([[0], np.cumsum(parts)])
     spread = mix(code)
     at = first[of] + ((spread >> np.uint64(32)) * parts[of].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
     total, size = _sums(spread, at, first[-1]), np.bincount(at, minlength=first[-1])
     owner = np.repeat(np.arange(len(j)), parts)
     part = np.arange(first[-1]) - first[owner]
-    empties = np.bincount(owner, size == 0, len(j))
-    keep = (size > 0) | (empties > np.minimum(SPARE, differ))[owner]
     root = mix(total ^ mix((j[owner].astype(np.uint64) << np.uint64(40)) | part.astype(np.uint64)))
-    # The lowest bit tells the two ranges apart that a set can belong to.
-    root = (root << np.uint64(1)) | (j[owner] & 1).astype(np.uint64)
-    return owner[keep], root[keep].view(np.int64), size[keep].astype(np.int32)
+    root = (root << np.uint64(2)) | np.uint64(2 * whole) | (j[owner] & 1).astype(np.uint64)
+    return owner, root.view(np.int64), size.astype(np.int32)
 
 
-def profile(documents: DataFrame, width: int, measure: Measure) -> DataFrame:
-    """doc_id, n_shingles, class_id (null: no n-grams), roots and the sizes of their parts (null if a task has sent them before)."""
+def common_shingles(documents: DataFrame, width: int) -> np.ndarray:
+    """Sorted hashes of n-grams that several documents of a bounded sample have."""
+    ids = documents.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(COMMON_SAMPLE)
+
+    def run(batches):
+        for batch in batches:
+            for _, _, texts in text_slices(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(texts, width)[0].view(np.int64))], names=["code"])
+
+    sample = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text").mapInArrow(run, "code long")
+    often = sample.groupBy("code").count().where(F.col("count") >= COMMON_DOCUMENTS).orderBy(F.desc("count"), "code").limit(MAX_COMMON)
+    return np.sort(often.select("code").toPandas()["code"].to_numpy(np.int64).view(np.uint64))
+
+
+def _classes(code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of each set."""
+    n = np.diff(bounds)
+    of = np.repeat(np.arange(len(n)), n)
+    return mix(_sums(mix(code ^ np.uint64(0x5DEECE66D)), of, len(n)) ^ mix(n.astype(np.uint64))).view(np.int64)
+
+
+def profile(documents: DataFrame, width: int) -> DataFrame:
+    """doc_id, n_shingles, class_id (null: no n-grams)."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, texts in text_slices(batch.column("text")):
+                code, bounds = shingles(texts, width)
+                n = np.diff(bounds)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(_classes(code, bounds), mask=n == 0)], names=["doc_id", "n_shingles", "class_id"])
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, class_id long")
+
+
+def hang(documents: DataFrame, width: int, measure: Measure) -> DataFrame:
+    """root, class_id, size (n-grams of the part): a row for each root of each set; a task sends a set once."""
+    common = common_shingles(documents, width)
 
     def run(batches):
         sent: set[int] = set()
@@ -131,7 +203,7 @@ def profile(documents: DataFrame, width: int, measure: Measure) -> DataFrame:
             for lo, hi, texts in text_slices(batch.column("text")):
                 code, bounds = shingles(texts, width)
                 n, of = np.diff(bounds), np.repeat(np.arange(hi - lo), np.diff(bounds))
-                classes = mix(_sums(mix(code ^ np.uint64(0x5DEECE66D)), of, hi - lo) ^ mix(n.astype(np.uint64))).view(np.int64)
+                classes = _classes(code, bounds)
                 fresh = np.zeros(hi - lo, bool)
                 if len(sent) > REMEMBERED:
                     sent.clear()
@@ -140,22 +212,12 @@ def profile(documents: DataFrame, width: int, measure: Measure) -> DataFrame:
                         sent.add(c)
                         fresh[i] = True
                 j = measure.ranges(np.maximum(n, 1))
-                found = []
                 for pick, up in ((fresh, 0), (fresh & measure.reaches(n, j), 1)):
-                    number = np.cumsum(pick) - 1
-                    own = pick[of]
-                    owner, root, size = _roots(code[own], number[of[own]], j[pick] + up, measure)
-                    found.append((np.flatnonzero(pick)[owner], root, size))
-                owner, root, size = (np.concatenate(x) for x in zip(*found, strict=True))
-                order = np.argsort(owner, kind="stable")
-                at = pa.array(np.searchsorted(owner[order], np.arange(hi - lo + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(classes, mask=n == 0), pa.ListArray.from_arrays(at, pa.array(root[order])), pa.ListArray.from_arrays(at, pa.array(size[order]))],
-                    names=["doc_id", "n_shingles", "class_id", "roots", "sizes"],
-                )
+                    number, own = np.cumsum(pick) - 1, pick[of]
+                    owner, root, size = _roots(code[own], number[of[own]], j[pick] + up, measure, common)
+                    yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(classes[pick][owner]), pa.array(size)], names=["root", "class_id", "size"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, class_id long, roots array<long>, sizes array<int>")
+    return documents.select("text").where("text IS NOT NULL").mapInArrow(run, "root long, class_id long, size int")
 
 
 def _shared_roots(batches):
@@ -197,7 +259,7 @@ def _to_hubs(batches):
             hub[root == last_root] = last_hub
         last_root, last_hub = root[-1], hub[-1]
         keep = one != hub
-        yield pa.RecordBatch.from_arrays([pa.array(one[keep]), pa.array(hub[keep]), pa.array((root[keep] & 1).astype(np.int32)), batch.column("size").filter(pa.array(keep))], names=["class_id", "hub", "range", "size"])
+        yield pa.RecordBatch.from_arrays([pa.array(one[keep]), pa.array(hub[keep]), pa.array((root[keep] & 3).astype(np.int32)), batch.column("size").filter(pa.array(keep))], names=["class_id", "hub", "kind", "size"])
 
 
 #: What a node has besides its bitmap.
@@ -381,13 +443,13 @@ def _family_links(families: DataFrame, measure: Measure) -> DataFrame:
 def link_components(documents: DataFrame, width: int = 5, p: int = 4, q: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for every row; links are Jaccard similarities of p / q or more."""
     measure = Measure(p, q)
-    profiles = store(profile(documents, width, measure))
+    profiles = store(profile(documents, width))
     classes = store(profiles.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n")))
-    hung = profiles.where(F.size("roots") > 0).select("class_id", F.explode(F.arrays_zip("roots", "sizes")).alias("r")).select(F.col("r.roots").alias("root"), "class_id", F.col("r.sizes").alias("size"))
+    hung = hang(documents, width, measure)
     shared = store(hung.repartition("root").sortWithinPartitions("root", "class_id").mapInArrow(_shared_roots, hung.schema))
     degree = shared.groupBy("class_id").agg(F.count("*").alias("degree"))
     ranked = shared.join(degree, "class_id").repartition("root").sortWithinPartitions("root", F.desc("degree"), "class_id")
-    to_hub = store(ranked.mapInArrow(_to_hubs, "class_id long, hub long, range int, size int").groupBy("class_id", "hub", "range").agg(F.sum("size").alias("overlap")))
+    to_hub = store(ranked.mapInArrow(_to_hubs, "class_id long, hub long, kind int, size int").groupBy("class_id", "hub", "kind").agg(F.sum("size").alias("overlap")))
     sizes = classes.select("class_id", "n")
     proven = to_hub.join(sizes, "class_id").join(sizes.select(F.col("class_id").alias("hub"), F.col("n").alias("m")), "hub")
     proven = proven.where(F.col("overlap") * (p + q) >= p * (F.col("n") + F.col("m")))
