@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,14 +51,40 @@ def drop_stored(spark: SparkSession, path: str) -> None:
     where.getFileSystem(conf).delete(where, True)
 
 
-def store(df: DataFrame, path: str | None = None) -> DataFrame:
+def store(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it again: it cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = path or f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+_OPEN: list[list[tuple[SparkSession, str]]] = []
+
+
+def tidy(make):
+    """A function whose stored tables go when it ends; its result, a DataFrame, is stored and stays."""
+
+    @functools.wraps(make)
+    def run(*args, **kwargs) -> DataFrame:
+        before = len(_OPEN)
+        _OPEN.append([])
+        try:
+            made = make(*args, **kwargs)
+            spare = _OPEN.pop()
+            try:
+                return store(made)
+            finally:
+                for spark, path in spare:
+                    drop_stored(spark, path)
+        finally:
+            del _OPEN[before:]
+
+    return run
+
+
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % mod == rest
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import store, tidy
 
 MAX_ROUNDS = 200
 
 
+@tidy
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (columns a, b); a component's name is its smallest node.
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, store
+from .common import read, store, tidy
 from .components import connected_components
 
 SHINGLE = 9
@@ -108,6 +108,7 @@ def _similar(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     return sized.where(F.col("common") * (P + Q) >= P * (F.col("n") + F.col("m"))).select("a", "b")
 
 
+@tidy
 def dropped_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, line_no) of the lines that go."""
     lines = lines_of(documents.select("doc_id", "text"))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Texts, Words, mix, read, store, text_slices
+from .common import SPACE, Texts, Words, mix, read, store, text_slices, tidy
 from .components import connected_components
 
 #: Upper ends of size ranges grow by this factor.
@@ -440,6 +440,7 @@ def _family_links(families: DataFrame, measure: Measure) -> DataFrame:
     return dealt.repartition("task").sortWithinPartitions("task", "side", "member").mapInArrow(links, "a long, b long")
 
 
+@tidy
 def link_components(documents: DataFrame, width: int = 5, p: int = 4, q: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for every row; links are Jaccard similarities of p / q or more."""
     measure = Measure(p, q)
