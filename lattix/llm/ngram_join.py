@@ -12,10 +12,13 @@
    then have more empty parts than those spare hang under roots made of all their n-grams as well.
    A pair of such sets meets there, any other pair under a root without common n-grams. Which
    n-grams count as common is told by a bounded sample, and changes the work but no result.
+   A linked pair shares more than one root: all parts but as many as it can differ in and as are
+   empty. So a set leaves the forest if fewer of its roots than that (`need`) hold other sets.
 3. Under each root the set that shares most roots is the hub. Parts that a set has in common with
    its hub bound the overlap from below; where that bound alone proves the link, the link is kept.
-4. What is left are families: sets connected by roots whose members are not yet all in one
-   component. Each family gets a signature tree, whose nodes hold the OR of their members' bitmaps of
+4. Links that are not known yet can only lie under open roots, whose members are not all in one
+   component. Again sets leave that have fewer open roots than they need, for a few rounds. What is
+   left are families: sets connected by open roots. Each family gets a signature tree, whose nodes hold the OR of their members' bitmaps of
    n-grams, the range of their sizes and components. A dual traversal visits pairs of nodes and
    drops those that can't reach the overlap for their sizes (bits in common, plus n-grams that share a
    bit) or lie in one component; at the leaves, bitmaps and then the sets themselves decide.
@@ -45,6 +48,8 @@ from .components import connected_components
 RANGE = 1.5
 BITS = 4096
 LEAF, FAN = 32, 8
+#: Rounds in which sets with too few open roots leave; more rounds save work and change no result.
+PEELS = 3
 BLOCK = 1024
 #: Common n-grams: those in this many documents or more of a sample of so many; at most MAX_COMMON (2.4 MB) are told to the tasks.
 COMMON_SAMPLE, COMMON_DOCUMENTS, MAX_COMMON = 4000, 3, 300_000
@@ -85,6 +90,11 @@ class Measure:
         """Most n-grams in which linked sets of size range j can differ."""
         return 2 * (np.array(self.starts)[j + 1] - 1) * (self.q - self.p) // (self.q + self.p)
 
+    def differ_with(self, sizes: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Most n-grams in which a set of this size and a linked one of at most size range j can differ."""
+        largest = np.minimum(sizes * self.q // self.p, np.array(self.starts)[j + 1] - 1)
+        return (sizes + largest) * (self.q - self.p) // (self.q + self.p)
+
     def reaches(self, sizes: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Could a linked set lie in the range above j?"""
         return sizes * self.q // self.p >= np.array(self.starts)[j + 1]
@@ -123,26 +133,30 @@ def _sums(values: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
         return low + (high << np.uint64(32))
 
 
-def _roots(code: np.ndarray, of: np.ndarray, j: np.ndarray, measure: Measure, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, root, n-grams of the part) of sets 0.. in size ranges j. The two lowest bits of a root tell
-    apart the ranges that a set can belong to, and parts of all n-grams from those of uncommon ones."""
+def _roots(code: np.ndarray, of: np.ndarray, sizes: np.ndarray, j: np.ndarray, measure: Measure, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set, root, n-grams of the part, need) of sets 0.. in size ranges j. The two lowest bits of a root, its
+    kind, tell apart the ranges that a set can belong to, and parts of all n-grams from those of uncommon
+    ones. A set and one that it is linked with in a kind share at least ``need`` roots of that kind."""
     differ = measure.differ(j)
     spare = measure.spare(j)
     parts = np.where(differ > 0, differ + 1 + spare, 0)
+    same = parts - measure.differ_with(sizes, j)
     use = parts[of] > 0
     code, of = code[use], of[use]
     place = np.minimum(np.searchsorted(common, code), max(0, len(common) - 1))
     rare = common[place] != code if len(common) else np.ones(len(code), bool)
-    found = [_deal(code[rare], of[rare], j, parts, 0)]
-    full = found[0][2] > 0
-    poor = parts - np.bincount(found[0][0], full, len(j)).astype(np.int64) > spare
-    found[0] = tuple(x[full] for x in found[0])
+    owner, root, size = _deal(code[rare], of[rare], j, parts, 0)
+    full = size > 0
+    empties = parts - np.bincount(owner, full, len(j)).astype(np.int64)
+    # Of the parts that are the same, those empty in both sets are no roots; one of the two has no more than spare.
+    found = [(owner[full], root[full], size[full], (same - np.minimum(empties, spare))[owner[full]])]
+    poor = empties > spare
     if poor.any():
         own = poor[of]
         owner, root, size = _deal(code[own], of[own], j, np.where(poor, parts, 0), 1)
-        empties = np.bincount(owner, size == 0, len(j))
+        empties = np.bincount(owner, size == 0, len(j)).astype(np.int64)
         keep = (size > 0) | (empties > spare)[owner]
-        found.append((owner[keep], root[keep], size[keep]))
+        found.append((owner[keep], root[keep], size[keep], (same - np.minimum(empties, spare))[owner[keep]]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -194,7 +208,7 @@ def profile(documents: DataFrame, width: int) -> DataFrame:
 
 
 def hang(documents: DataFrame, width: int, measure: Measure) -> DataFrame:
-    """root, class_id, size (n-grams of the part): a row for each root of each set; a task sends a set once."""
+    """root, class_id, tally (need of the set, n-grams of the part: 32 bits each): a row for each root of each set; a task sends a set once."""
     common = common_shingles(documents, width)
 
     def run(batches):
@@ -214,10 +228,10 @@ def hang(documents: DataFrame, width: int, measure: Measure) -> DataFrame:
                 j = measure.ranges(np.maximum(n, 1))
                 for pick, up in ((fresh, 0), (fresh & measure.reaches(n, j), 1)):
                     number, own = np.cumsum(pick) - 1, pick[of]
-                    owner, root, size = _roots(code[own], number[of[own]], j[pick] + up, measure, common)
-                    yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(classes[pick][owner]), pa.array(size)], names=["root", "class_id", "size"])
+                    owner, root, size, need = _roots(code[own], number[of[own]], n[pick], j[pick] + up, measure, common)
+                    yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(classes[pick][owner]), pa.array((need << 32) | size)], names=["root", "class_id", "tally"])
 
-    return documents.select("text").where("text IS NOT NULL").mapInArrow(run, "root long, class_id long, size int")
+    return documents.select("text").where("text IS NOT NULL").mapInArrow(run, "root long, class_id long, tally long")
 
 
 def _shared_roots(batches):
@@ -245,6 +259,18 @@ def _several(rows: pa.Table, root: np.ndarray, one: np.ndarray):
     yield from rows.filter(pa.array(mate)).combine_chunks().to_batches(max_chunksize=50_000)
 
 
+def _with_enough(rows: DataFrame) -> DataFrame:
+    """The rows (root, class_id, need, ...) of sets that have at least ``need`` roots of the kind; ``degree`` counts them."""
+    counted = rows.withColumn("degree", F.expr("count(*) over (partition by class_id, root & 3)"))
+    return counted.where("degree >= need")
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """Of rows with their sets' components: those under roots of several components, of sets that have enough such roots."""
+    several = rows.groupBy("root").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return store(_with_enough(rows.drop("degree").join(several.select("root"), "root", "left_semi")))
+
+
 def _to_hubs(batches):
     """Of rows sorted by (root, degree descending, class_id): the pair of each set and the first one of its root."""
     last_root, last_hub = None, None
@@ -447,18 +473,20 @@ def link_components(documents: DataFrame, width: int = 5, p: int = 4, q: int = 5
     profiles = store(profile(documents, width))
     classes = store(profiles.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n")))
     hung = hang(documents, width, measure)
-    shared = store(hung.repartition("root").sortWithinPartitions("root", "class_id").mapInArrow(_shared_roots, hung.schema))
-    degree = shared.groupBy("class_id").agg(F.count("*").alias("degree"))
-    ranked = shared.join(degree, "class_id").repartition("root").sortWithinPartitions("root", F.desc("degree"), "class_id")
+    shared = hung.repartition("root").sortWithinPartitions("root", "class_id").mapInArrow(_shared_roots, hung.schema)
+    shared = shared.select("root", "class_id", F.shiftright("tally", 32).cast("int").alias("need"), F.col("tally").bitwiseAND(0xFFFFFFFF).cast("int").alias("size"))
+    shared = store(_with_enough(shared))
+    ranked = shared.select("root", "class_id", "size", "degree").repartition("root").sortWithinPartitions("root", F.desc("degree"), "class_id")
     to_hub = store(ranked.mapInArrow(_to_hubs, "class_id long, hub long, kind int, size int").groupBy("class_id", "hub", "kind").agg(F.sum("size").alias("overlap")))
     sizes = classes.select("class_id", "n")
     proven = to_hub.join(sizes, "class_id").join(sizes.select(F.col("class_id").alias("hub"), F.col("n").alias("m")), "hub")
     proven = proven.where(F.col("overlap") * (p + q) >= p * (F.col("n") + F.col("m")))
     known = connected_components(proven.select(F.col("class_id").alias("a"), F.col("hub").alias("b")))
 
-    # Roots whose members are not in one component; of those with the same members, one.
-    placed = shared.select("root", "class_id").join(known.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    placed = store(placed)
+    placed = shared.select("root", "class_id", "need").join(known.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    for _ in range(PEELS):
+        placed = _open(placed)
+    # Of open roots with the same members, one.
     open_roots = placed.groupBy("root").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("class_id")).alias("print"), F.count("*").alias("many")).where("low <> high")
     open_roots = open_roots.groupBy("print", "many").agg(F.min("root").alias("root"), F.min("low").alias("low"))
     members = store(placed.join(open_roots.select("root", "low"), "root").select("class_id", "component", "low").distinct())
