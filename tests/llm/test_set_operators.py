@@ -263,3 +263,30 @@ def test_url_key(spark):
     urls = ["http://www.Example.com/a?b=1#c", "https://user@shop.example.com:80/x", "", "ftp://h"]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(warc.url_key(F.col("u"))).collect()]
     assert got == ["com,example)/a?b=1", "com:80,example,shop)/x", ")", "h)"]
+
+
+@pytest.mark.parametrize(("p", "q"), [(4, 5), (9, 10)])
+def test_linked_sets_share_the_roots_they_need(p, q):
+    """Barely linked sets of many sizes, with and without common n-grams: in some kind both have enough shared roots."""
+    rng = np.random.default_rng(5)
+    measure = ngram_join.Measure(p, q)
+    for trial in range(300):
+        n = int(rng.integers(12, 400))
+        total = rng.integers(1, 1 << 62, 2 * n, dtype=np.uint64)
+        m = n - int(rng.integers(0, n - measure.needed(2 * n) + 1))
+        least = measure.needed(n + m)
+        if least > m:
+            continue
+        x, y = np.unique(total[:n]), np.unique(np.concatenate([total[:least], total[n : n + m - least]]))
+        common = np.unique(total[: int(rng.integers(0, n))]) if trial % 2 else np.zeros(0, np.uint64)
+        seen = []
+        for s in (x, y):
+            size, roots = np.array([len(s)]), {}
+            j = measure.ranges(size)
+            for up in (0, 1)[: 1 + int(measure.reaches(size, j)[0])]:
+                _, root, _, need = ngram_join._roots(s, np.zeros(len(s), np.int64), size, j + up, measure, common)
+                for r, k in zip(root.tolist(), need.tolist(), strict=True):
+                    roots.setdefault(r & 3, ({}, k))[0][r] = True
+            seen.append(roots)
+        a, b = seen
+        assert any(len(a[k][0].keys() & b[k][0].keys()) >= max(a[k][1], b[k][1], 1) for k in a.keys() & b.keys()), (n, m)
