@@ -4,17 +4,17 @@ A line (text between newlines, trimmed and lower-cased) is the set of its shingl
 all runs of ``SHINGLE`` bytes of its UTF-8, or of the whole line if it is shorter. Its signature has
 the least hash in each of ``BINS`` equal ranges of hash values (one-permutation MinHash: each shingle is
 hashed once, and one aggregation of conditional minima gives the whole signature). ``BANDS`` bands of
-neighbouring bins are the keys under which lines meet. Under a key, a line is compared with the least
-line of the key and with the one before it: as many candidates as lines, however many meet.
+neighbouring bins are the keys under which lines meet. Under a key, a line is first compared with the least
+line of the key and with the one before it: as many candidates as lines, however many meet. Lines of
+a key that are then in several components meet again until each pair of the key is compared or connected.
 Candidates whose signatures agree in ``AGREE`` bins or more (by ``BITS`` bits of each) are verified by the exact
 Jaccard similarity of their shingle sets (``P`` / ``Q`` or more), and distributed union-find makes
 components of the verified pairs. Of each component the first occurrence, by doc_id and line number,
 stays.
 
 Banding misses a pair at the very threshold with a probability of (1 - J^2)^5 or 0.6 %, agreement in
-fewer bins than ``AGREE`` happens to 0.1 % of such pairs, and both are rarer above the threshold;
-two similar lines of a key that are each unlike the lines they are compared with can only meet under
-another key. Equal lines are one line from the start and always found.
+fewer bins than ``AGREE`` happens to 0.1 % of such pairs, and both are rarer above the threshold.
+Equal lines are one line from the start and always found.
 
 Empty lines always stay. Null texts have no lines. Rows that repeat with their doc_id have their
 lines at the same places: both rows keep or lose a line alike. Null doc_ids come first. Other
@@ -36,6 +36,9 @@ AGREE, BITS = 4, 6
 P, Q = 4, 5
 #: Lines whose ids may be broadcast (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Lines of a key that a task pairs with each other, and pairs a line under which all pairs are made at once.
+BLOCK = 1000
+FEW_PAIRS = 20
 
 #: Bins of the upper halves of hashes.
 _LIMITS = [-(1 << 31) + (k << 32) // BINS for k in range(BINS)] + [1 << 31]
@@ -87,20 +90,28 @@ def _agree(a: Column, b: Column) -> Column:
     return out
 
 
-def _candidates(lines: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of line_ids that meet under a key and whose sketches agree enough."""
-    order = Window.partitionBy("key").orderBy("line_id")
-    met = _keyed(_signatures(lines)).select("line_id", "sketch", F.lag(F.struct("line_id", "sketch")).over(order).alias("before"), F.first(F.struct("line_id", "sketch")).over(order).alias("least")).where("before IS NOT NULL")
-    pairs = met.select(F.col("line_id").alias("a"), "sketch", F.explode(F.array("before", "least")).alias("other"))
+def _met(lines: DataFrame) -> DataFrame:
+    """line_id, sketch, key, least and before (structs of the two) and the number of lines, for keys of two lines or more."""
+    keys = Window.partitionBy("key")
+    order, this = keys.orderBy("line_id"), F.struct("line_id", "sketch")
+    return _keyed(_signatures(lines)).select("*", F.lag(this).over(order).alias("before"), F.first(this).over(order).alias("least"), F.count("*").over(keys).alias("many")).where("many > 1")
+
+
+def _candidates(met: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of each line with the least line of its key and the one before it, if their sketches agree enough."""
+    pairs = met.where("before IS NOT NULL").select(F.col("line_id").alias("a"), "sketch", F.explode(F.array("before", "least")).alias("other"))
     return pairs.where(_agree(F.col("sketch"), F.col("other.sketch")) >= AGREE).select("a", F.col("other.line_id").alias("b")).distinct()
 
 
-def _similar(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of P / Q or more."""
-    ids = store(pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct())
+def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    ids = store(ids.distinct())
     few = ids.count() <= BROADCAST_IDS
     found = lines.select(F.xxhash64("line").alias("line_id"), "line").join(F.broadcast(ids) if few else ids, "line_id")
-    texts = store(found.groupBy("line_id").agg(F.min("line").alias("line")))
+    return store(found.groupBy("line_id").agg(F.min("line").alias("line")))
+
+
+def _similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of P / Q or more."""
     a, b = texts.toDF("a", "line_a"), texts.toDF("b", "line_b")
     both = pairs.join(a, "a").join(b, "b")
     sets = both.select("a", "b", F.array_distinct(shingles(F.col("line_a"))).alias("x"), F.array_distinct(shingles(F.col("line_b"))).alias("y"))
@@ -108,13 +119,63 @@ def _similar(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     return sized.where(F.col("common") * (P + Q) >= P * (F.col("n") + F.col("m"))).select("a", "b")
 
 
+def _all_pairs(rest: DataFrame) -> DataFrame:
+    """Pairs under a key that are in two components, whose sketches agree enough; keys of many lines are dealt out by pairs of blocks."""
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    dealt = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("line_id", F.lit(BLOCK)), F.col("blocks")).cast("int"))
+    x = dealt.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.struct("line_id", "sketch", "component", "before").alias("x"))
+    y = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.struct("line_id", "sketch", "component", "before").alias("y"))
+    new = (F.col("x.component") != F.col("y.component")) & ((F.col("i") < F.col("j")) | (F.col("x.line_id") < F.col("y.line_id")))
+    met = (F.col("x.before") == F.col("y.line_id")) | (F.col("y.before") == F.col("x.line_id"))
+    both = x.join(y.withColumnsRenamed({"i": "_i", "j": "_j", "key": "_key"}), (F.col("key") == F.col("_key")) & (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")) & new & ~met & (_agree(F.col("x.sketch"), F.col("y.sketch")) >= AGREE))
+    return both.select(F.greatest("x.line_id", "y.line_id").alias("a"), F.least("x.line_id", "y.line_id").alias("b")).distinct()
+
+
+def _join_rest(met: DataFrame, pairs: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components when all pairs under a key are verified or already connected.
+
+    ``met`` has the lines of keys of four or more (fewer have all their pairs in ``pairs``). Lines of a
+    key in several components meet again: all with one line of the key, another in each round, as long
+    as that joins components and the pairs left are many; then all pairs of two components.
+    """
+    rest, turn, gained = met.where("line_id <> least.line_id").select("key", "line_id", "sketch", F.col("before.line_id").alias("before")), 0, True
+    while True:
+        components = connected_components(links)
+        placed = rest.join(components.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
+        keys = Window.partitionBy("key")
+        spread = placed.select("*", F.min("component").over(keys).alias("low"), F.max("component").over(keys).alias("high"), F.count("*").over(keys).alias("many"))
+        now = store(spread.where("low < high").drop("low", "high"))
+        of = now.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        lines, load = of.agg(F.sum("n"), F.sum(F.col("n").cast("double") * F.col("n") - F.col("own"))).first()
+        if not lines:
+            return components
+        last = load <= FEW_PAIRS * lines or not gained
+        if last:
+            fresh = _all_pairs(now)
+        else:
+            pivots = now.groupBy("key").agg(F.min_by(F.struct("line_id", "sketch", "component"), F.xxhash64("line_id", F.lit(turn))).alias("pivot"))
+            met_again = now.join(pivots, "key").where((F.col("component") != F.col("pivot.component")) & (_agree(F.col("sketch"), F.col("pivot.sketch")) >= AGREE))
+            fresh = met_again.select(F.greatest("line_id", "pivot.line_id").alias("a"), F.least("line_id", "pivot.line_id").alias("b")).distinct()
+            rest = now.join(pivots, "key").where("line_id <> pivot.line_id").select("key", "line_id", "sketch", "before")
+        fresh = store(fresh.join(pairs, ["a", "b"], "left_anti"))
+        more = store(_similar(texts, fresh))
+        gained = not more.isEmpty()
+        links = links.union(more)
+        if last:
+            return connected_components(links) if gained else components
+        pairs, turn = pairs.union(fresh), turn + 1
+
+
 @tidy
 def dropped_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, line_no) of the lines that go."""
     lines = lines_of(documents.select("doc_id", "text"))
     places = store(lines.select("doc_id", "line_no", F.xxhash64("line").alias("line_id")))
-    pairs = store(_candidates(lines))
-    components = connected_components(_similar(lines, pairs)).withColumnRenamed("node", "line_id")
+    met = store(_met(lines))
+    pairs = store(_candidates(met))
+    large = met.where("many > 3")
+    texts = _texts(lines, pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).union(large.select("line_id")))
+    components = _join_rest(large, pairs, texts, store(_similar(texts, pairs))).withColumnRenamed("node", "line_id")
     places = places.join(components, "line_id", "left").select("doc_id", "line_no", F.coalesce("component", "line_id").alias("line"))
     firsts = places.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("many")).where("many > 1").select("line", "first")
     return places.join(firsts, "line").where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first"))).select("doc_id", "line_no").distinct()

@@ -145,6 +145,49 @@ def test_line_dedup_is_brute_force(made):
     assert line_dedup.line_report(docs.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("few, block", [(20, 1000), (0, 7)])
+def test_line_dedup_of_interleaved_families(spark, made, monkeypatch, few, block):
+    """Families at a similarity of about 1/2 under one key: all pairs of a key are verified or connected."""
+    monkeypatch.setattr(line_dedup, "BANDS", 1)
+    monkeypatch.setattr(line_dedup, "FEW_PAIRS", few)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng = random.Random(17)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    lines = []
+    for _ in range(12):
+        shared = word(400)
+        for tail in (word(200), word(200)):
+            for _ in range(12):
+                k = rng.randrange(len(tail))
+                lines.append(shared + tail[:k] + "z" + tail[k + 1 :])
+    rng.shuffle(lines)
+    docs = made([(i, x, "en", "s") for i, x in enumerate(lines)])
+    of = line_dedup.lines_of(docs)
+    ids = {r["line"]: r["id"] for r in of.selectExpr("line", "xxhash64(line) AS id").collect()}
+    keyed = line_dedup._keyed(line_dedup._signatures(of)).collect()
+    key, sketch = {r["line_id"]: r["key"] for r in keyed}, {r["line_id"]: r["sketch"] for r in keyed}
+    sets = [{x[j : j + 9] for j in range(len(x) - 8)} for x in lines]
+    same = lambda a, b: sum((sketch[a] ^ sketch[b]) >> 6 * k & 63 == 0 for k in range(10))
+    roots, alike, apart = Roots(), 0, 0
+    for a in range(len(lines)):
+        for b in range(a):
+            x, y = ids[lines[a]], ids[lines[b]]
+            if key[x] == key[y] and same(x, y) >= line_dedup.AGREE:
+                common = len(sets[a] & sets[b])
+                if 5 * common >= 4 * (len(sets[a]) + len(sets[b]) - common):
+                    roots.join(a, b)
+                    alike += 1
+                else:
+                    apart += 1
+    assert alike and apart
+    seen, want = set(), set()
+    for i in range(len(lines)):
+        if roots.find(i) in seen:
+            want.add(i)
+        seen.add(roots.find(i))
+    assert {r["doc_id"] for r in line_dedup.dropped_lines(docs).collect()} == want
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
