@@ -23,6 +23,8 @@ columns play no part, and dedup_lines() keeps them.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -136,9 +138,9 @@ def _join_rest(met: DataFrame, pairs: DataFrame, texts: DataFrame, links: DataFr
 
     ``met`` has the lines of keys of four or more (fewer have all their pairs in ``pairs``). Lines of a
     key in several components meet again: all with one line of the key, another in each round, as long
-    as that joins components and the pairs left are many; then all pairs of two components.
+    as that halves the pairs left and they are many; then all pairs of two components.
     """
-    rest, turn, gained = met.where("line_id <> least.line_id").select("key", "line_id", "sketch", F.col("before.line_id").alias("before")), 0, True
+    rest, turn, before = met.where("line_id <> least.line_id").select("key", "line_id", "sketch", F.col("before.line_id").alias("before")), 0, math.inf
     while True:
         components = connected_components(links)
         placed = rest.join(components.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
@@ -149,7 +151,7 @@ def _join_rest(met: DataFrame, pairs: DataFrame, texts: DataFrame, links: DataFr
         lines, load = of.agg(F.sum("n"), F.sum(F.col("n").cast("double") * F.col("n") - F.col("own"))).first()
         if not lines:
             return components
-        last = load <= FEW_PAIRS * lines or not gained
+        last = load <= FEW_PAIRS * lines or load > before / 2
         if last:
             fresh = _all_pairs(now)
         else:
@@ -159,11 +161,10 @@ def _join_rest(met: DataFrame, pairs: DataFrame, texts: DataFrame, links: DataFr
             rest = now.join(pivots, "key").where("line_id <> pivot.line_id").select("key", "line_id", "sketch", "before")
         fresh = store(fresh.join(pairs, ["a", "b"], "left_anti"))
         more = store(_similar(texts, fresh))
-        gained = not more.isEmpty()
         links = links.union(more)
         if last:
-            return connected_components(links) if gained else components
-        pairs, turn = pairs.union(fresh), turn + 1
+            return components if more.isEmpty() else connected_components(links)
+        pairs, turn, before = pairs.union(fresh), turn + 1, load
 
 
 @tidy
