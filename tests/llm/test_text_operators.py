@@ -150,6 +150,12 @@ def test_proximity(spark, made):
     assert 2 not in {d for d, _ in got}
 
 
+@pytest.mark.parametrize("tag, shown", [("div style='overflow:hidden'", True), ("a href='/the-hidden-valley'", True), ("div title=\"Hidden gems\"", True), ("div data-hidden='false'", True), ("a href=/a/hidden/b", True), ("div hidden", False), ("div class=x HIDDEN=''", False), ("div aria-hidden='true'", False), ("div aria-hidden=false", True)])
+def test_html_hidden_is_an_attribute_name(tag, shown):
+    _, runs = html_text.parse(f"<article><{tag}><p>Words.</p></{tag.split()[0]}></article>")
+    assert ("Words." in "".join(text for _, text in runs)) == shown
+
+
 def test_html_held_out_pages():
     model = html_text.TreeModel().fit(html_text.labelled_pages(html_text.TRAIN_PAGES))
     wrong = total = 0
