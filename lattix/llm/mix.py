@@ -7,8 +7,8 @@ weight times one constant, cut at 1, the constant being such that the expected t
 ``BUDGET`` of all tokens. Whether a document stays depends only on its doc_id and that probability.
 
 Targets default to tempered shares of tokens, share ** exponent, made to sum to 1. Topics are
-clusters of hashed words (spherical k-means on at most ``TOPIC_SAMPLE`` documents); every document
-gets one. Tokens are words between white space. Cells are counted over all documents. They are raked on
+clusters of hashed words (spherical k-means over all documents, from seeds among ``TOPIC_SAMPLE``
+distinct ones); every document gets one. Tokens are words between white space. Cells are counted over all documents. They are raked on
 the driver up to ``MAX_CELLS``, beyond that by Spark joins on the stored table of cells.
 
 A null source or language is a level of its own. Null and empty texts have no tokens and topic 0;
@@ -47,23 +47,51 @@ def _word_shares(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12), np.diff(words.first)
 
 
+def _vectors(documents: DataFrame) -> DataFrame:
+    """v: the vector of each text with words, as the bytes of FEATURES float32 numbers."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, texts in text_slices(batch.column("text")):
+                vectors, n = _word_shares(texts)
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in vectors[n > 0].astype(np.float32)], pa.binary())], names=["v"])
+
+    return documents.select("text").mapInArrow(run, "v binary")
+
+
+def _sums(vectors: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """Sum of the vectors nearest to each centre, in units of 2^-30: whole numbers, so that their order doesn't matter."""
+
+    def run(batches):
+        total = np.zeros((len(centres), FEATURES), np.int64)
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column("v").to_pylist()), np.float32).reshape(-1, FEATURES).astype(float)
+            near = (x @ centres.T).argmax(1)
+            whole = np.rint(x * (1 << 30)).astype(np.int64)
+            for k in np.unique(near):
+                total[k] += whole[near == k].sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+
+    parts = [np.frombuffer(r["s"], np.int64) for r in vectors.mapInArrow(run, "s binary").collect()]
+    return np.sum(parts, axis=0).reshape(len(centres), FEATURES)
+
+
 def fit_topics(documents: DataFrame, topics: int = TOPICS, sample: int = TOPIC_SAMPLE, rounds: int = 20, seed: int = 1) -> np.ndarray:
-    """Centres (topic by hashed word) from the documents with the smallest hashes of doc_id."""
-    order = F.xxhash64("doc_id", F.lit(seed))
-    ids = documents.select("doc_id").orderBy(order, "doc_id").limit(sample)
-    texts = [r["text"] for r in documents.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id").orderBy("doc_id").limit(sample).collect()]
-    vectors = np.concatenate([_word_shares(t)[0] for _, _, t in text_slices(pa.array(texts, pa.large_string()))] or [np.zeros((0, FEATURES))])
-    vectors = vectors[vectors.any(1)]
-    rng = np.random.default_rng(seed)
-    if len(vectors) < topics:
+    """Centres (topic by hashed word): k-means over all documents, from distinct vectors with the smallest hashes."""
+    vectors = store(_vectors(documents))
+    hashed = vectors.select(F.xxhash64("v", F.lit(seed)).alias("h"), "v")
+    first = hashed.select("h").distinct().orderBy("h").limit(sample)
+    seeds = [np.frombuffer(r["v"], np.float32).astype(float) for r in hashed.join(F.broadcast(first), "h").groupBy("h").agg(F.min("v").alias("v")).orderBy("h").collect()]
+    if len(seeds) < topics:
         return np.eye(topics, FEATURES)
-    centres = vectors[rng.choice(len(vectors), topics, replace=False)]
+    centres = np.stack(seeds)[np.random.default_rng(seed).choice(len(seeds), topics, replace=False)]
     for _ in range(rounds):
-        near = (vectors @ centres.T).argmax(1)
-        for k in range(topics):
-            if (near == k).any():
-                centres[k] = vectors[near == k].sum(0)
-        centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+        sums = _sums(vectors, centres).astype(float)
+        new = np.where(sums.any(1, keepdims=True), sums, centres)
+        new /= np.linalg.norm(new, axis=1, keepdims=True)
+        if (new == centres).all():
+            break
+        centres = new
     return centres
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from lattix.llm import ann, line_dedup, mix, ngram_join, shard, warc
@@ -246,6 +247,23 @@ def test_mixing(spark, made, monkeypatch):
     assert {r["source"]: round(r["weight"], 4) for r in cells.collect()} == {"a": 0.8333, "b": 2.5}
 
 
+def test_topics_come_from_all_documents(made):
+    """Copies of one text fill a third, and a group lies outside any small sample: seeds are distinct, centres means of all."""
+    rng = random.Random(12)
+    groups = [[f"{g}{k}" for k in range(6)] for g in "abcdefgh"]
+    rows = [(i, " ".join(rng.choice(groups[i % 8]) for _ in range(40)), "en", "s") for i in range(400)] + [(400 + i, "copy of all", "en", "s") for i in range(200)]
+    docs = made(rows)
+    centres = mix.fit_topics(docs, sample=20)
+    assert len(np.unique(centres, axis=0)) == mix.TOPICS
+    vectors = np.concatenate([mix._word_shares(t)[0] for _, _, t in mix.text_slices(pa.array([r[1] for r in rows]))])
+    near = (vectors @ centres.T).argmax(1)
+    assert len(np.unique(near)) == mix.TOPICS
+    for k in range(mix.TOPICS):
+        mean = vectors[near == k].sum(0)
+        assert centres[k] == pytest.approx(mean / np.linalg.norm(mean), abs=1e-5)
+    assert (mix.fit_topics(docs.repartition(7), sample=20) == centres).all()
+
+
 def test_sharding(made):
     rng = random.Random(11)
     texts = ["word " * rng.randint(0, 300) + str(i) for i in range(900)] + ["copy of all"] * 450 + [None, "", "", "é"]
