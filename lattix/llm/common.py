@@ -26,12 +26,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A folder for this application under ``spark.checkpoint.dir``, which driver and executors share.
 
-    The setting is read from the session; only where it is unset (tests) a local folder is taken.
+    The setting is read from the session; where it is unset, a local folder is taken if the master is local.
     The folder is removed when the driver's Python ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = base or f"file://{tempfile.mkdtemp(prefix='lattix-')}"
         _FOLDERS[app] = f"{base.rstrip('/')}/lattix-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _FOLDERS[app])
@@ -103,40 +105,35 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_BASE = np.uint64(0x5851F42D4C957F2D)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTE_CODES = mix(np.arange(256, dtype=np.uint64))
-_powers: list[np.ndarray] = []
+#: The lowest n bytes of eight.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-def _base_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, at least n + 1 of each."""
-    if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        with np.errstate(over="ignore"):
-            _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64))]) for b in (_BASE, _BASE_INVERSE)]
-    return _powers[0], _powers[1]
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges: eight bytes at a time, each step a bijection of what was hashed before.
 
-
-class RollingHash:
-    """64-bit hashes of any substrings of a byte array after one pass over it."""
-
-    def __init__(self, data: np.ndarray):
-        powers, self._inverse = _base_powers(len(data))
-        with np.errstate(over="ignore"):
-            self._sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(_BYTE_CODES[data] * powers[: len(data)], out=self._sums[1:])
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((self._sums[end] - self._sums[start]) * self._inverse[start] + (end - start).astype(np.uint64))
+    Ranges of at most eight bytes of one length never collide, and no pattern within longer ones makes them collide.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    lengths = (ends - starts).astype(np.int64)
+    with np.errstate(over="ignore"):
+        code = mix(lengths.astype(np.uint64) * _M2)
+        live, at = np.flatnonzero(lengths > 0), starts
+        while len(live):
+            left = lengths[live] - (at[live] - starts[live])
+            chunk = eights[at[live]] & _MASKS[np.minimum(left, 8)]
+            code[live] = mix(code[live] * _M3 ^ chunk)
+            at = at + 8
+            live = live[left > 8]
+    return code
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
-    """The hashes that RollingHash gives for these byte strings."""
+    """The hashes that Words gives for these byte strings."""
     data = np.frombuffer(b"".join(words), np.uint8)
     ends = np.cumsum([len(w) for w in words], dtype=np.int64)
-    return RollingHash(data)(ends - np.array([len(w) for w in words], np.int64), ends) if words else np.zeros(0, np.uint64)
+    return hash_ranges(data, ends - np.array([len(w) for w in words], np.int64), ends) if words else np.zeros(0, np.uint64)
 
 
 # ---------------------------------------------------------------- tokens
@@ -193,8 +190,7 @@ class Words:
         self.ends = np.flatnonzero(inside[:-1] & (~inside[1:] | new_text))
         #: Words of text i are first[i] .. first[i + 1] - 1.
         self.first = np.searchsorted(self.starts, texts.bounds)
-        self.rolling = RollingHash(data)
-        self.hashes = self.rolling(self.starts, self.ends)
+        self.hashes = hash_ranges(data, self.starts, self.ends)
 
     def __len__(self) -> int:
         return len(self.starts)

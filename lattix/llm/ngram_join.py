@@ -1,35 +1,28 @@
 """Jaccard self-join of word n-gram sets by signature trees.
 
 1. Equal sets are one class from the start (`class_id`: a 64-bit hash of the set).
-2. The forest: sets are dealt to roots so that linked sets share one. Within a range of sizes two
-   linked sets differ by at most d n-grams, so if all n-grams are dealt by hash into more than d
-   parts, some part is the same in both. A root is a (size range, part, content); a set hangs under
-   one root for each of its parts. This loses no link. A set may also belong to the next range if a
-   linked larger one could. Parts without n-grams would bring unrelated sets together: some
-   spare parts make them unnecessary, except for sets with more such parts than spare ones. So would
-   parts of nothing but n-grams of passages that many documents share. These common n-grams are
-   left out of the parts (linked sets differ by at most d n-grams without them, too); sets that
-   then have more empty parts than those spare hang under roots made of all their n-grams as well.
-   A pair of such sets meets there, any other pair under a root without common n-grams. Which
-   n-grams count as common is told by a bounded sample, and changes the work but no result.
-   A linked pair shares more than one root: all parts but as many as it can differ in and as are
-   empty. So a set leaves the forest if fewer of its roots than that (`need`) hold other sets.
-3. Under each root the set that shares most roots is the hub. Parts that a set has in common with
-   its hub bound the overlap from below; where that bound alone proves the link, the link is kept.
-4. Links that are not known yet can only lie under open roots, whose members are not all in one
-   component. Again sets leave that have fewer open roots than they need, for a few rounds. What is
-   left are families: sets connected by open roots. Each family gets a signature tree, whose nodes hold the OR of their members' bitmaps of
-   n-grams, the range of their sizes and components. A dual traversal visits pairs of nodes and
-   drops those that can't reach the overlap for their sizes (bits in common, plus n-grams that share a
-   bit) or lie in one component; at the leaves, bitmaps and then the sets themselves decide.
-   Families above ``BLOCK`` sets are cut into blocks: the upper levels of their trees are
-   traversed on the blocks' nodes, and only the pairs of blocks that are left get a task each.
-5. Distributed union-find makes components of all links.
-
-No document is compared by a prefix or skipped for the size of its group. Null, empty and
+2. Which tree a set enters. All n-grams have one order (`hang`), and a set names the first of its
+   n-grams in that order as its roots: so many that a linked pair of sets shares at least ``need`` of
+   them, however the rest differs. A set with fewer roots that other sets name too is linked with
+   none and leaves. Of the roots that are left, all but ``need`` - 1 suffice for a pair to meet, so a
+   set keeps the rarest. Sets that are connected by kept roots are a family. This loses no link.
+   The order puts n-grams of passages that many documents share last; they are told by a sample
+   that grows with the corpus, and the order changes the work but no result. The rows of n-grams
+   that very many documents share are dealt out by set instead of by n-gram.
+3. Each family gets a signature tree, whose nodes hold the OR of their members' bitmaps of n-grams,
+   the range of their sizes and components. A dual traversal visits pairs of nodes and drops those
+   that can't reach the overlap for their sizes (bits in common, plus n-grams that share a bit) or lie
+   in one component; at the leaves, bitmaps and then the sets themselves decide.
+   Families above ``BLOCK`` sets are cut into blocks, each with its tree. Then a set of each
+   component found so far meets those of the other blocks in a tree of its own, which connects
+   groups of near copies of any size. Last, the upper levels of the blocks' trees are traversed,
+   and the pairs of blocks that may hold links between components get a task each.
+4. Distributed union-find makes components of all links.
+
+No document is compared by a prefix of its text or skipped for the size of its group. Null, empty and
 wordless texts have no n-grams and stay alone. Texts of fewer words than ``width`` have their whole
-sequence as the one n-gram. Rows with equal doc_id count as copies if their texts are equal; null
-doc_ids are not linked. Other columns play no part.
+sequence as the one n-gram. Rows with equal doc_id are rows like others. A row without doc_id takes
+part; its component is named by the smallest doc_id in it, null if there is none. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -38,24 +31,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, Texts, Words, mix, read, store, text_slices, tidy
 from .components import connected_components
 
-#: Upper ends of size ranges grow by this factor.
-RANGE = 1.5
 BITS = 4096
 LEAF, FAN = 32, 8
-#: Rounds in which sets with too few open roots leave; more rounds save work and change no result.
-PEELS = 3
-BLOCK = 1024
-#: Common n-grams: those in this many documents or more of a sample of so many; at most MAX_COMMON (2.4 MB) are told to the tasks.
-COMMON_SAMPLE, COMMON_DOCUMENTS, MAX_COMMON = 4000, 3, 300_000
+#: Sets of a block at most, and n-grams of a block from which on no other set enters it (16 MB).
+BLOCK, BLOCK_GRAMS = 1024, 2_000_000
+#: Rounds in which sets with too few shared roots leave; more rounds save work and change no result.
+PEELS = 1
+#: Common n-grams: those in this many documents or more of a sample of one in COMMON_RATE; at most MAX_COMMON (4 MB) are told to the tasks.
+COMMON_RATE, COMMON_DOCUMENTS, MAX_COMMON = 8, 3, 300_000
+#: N-grams of so many documents in the sample have their rows dealt out by set.
+HOT_DOCUMENTS = 250
 #: Distinct sets whose roots a task remembers to have sent already.
 REMEMBERED = 500_000
-#: Documents whose ids may be broadcast (8 MB); more are joined by a shuffle.
+#: Documents whose keys may be broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
@@ -64,40 +59,26 @@ class Measure:
 
     def __init__(self, p: int, q: int):
         self.p, self.q = p, q
-        self.starts = [1]
-        while self.starts[-1] < 1 << 40:
-            self.starts.append(max(self.starts[-1] + 1, int(self.starts[-1] * RANGE)))
 
-        spare = [self._spare(j) for j in range(len(self.starts) - 1)]
-        self._spares = np.array(spare, np.int64)
+    def least_partner(self, sizes: np.ndarray) -> np.ndarray:
+        """The smallest set that one of this size can be linked with, and their least overlap."""
+        return -(-self.p * sizes // self.q)
 
-    def _spare(self, j: int) -> int:
-        """Parts beyond d + 1 that suffice for the empty ones of nearly all sets of size range j."""
-        d = int(self.differ(j))
-        for s in (min(2, d), *(max(2, d * k // 100) for k in range(1, 101))) if d else ():
-            empty = (d + 1 + s) * np.exp(-self.starts[j] / (d + 1 + s))
-            if empty + 3 * np.sqrt(empty) <= s:
-                return s
-        return min(2, d)
+    def _extra(self, sizes: np.ndarray) -> np.ndarray:
+        return 1 + sizes - self.least_partner(sizes)
 
-    def spare(self, j: np.ndarray) -> np.ndarray:
-        return self._spares[j]
+    def roots(self, sizes: np.ndarray) -> np.ndarray:
+        """How many n-grams, in any order common to all sets, a set of this size names as its roots.
 
-    def ranges(self, sizes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(np.array(self.starts), sizes, side="right") - 1
+        Of the n-grams that a linked pair has in common at most ``least_partner - extra`` come behind
+        the roots of a set, so the first ``extra`` of them are roots of it.
+        """
+        return np.minimum(sizes, sizes - self.least_partner(sizes) + self._extra(sizes))
 
-    def differ(self, j: np.ndarray) -> np.ndarray:
-        """Most n-grams in which linked sets of size range j can differ."""
-        return 2 * (np.array(self.starts)[j + 1] - 1) * (self.q - self.p) // (self.q + self.p)
-
-    def differ_with(self, sizes: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Most n-grams in which a set of this size and a linked one of at most size range j can differ."""
-        largest = np.minimum(sizes * self.q // self.p, np.array(self.starts)[j + 1] - 1)
-        return (sizes + largest) * (self.q - self.p) // (self.q + self.p)
-
-    def reaches(self, sizes: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Could a linked set lie in the range above j?"""
-        return sizes * self.q // self.p >= np.array(self.starts)[j + 1]
+    def need(self, sizes: np.ndarray) -> np.ndarray:
+        """Roots at least that a set of this size shares with any that it is linked with."""
+        least = self.least_partner(sizes)
+        return np.minimum(least, self._extra(least))
 
     def needed(self, total):
         """Least overlap of linked sets whose sizes sum to ``total``."""
@@ -133,57 +114,19 @@ def _sums(values: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
         return low + (high << np.uint64(32))
 
 
-def _roots(code: np.ndarray, of: np.ndarray, sizes: np.ndarray, j: np.ndarray, measure: Measure, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(set, root, n-grams of the part, need) of sets 0.. in size ranges j. The two lowest bits of a root, its
-    kind, tell apart the ranges that a set can belong to, and parts of all n-grams from those of uncommon
-    ones. A set and one that it is linked with in a kind share at least ``need`` roots of that kind."""
-    differ = measure.differ(j)
-    spare = measure.spare(j)
-    parts = np.where(differ > 0, differ + 1 + spare, 0)
-    same = parts - measure.differ_with(sizes, j)
-    use = parts[of] > 0
-    code, of = code[use], of[use]
-    place = np.minimum(np.searchsorted(common, code), max(0, len(common) - 1))
-    rare = common[place] != code if len(common) else np.ones(len(code), bool)
-    owner, root, size = _deal(code[rare], of[rare], j, parts, 0)
-    full = size > 0
-    empties = parts - np.bincount(owner, full, len(j)).astype(np.int64)
-    # Of the parts that are the same, those empty in both sets are no roots; one of the two has no more than spare.
-    found = [(owner[full], root[full], size[full], (same - np.minimum(empties, spare))[owner[full]])]
-    poor = empties > spare
-    if poor.any():
-        own = poor[of]
-        owner, root, size = _deal(code[own], of[own], j, np.where(poor, parts, 0), 1)
-        empties = np.bincount(owner, size == 0, len(j)).astype(np.int64)
-        keep = (size > 0) | (empties > spare)[owner]
-        found.append((owner[keep], root[keep], size[keep], (same - np.minimum(empties, spare))[owner[keep]]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def _deal(code: np.ndarray, of: np.ndarray, j: np.ndarray, parts: np.ndarray, whole: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    first = np.concatenate([[0], np.cumsum(parts)])
-    spread = mix(code)
-    at = first[of] + ((spread >> np.uint64(32)) * parts[of].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-    total, size = _sums(spread, at, first[-1]), np.bincount(at, minlength=first[-1])
-    owner = np.repeat(np.arange(len(j)), parts)
-    part = np.arange(first[-1]) - first[owner]
-    root = mix(total ^ mix((j[owner].astype(np.uint64) << np.uint64(40)) | part.astype(np.uint64)))
-    root = (root << np.uint64(2)) | np.uint64(2 * whole) | (j[owner] & 1).astype(np.uint64)
-    return owner, root.view(np.int64), size.astype(np.int32)
-
-
-def common_shingles(documents: DataFrame, width: int) -> np.ndarray:
-    """Sorted hashes of n-grams that several documents of a bounded sample have."""
-    ids = documents.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(COMMON_SAMPLE)
+def common_shingles(documents: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, documents): sorted hashes of n-grams that several documents of the sample have, and in how many."""
 
     def run(batches):
         for batch in batches:
             for _, _, texts in text_slices(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(texts, width)[0].view(np.int64))], names=["code"])
 
-    sample = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text").mapInArrow(run, "code long")
-    often = sample.groupBy("code").count().where(F.col("count") >= COMMON_DOCUMENTS).orderBy(F.desc("count"), "code").limit(MAX_COMMON)
-    return np.sort(often.select("code").toPandas()["code"].to_numpy(np.int64).view(np.uint64))
+    sample = documents.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(COMMON_RATE)) == 0).select("text").mapInArrow(run, "code long")
+    often = sample.groupBy("code").count().where(F.col("count") >= COMMON_DOCUMENTS).orderBy(F.desc("count"), "code").limit(MAX_COMMON).toPandas()
+    code, count = often["code"].to_numpy(np.int64).view(np.uint64), often["count"].to_numpy(np.int64)
+    order = np.argsort(code)
+    return code[order], count[order]
 
 
 def _classes(code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -193,22 +136,46 @@ def _classes(code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(_sums(mix(code ^ np.uint64(0x5DEECE66D)), of, len(n)) ^ mix(n.astype(np.uint64))).view(np.int64)
 
 
+def _keyed(documents: DataFrame) -> DataFrame:
+    """doc_id, text and text_key, a hash of the text."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+
+
 def profile(documents: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, class_id (null: no n-grams)."""
+    """doc_id, text_key, n_shingles, class_id (null: no n-grams)."""
 
     def run(batches):
         for batch in batches:
             for lo, hi, texts in text_slices(batch.column("text")):
                 code, bounds = shingles(texts, width)
                 n = np.diff(bounds)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(_classes(code, bounds), mask=n == 0)], names=["doc_id", "n_shingles", "class_id"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "text_key")), pa.array(n.astype(np.int64)), pa.array(_classes(code, bounds), mask=n == 0)], names=["doc_id", "text_key", "n_shingles", "class_id"])
+
+    return _keyed(documents).mapInArrow(run, "doc_id long, text_key long, n_shingles long, class_id long")
+
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, class_id long")
+def pick_roots(code: np.ndarray, bounds: np.ndarray, measure: Measure, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, root, documents of the sample that have it) of sets of sorted n-grams."""
+    n = np.diff(bounds)
+    of = np.repeat(np.arange(len(n)), n)
+    often = np.zeros(len(code), np.int64)
+    if len(common[0]):
+        place = np.minimum(np.searchsorted(common[0], code), len(common[0]) - 1)
+        often = np.where(common[0][place] == code, common[1][place], 0)
+    rare = often == 0
+    before = np.concatenate([[0], np.cumsum(rare)])
+    rares = before[bounds[1:]] - before[bounds[:-1]]
+    rank_rare = before[:-1] - before[bounds[:-1]][of]
+    rank = np.where(rare, rank_rare, rares[of] + np.arange(len(code)) - bounds[:-1][of] - rank_rare)
+    keep = rank < measure.roots(n)[of]
+    return of[keep], code[keep], often[keep]
 
 
 def hang(documents: DataFrame, width: int, measure: Measure) -> DataFrame:
-    """root, class_id, tally (need of the set, n-grams of the part: 32 bits each): a row for each root of each set; a task sends a set once."""
+    """root, class_id, tally: a row for each root of each set; a task sends a set once.
+
+    tally holds, in 32 bits each, about how many sets name a hot root (0 for others) and the need of the set.
+    """
     common = common_shingles(documents, width)
 
     def run(batches):
@@ -216,8 +183,8 @@ def hang(documents: DataFrame, width: int, measure: Measure) -> DataFrame:
         for batch in batches:
             for lo, hi, texts in text_slices(batch.column("text")):
                 code, bounds = shingles(texts, width)
-                n, of = np.diff(bounds), np.repeat(np.arange(hi - lo), np.diff(bounds))
                 classes = _classes(code, bounds)
+                n = np.diff(bounds)
                 fresh = np.zeros(hi - lo, bool)
                 if len(sent) > REMEMBERED:
                     sent.clear()
@@ -225,67 +192,58 @@ def hang(documents: DataFrame, width: int, measure: Measure) -> DataFrame:
                     if n[i] and c not in sent:
                         sent.add(c)
                         fresh[i] = True
-                j = measure.ranges(np.maximum(n, 1))
-                for pick, up in ((fresh, 0), (fresh & measure.reaches(n, j), 1)):
-                    number, own = np.cumsum(pick) - 1, pick[of]
-                    owner, root, size, need = _roots(code[own], number[of[own]], n[pick], j[pick] + up, measure, common)
-                    yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(classes[pick][owner]), pa.array((need << 32) | size)], names=["root", "class_id", "tally"])
+                of, root, often = pick_roots(code, bounds, measure, common)
+                own = fresh[of]
+                of, root, often = of[own], root[own], often[own]
+                many = np.where(often >= HOT_DOCUMENTS, often * COMMON_RATE, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(root.view(np.int64)), pa.array(classes[of]), pa.array(np.minimum(many, 1 << 30) << 32 | measure.need(n)[of])], names=["root", "class_id", "tally"])
 
     return documents.select("text").where("text IS NOT NULL").mapInArrow(run, "root long, class_id long, tally long")
 
 
 def _shared_roots(batches):
-    """Of rows sorted by (root, class_id): one for each set of the roots that have several."""
+    """Of rows sorted by (root, class_id): one for each set of the roots that have several, with their number and a node of all of them."""
     held: pa.Table | None = None
     for batch in batches:
+        if not batch.num_rows:
+            continue
         held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        root, one = (held.column(c).to_numpy() for c in ("root", "class_id"))
-        # The last root may go on in the next batch.
-        whole = int(np.flatnonzero(root != root[-1])[-1]) + 1 if root[0] != root[-1] else 0
+        root = held.column("root").to_numpy()
+        # The last root may go on in the next batch, unless it is hot and needs no count.
+        whole = len(root) if batch.column("tally")[-1].as_py() >> 32 else int(np.searchsorted(root, root[-1]))
         if whole:
-            yield from _several(held.slice(0, whole), root[:whole], one[:whole])
+            yield from _several(held.slice(0, whole))
             held = held.slice(whole)
     if held is not None and held.num_rows:
-        yield from _several(held, *(held.column(c).to_numpy() for c in ("root", "class_id")))
+        yield from _several(held)
 
 
-def _several(rows: pa.Table, root: np.ndarray, one: np.ndarray):
+def _several(rows: pa.Table):
+    root, one, tally = (rows.column(c).to_numpy() for c in ("root", "class_id", "tally"))
     new = np.ones(len(root), bool)
     new[1:] = (root[1:] != root[:-1]) | (one[1:] != one[:-1])
-    rows, root = rows.filter(pa.array(new)), root[new]
-    mate = np.zeros(len(root), bool)
-    mate[1:] = root[1:] == root[:-1]
-    mate[:-1] |= mate[1:]
-    yield from rows.filter(pa.array(mate)).combine_chunks().to_batches(max_chunksize=50_000)
+    root, one, tally = root[new], one[new], tally[new]
+    hot = tally >> 32
+    starts = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
+    size = np.diff(np.concatenate([starts, [len(root)]]))
+    many = np.where(hot > 0, hot, np.repeat(size, size))
+    # The node that connects the sets of a root: the first of them, or for a hot root, whose sets lie in many tasks, the root itself.
+    node = np.where(hot > 0, root, np.repeat(one[starts], size))
+    keep = many > 1
+    made = pa.table({"root": root[keep], "class_id": one[keep], "need": tally[keep].astype(np.int32), "many": many[keep].astype(np.int32), "node": node[keep]})
+    yield from made.to_batches(max_chunksize=50_000)
 
 
-def _with_enough(rows: DataFrame) -> DataFrame:
-    """The rows (root, class_id, need, ...) of sets that have at least ``need`` roots of the kind; ``degree`` counts them."""
-    counted = rows.withColumn("degree", F.expr("count(*) over (partition by class_id, root & 3)"))
-    return counted.where("degree >= need")
+def _rarest(rows: DataFrame) -> DataFrame:
+    """Of rows (root, class_id, need, many, ...): those of sets with enough roots; of each set the rarest, all but need - 1."""
+    counted = rows.withColumn("_degree", F.expr("count(*) over (partition by class_id)")).withColumn("_rank", F.expr("row_number() over (partition by class_id order by many, root)"))
+    return counted.where("_degree >= need AND _rank <= _degree - need + 1").drop("_degree", "_rank")
 
 
-def _open(rows: DataFrame) -> DataFrame:
-    """Of rows with their sets' components: those under roots of several components, of sets that have enough such roots."""
-    several = rows.groupBy("root").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return store(_with_enough(rows.drop("degree").join(several.select("root"), "root", "left_semi")))
-
-
-def _to_hubs(batches):
-    """Of rows sorted by (root, degree descending, class_id): the pair of each set and the first one of its root."""
-    last_root, last_hub = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        root, one = (batch.column(c).to_numpy() for c in ("root", "class_id"))
-        new = np.ones(len(root), bool)
-        new[1:] = root[1:] != root[:-1]
-        hub = one[np.maximum.accumulate(np.where(new, np.arange(len(root)), 0))]
-        if root[0] == last_root:
-            hub[root == last_root] = last_hub
-        last_root, last_hub = root[-1], hub[-1]
-        keep = one != hub
-        yield pa.RecordBatch.from_arrays([pa.array(one[keep]), pa.array(hub[keep]), pa.array((root[keep] & 3).astype(np.int32)), batch.column("size").filter(pa.array(keep))], names=["class_id", "hub", "kind", "size"])
+def _peel(rows: DataFrame) -> DataFrame:
+    """Rows (root, class_id, node) of roots that still have several sets."""
+    several = rows.groupBy("root").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high").select("root")
+    return rows.join(several, "root", "left_semi")
 
 
 #: What a node has besides its bitmap.
@@ -405,16 +363,37 @@ def _groups(batches, key: str) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def _members(rows: pa.Table) -> Members:
-    return Members([np.frombuffer(x.as_py(), np.uint64) for x in rows.column("codes")], rows.column("component").to_numpy())
+def _members(rows: pa.Table, own: str = "component") -> Members:
+    return Members([np.frombuffer(x.as_py(), np.uint64) for x in rows.column("codes")], rows.column(own).to_numpy())
+
+
+def _in_blocks(sets: DataFrame, *order: str) -> DataFrame:
+    """The rows (family, n, ...) with a block: consecutive sets of a family in the given order.
+
+    Sets are dealt to tasks by ranges of (family, order), so a family of any size is spread over many tasks.
+    """
+    keys = ["family", *order]
+
+    def number(batches):
+        task, count, family, sets_in, grams = TaskContext.get().partitionId(), 0, None, 0, 0
+        for batch in batches:
+            blocks = []
+            for f, n in zip(batch.column("family").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                if f != family or sets_in == BLOCK or grams >= BLOCK_GRAMS:
+                    family, sets_in, grams, count = f, 0, 0, count + 1
+                sets_in, grams = sets_in + 1, grams + n
+                blocks.append((task << 40) | count)
+            yield batch.append_column("block", pa.array(blocks, pa.int64()))
+
+    return sets.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(number, sets.withColumn("block", F.lit(0).cast("long")).schema)
 
 
 def _sets_of(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``wanted`` (doc_id and others) with codes, the n-grams of its document as bytes."""
-    wanted = store(wanted)
+    """``wanted`` (doc_id, text_key, class_id and others) with codes, the n-grams of its document as bytes."""
     small = wanted.count() <= BROADCAST_IDS
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    rows = rows.join(F.broadcast(wanted) if small else wanted.hint("shuffle_hash"), "doc_id")
+    other = wanted.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    rows = _keyed(documents.where("text IS NOT NULL"))
+    rows = rows.join(F.broadcast(other) if small else other.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).drop("doc_id", "text_key", "_id", "_key")
     rest = [c for c in rows.columns if c != "text"]
     schema = rows.select(*rest).withColumn("codes", F.lit(b"")).schema
 
@@ -428,12 +407,29 @@ def _sets_of(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _family_links(families: DataFrame, measure: Measure) -> DataFrame:
-    """Links (a, b) between components, from sets with family, block, member (row number), component, codes."""
-    sides = families.select("family", "block", "component", "codes", "blocks", "member")
+LINKS = "a long, b long"
+
+
+def _block_links(sets: DataFrame, measure: Measure) -> DataFrame:
+    """Links (a, b) between classes that the tree of each block finds; a class may have several rows with the same set."""
+
+    def links(batches):
+        for rows in _groups(batches, "block"):
+            one = rows.column("class_id").to_numpy()
+            # The order within the block is kept, of each class the first row.
+            first = np.sort(np.unique(one, return_index=True)[1])
+            m = _members(rows.take(pa.array(first)), "class_id")
+            found = join_blocks(m, m, measure)
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    return sets.select("block", "near", "n", "class_id", "codes").repartition("block").sortWithinPartitions("block", "near", "n", "class_id").mapInArrow(links, LINKS)
+
+
+def _pair_links(sets: DataFrame, measure: Measure) -> DataFrame:
+    """Links (a, b) between components in different blocks of a family, from sets with family, block, class_id, component, codes."""
 
     def node(batches):
-        for rows in _groups(batches, "part"):
+        for rows in _groups(batches, "block"):
             m = _members(rows)
             top = SignatureTree(m.rows(), len(m.sizes)).levels[0]
             first = [rows.column(c)[:1].combine_chunks() for c in ("family", "block")]
@@ -444,78 +440,115 @@ def _family_links(families: DataFrame, measure: Measure) -> DataFrame:
             bitmaps = np.stack([np.frombuffer(x.as_py(), np.uint64) for x in rows.column("bitmap")])
             tree = SignatureTree((bitmaps, *(rows.column(c).to_numpy() for c in NODE)), 1)
             blocks = rows.column("block").to_numpy()
-            found = [(int(blocks[i]), int(blocks[k])) for i, k in dual_traversal(tree, tree, True, measure)]
-            family = rows.column("family")[0].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array([family] * len(found), pa.int64()), pa.array([a for a, _ in found], pa.int32()), pa.array([b for _, b in found], pa.int32())], names=["family", "a", "b"])
+            found = [(int(blocks[i]), int(blocks[k])) for i, k in dual_traversal(tree, tree, True, measure) if i != k]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["x", "y"])
 
     def links(batches):
         for rows in _groups(batches, "task"):
             sides = rows.column("side").to_numpy()
-            first = _members(rows.filter(pa.array(sides == 0)))
-            second = _members(rows.filter(pa.array(sides == 1))) if sides.any() else first
-            found = join_blocks(first, second, measure)
+            found = join_blocks(*(_members(rows.filter(pa.array(sides == k))) for k in (0, 1)), measure)
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    part = F.xxhash64("family", "block")
-    large = sides.where("blocks > 1").withColumn("part", part)
-    nodes = large.repartition("part").sortWithinPartitions("part", "member").mapInArrow(node, "family long, block int, bitmap binary, " + ", ".join(f"{c} long" for c in NODE))
-    split = nodes.repartition("family").sortWithinPartitions("family", "block").mapInArrow(pairs, "family long, a int, b int")
-    both = split.select("family", F.col("a").alias("block"), F.xxhash64("family", "a", "b").alias("task"), F.lit(0).alias("side")).unionByName(split.where("a <> b").select("family", F.col("b").alias("block"), F.xxhash64("family", "a", "b").alias("task"), F.lit(1).alias("side")))
-    dealt = sides.where("blocks > 1").join(both, ["family", "block"]).select("task", "side", "member", "component", "codes")
-    dealt = dealt.unionByName(sides.where("blocks = 1").select(F.xxhash64("family").alias("task"), F.lit(0).alias("side"), "member", "component", "codes"))
-    return dealt.repartition("task").sortWithinPartitions("task", "side", "member").mapInArrow(links, "a long, b long")
+    sides = sets.select("family", "block", "class_id", "component", "codes")
+    nodes = sides.repartition("block").sortWithinPartitions("block", "component", "class_id").mapInArrow(node, "family long, block long, bitmap binary, " + ", ".join(f"{c} long" for c in NODE))
+    split = store(nodes.repartition("family").sortWithinPartitions("family", "block").mapInArrow(pairs, "x long, y long"))
+    task = F.xxhash64("x", "y").alias("task")
+    both = split.select(F.col("x").alias("block"), task, F.lit(0).alias("side")).unionByName(split.select(F.col("y").alias("block"), task, F.lit(1).alias("side")))
+    dealt = sides.join(both, "block").select("task", "side", "class_id", "component", "codes")
+    return dealt.repartition("task").sortWithinPartitions("task", "side", "component", "class_id").mapInArrow(links, LINKS)
+
+
+def _with_components(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """``sets`` with their component under the links."""
+    components = connected_components(links).withColumnRenamed("node", "class_id")
+    return sets.join(components, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+
+
+def _unconnected(sets: DataFrame) -> DataFrame:
+    """Of sets with components: those of families that have several."""
+    several = sets.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("family")
+    return sets.join(several, "family", "left_semi")
+
+
+def family_links(documents: DataFrame, classes: DataFrame, width: int, measure: Measure) -> DataFrame:
+    """Links (a, b) between classes: enough to connect all that links connect."""
+    hung = hang(documents, width, measure)
+    shared = hung.repartition(F.when(F.shiftright("tally", 32) > 0, F.col("class_id")).otherwise(F.col("root"))).sortWithinPartitions("root", "class_id")
+    kept = store(_rarest(shared.mapInArrow(_shared_roots, "root long, class_id long, need int, many int, node long")).select("root", "class_id", "node"))
+    for _ in range(PEELS):
+        kept = store(_peel(kept))
+    edges = store(kept.select("class_id", "node").distinct())
+    family = connected_components(edges.select(F.col("class_id").alias("a"), F.col("node").alias("b"))).select(F.col("node").alias("class_id"), F.col("component").alias("family"))
+    members = edges.groupBy("class_id").agg(F.min("node").alias("near")).join(family, "class_id", "left").withColumn("family", F.coalesce("family", "class_id")).join(classes, "class_id")
+    blocked = store(_in_blocks(members, "near", "n", "class_id"))
+    several = blocked.groupBy("family").agg(F.count("*").alias("sets"), F.min("block").alias("low"), F.max("block").alias("high")).where("sets > 1")
+    wanted = store(blocked.join(several.select("family", (F.col("low") < F.col("high")).alias("split")), "family"))
+    sets = store(_sets_of(documents, wanted, width))
+    links = store(_block_links(sets, measure))
+    if wanted.where("split").isEmpty():
+        return links
+    placed = store(_unconnected(_with_components(wanted.where("split").drop("codes"), links)))
+    chosen = placed.groupBy("family", "component").agg(F.min(F.struct("near", "n", "class_id")).alias("first")).select("family", "first.*")
+    meeting = _in_blocks(chosen, "near", "n", "class_id")
+    more = store(_block_links(sets.select("class_id", "codes").join(meeting, "class_id"), measure))
+    links = store(links.unionByName(more))
+    left = store(_unconnected(_with_components(wanted.where("split"), links)))
+    if left.isEmpty():
+        return links
+    one_each = sets.select("class_id", "codes").join(left, "class_id").dropDuplicates(["class_id"])
+    return store(links.unionByName(_pair_links(store(one_each), measure)))
+
+
+def _components(documents: DataFrame, width: int, p: int, q: int) -> DataFrame:
+    """The profile of every row, with component, a class (null: no n-grams), and component_id, the smallest doc_id in it."""
+    profiles = store(profile(documents, width))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    classes = profiles.where("class_id IS NOT NULL").groupBy("class_id").agg(first, F.first("n_shingles").alias("n"))
+    classes = store(classes.select("class_id", "first.doc_id", "first.text_key", "n"))
+    links = family_links(documents, classes, width, Measure(p, q))
+    linked = connected_components(links).withColumnRenamed("node", "class_id").join(classes, "class_id")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = linked.join(least, "component").select("class_id", "component", "component_id")
+    alone = classes.join(named, "class_id", "left_anti").select("class_id", F.col("class_id").alias("component"), F.col("doc_id").alias("component_id"))
+    return profiles.join(store(named.unionByName(alone)), "class_id", "left")
 
 
 @tidy
 def link_components(documents: DataFrame, width: int = 5, p: int = 4, q: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for every row; links are Jaccard similarities of p / q or more."""
-    measure = Measure(p, q)
-    profiles = store(profile(documents, width))
-    classes = store(profiles.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n")))
-    hung = hang(documents, width, measure)
-    shared = hung.repartition("root").sortWithinPartitions("root", "class_id").mapInArrow(_shared_roots, hung.schema)
-    shared = shared.select("root", "class_id", F.shiftright("tally", 32).cast("int").alias("need"), F.col("tally").bitwiseAND(0xFFFFFFFF).cast("int").alias("size"))
-    shared = store(_with_enough(shared))
-    ranked = shared.select("root", "class_id", "size", "degree").repartition("root").sortWithinPartitions("root", F.desc("degree"), "class_id")
-    to_hub = store(ranked.mapInArrow(_to_hubs, "class_id long, hub long, kind int, size int").groupBy("class_id", "hub", "kind").agg(F.sum("size").alias("overlap")))
-    sizes = classes.select("class_id", "n")
-    proven = to_hub.join(sizes, "class_id").join(sizes.select(F.col("class_id").alias("hub"), F.col("n").alias("m")), "hub")
-    proven = proven.where(F.col("overlap") * (p + q) >= p * (F.col("n") + F.col("m")))
-    known = connected_components(proven.select(F.col("class_id").alias("a"), F.col("hub").alias("b")))
-
-    placed = shared.select("root", "class_id", "need").join(known.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    for _ in range(PEELS):
-        placed = _open(placed)
-    # Of open roots with the same members, one.
-    open_roots = placed.groupBy("root").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("class_id")).alias("print"), F.count("*").alias("many")).where("low <> high")
-    open_roots = open_roots.groupBy("print", "many").agg(F.min("root").alias("root"), F.min("low").alias("low"))
-    members = store(placed.join(open_roots.select("root", "low"), "root").select("class_id", "component", "low").distinct())
-    family = connected_components(members.select(F.col("component").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("family"))
-    members = members.select("class_id", "component").distinct().join(family, "component").join(classes, "class_id")
-    spots = "row_number() over (partition by family order by component, n, class_id) - 1"
-    members = members.withColumn("member", F.expr(spots)).withColumn("block", (F.col("member") / BLOCK).cast("int"))
-    blocks = members.groupBy("family").agg((F.max("block") + 1).alias("blocks"))
-    wanted = members.join(blocks, "family").select(F.col("first_doc").alias("doc_id"), "class_id", "family", "component", "member", "block", "blocks")
-    sets = _sets_of(documents, wanted, width)
-    # A doc_id may stand in several rows: only the set that was asked for counts.
-    sets = store(sets.dropDuplicates(["class_id"]) if _repeats(profiles) else sets)
-    found = store(_family_links(sets, measure))
-    joined = connected_components(proven.select(F.col("class_id").alias("a"), F.col("hub").alias("b")).unionByName(found))
-    groups = classes.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    least = groups.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    named = groups.join(least, "component").select("class_id", "component_id")
-    return profiles.select("doc_id", "n_shingles", "class_id").join(named, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _repeats(profiles: DataFrame) -> bool:
-    """Has any doc_id several rows?"""
-    return not profiles.groupBy("doc_id").count().where("count > 1").isEmpty()
+    rows = _components(documents, width, p, q)
+    return rows.select("doc_id", "n_shingles", F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+@tidy
+def _kept_rows(documents: DataFrame, width: int, p: int, q: int) -> DataFrame:
+    """_lattix_doc, _lattix_text, _lattix_copies: doc_id and text_key of the one row of each component that stays, and how many rows have both."""
+    rows = _components(documents, width, p, q).where("class_id IS NOT NULL")
+    same = rows.groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("copies"))
+    first = same.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "copies")).alias("first"))
+    return first.select(F.col("first.doc_id").alias("_lattix_doc"), F.col("first.text_key").alias("_lattix_text"), F.col("first.copies").alias("_lattix_copies"))
 
 
 def drop_near_copies(documents: DataFrame, width: int = 5, p: int = 4, q: int = 5) -> DataFrame:
-    """The documents, with all their columns, whose doc_id is the smallest of their component."""
-    kept = link_components(documents, width, p, q).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """The documents, with all their columns: of each component the row with the smallest doc_id, and all without n-grams.
+
+    Nulls come behind all doc_ids. Of rows with equal doc_id the text with the least hash goes first, and of
+    rows that also have the same text any one stays.
+    """
+    kept = _kept_rows(documents, width, p, q)
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    rows = documents.withColumns({"_lattix_id": F.col("doc_id").cast("long"), "_lattix_key": F.xxhash64(F.col("text").cast("string"))})
+    here = F.col("_lattix_id").eqNullSafe(F.col("_lattix_doc")) & (F.col("_lattix_key") == F.col("_lattix_text"))
+    stay = rows.join(kept.where("_lattix_copies = 1"), here, "left_semi").select(*columns)
+    repeated = kept.where("_lattix_copies > 1")
+    if not repeated.isEmpty():
+        stay = stay.unionByName(rows.join(repeated, here, "left_semi").dropDuplicates(["_lattix_id", "_lattix_key"]).select(*columns))
+    return stay.unionByName(_without_ngrams(documents))
+
+
+def _without_ngrams(documents: DataFrame) -> DataFrame:
+    """The rows whose text has no word."""
+    return documents.where(F.col("text").isNull() | ~F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from lattix.llm import ann, line_dedup, mix, ngram_join, shard, warc
+from lattix.llm.common import hash_words
 from lattix.llm.components import connected_components
 
 
@@ -328,26 +329,58 @@ def test_url_key(spark):
 
 @pytest.mark.parametrize(("p", "q"), [(4, 5), (9, 10)])
 def test_linked_sets_share_the_roots_they_need(p, q):
-    """Barely linked sets of many sizes, with and without common n-grams: in some kind both have enough shared roots."""
+    """Barely linked sets of many sizes, with and without common n-grams: both need no more roots than they share."""
     rng = np.random.default_rng(5)
     measure = ngram_join.Measure(p, q)
-    for trial in range(300):
-        n = int(rng.integers(12, 400))
-        total = rng.integers(1, 1 << 62, 2 * n, dtype=np.uint64)
+    for trial in range(400):
+        n = int(rng.integers(1, 400))
+        total = rng.integers(1, 1 << 62, 2 * n + 1, dtype=np.uint64)
         m = n - int(rng.integers(0, n - measure.needed(2 * n) + 1))
         least = measure.needed(n + m)
         if least > m:
             continue
         x, y = np.unique(total[:n]), np.unique(np.concatenate([total[:least], total[n : n + m - least]]))
         common = np.unique(total[: int(rng.integers(0, n))]) if trial % 2 else np.zeros(0, np.uint64)
-        seen = []
-        for s in (x, y):
-            size, roots = np.array([len(s)]), {}
-            j = measure.ranges(size)
-            for up in (0, 1)[: 1 + int(measure.reaches(size, j)[0])]:
-                _, root, _, need = ngram_join._roots(s, np.zeros(len(s), np.int64), size, j + up, measure, common)
-                for r, k in zip(root.tolist(), need.tolist(), strict=True):
-                    roots.setdefault(r & 3, ({}, k))[0][r] = True
-            seen.append(roots)
-        a, b = seen
-        assert any(len(a[k][0].keys() & b[k][0].keys()) >= max(a[k][1], b[k][1], 1) for k in a.keys() & b.keys()), (n, m)
+        found = [set(ngram_join.pick_roots(s, np.array([0, len(s)]), measure, (common, np.ones(len(common), np.int64)))[1].tolist()) for s in (x, y)]
+        need = max(int(measure.need(np.array([len(s)]))[0]) for s in (x, y))
+        assert len(found[0] & found[1]) >= need >= 1, (n, m)
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Repeated and null doc_ids, rows without words, columns with names like the operator's own."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(2, b), (5, a), (5, b), (1, "x y"), (1, "x y"), (None, a), (None, a), (None, "only one"), (None, "only one"), (7, None), (7, None), (8, " ")]
+    docs = spark.createDataFrame([(*r, i, "k") for i, r in enumerate(rows)], "doc_id long, text string, _id int, component string")
+    kept = ngram_join.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(2, b), (5, a), (1, "x y"), (None, "only one"), (7, None), (7, None), (8, " ")], key=str)
+    found = sorted((tuple(r) for r in ngram_join.link_components(docs).collect()), key=str)
+    assert found == sorted([(2, 26, 2), (5, 26, 5), (5, 26, 2), (1, 1, 1), (1, 1, 1), (None, 26, 5), (None, 26, 5), (None, 1, None), (None, 1, None), (7, 0, 7), (7, 0, 7), (8, 0, 8)], key=str)
+
+
+def test_words_that_differ_by_a_pattern_have_different_hashes():
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    hashes = hash_words([word.encode(), other.encode(), b"", b"a", b"a" * 8, b"a" * 9, b"b"])
+    assert len(set(hashes.tolist())) == 7
+
+
+def test_linked_groups_over_many_blocks_and_hot_roots(made, monkeypatch):
+    """A large group of near copies, and unrelated sets with a passage that all share, against brute force."""
+    for name, value in (("BLOCK", 8), ("HOT_DOCUMENTS", 5), ("COMMON_RATE", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(8)
+    fresh = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    base, passage, texts = fresh(60), fresh(50), []
+    for _ in range(60):
+        x = base[:]
+        x[rng.randrange(60)] = fresh(1)[0]
+        texts.append(" ".join(x))
+    texts += [" ".join(passage + fresh(rng.randrange(4, 14))) for _ in range(40)]
+    rng.shuffle(texts)
+    docs = made([(i, t, "en", "s") for i, t in enumerate(texts)])
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.link_components(docs, 5, 4, 5).collect()}
+    assert got == brute_links(texts, 5, 4, 5)
