@@ -4,14 +4,16 @@ A line (text between newlines, trimmed and lower-cased) is the set of its shingl
 all runs of ``SHINGLE`` bytes of its UTF-8, or of the whole line if it is shorter. Its signature has
 the least hash in each of ``BINS`` equal ranges of hash values (one-permutation MinHash: each shingle is
 hashed once, and one aggregation of conditional minima gives the whole signature). ``BANDS`` bands of
-neighbouring bins are the keys under which lines meet. Under a key, a line is first compared with the least
-line of the key and with the one before it: as many candidates as lines, however many meet. Lines of
+neighbouring bins are the keys under which lines meet. Under a key, all lines are first compared with one
+of them, so there are no more candidates than lines, however many meet. Lines of
 a key that are then in several components meet again until each pair of the key is compared or connected.
 Candidates whose signatures agree in ``AGREE`` bins or more (by ``BITS`` bits of each) are verified by the exact
 Jaccard similarity of their shingle sets (``P`` / ``Q`` or more), and distributed union-find makes
 components of the verified pairs. Of each component the first occurrence, by doc_id and line number,
 stays.
 
+Lines above ``SHORT`` bytes look for their minima in the lowest quarter of each range, where nearly all are.
+
 Banding misses a pair at the very threshold with a probability of (1 - J^2)^5 or 0.6 %, agreement in
 fewer bins than ``AGREE`` happens to 0.1 % of such pairs, and both are rarer above the threshold.
 Equal lines are one line from the start and always found.
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, store, tidy
@@ -43,7 +45,10 @@ BLOCK = 1000
 FEW_PAIRS = 20
 
 #: Bins of the upper halves of hashes.
-_LIMITS = [-(1 << 31) + (k << 32) // BINS for k in range(BINS)] + [1 << 31]
+WIDTH = (1 << 32) // BINS
+_LIMITS = [-(1 << 31) + k * WIDTH for k in range(BINS)] + [1 << 31]
+#: Lines of more bytes than SHORT look for minima in the lowest of LOWEST parts of each range, and among their FIRST shingles.
+SHORT, LOWEST, FIRST = 160, 4, 16
 
 
 def normal_line(line: Column) -> Column:
@@ -65,22 +70,25 @@ def lines_of(documents: DataFrame) -> DataFrame:
 
 def _signatures(lines: DataFrame) -> DataFrame:
     """line_id and the minima bin0, bin1, ... (null: empty) of each distinct line."""
-    data = lines.select(F.xxhash64("line").alias("line_id"), F.col("line").cast("binary").alias("data"))
+    data = lines.select(F.xxhash64("line").alias("line_id"), F.col("line").cast("binary").alias("data"), (F.octet_length("line") <= SHORT).alias("short"))
     starts = F.sequence(F.lit(1), F.greatest(F.octet_length("data") - (SHINGLE - 1), F.lit(1)))
-    hashes = data.select("line_id", "data", F.explode(starts).alias("at")).select("line_id", F.shiftright(F.xxhash64(F.substring("data", F.col("at"), F.lit(SHINGLE))), 32).cast("int").alias("h"))
+    hashes = data.select("line_id", "data", "short", F.explode(starts).alias("at")).select("line_id", (F.col("short") | (F.col("at") <= FIRST)).alias("always"), F.shiftright(F.xxhash64(F.substring("data", F.col("at"), F.lit(SHINGLE))), 32).cast("int").alias("h"))
     h = F.col("h")
+    # Of a longer line only the lowest part of each range counts: nearly all minima lie there, and the rest need no aggregation.
+    # Its first shingles always count, since a line that repeats itself may have no other.
+    hashes = hashes.where(F.col("always") | ((h.cast("long") + (1 << 31)) % WIDTH < WIDTH // LOWEST))
     return hashes.groupBy("line_id").agg(*[F.min(F.when((h >= low) & (h < high), h)).alias(f"bin{k}") for k, (low, high) in enumerate(zip(_LIMITS, _LIMITS[1:], strict=False))])
 
 
 def _keyed(signatures: DataFrame) -> DataFrame:
-    """line_id, sketch (BITS bits of each bin) and key, for each band of a line that isn't empty."""
+    """line_id, sketch (BITS bits of each bin) and keys, one for each band of the line that isn't empty."""
     bins = [F.col(f"bin{k}") for k in range(BINS)]
     sketch = F.lit(0).cast("long")
     for c in bins:
         # Minima lie low in their ranges: their hashes are spread, their values aren't.
         sketch = F.shiftleft(sketch, BITS).bitwiseOR(F.when(c.isNotNull(), F.hash(c).bitwiseAND(F.lit((1 << BITS) - 1)).cast("long")).otherwise(F.lit(0).cast("long")))
     bands = [F.when(F.coalesce(*bins[b * ROWS : (b + 1) * ROWS]).isNotNull(), F.xxhash64(F.lit(b), *[F.coalesce(c, F.lit(0)) for c in bins[b * ROWS : (b + 1) * ROWS]])) for b in range(BANDS)]
-    return signatures.select("line_id", sketch.alias("sketch"), F.explode(F.array(*bands)).alias("key")).where("key IS NOT NULL")
+    return signatures.select("line_id", sketch.alias("sketch"), F.array_compact(F.array(*bands)).alias("keys"))
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -92,17 +100,10 @@ def _agree(a: Column, b: Column) -> Column:
     return out
 
 
-def _met(lines: DataFrame) -> DataFrame:
-    """line_id, sketch, key, least and before (structs of the two) and the number of lines, for keys of two lines or more."""
-    keys = Window.partitionBy("key")
-    order, this = keys.orderBy("line_id"), F.struct("line_id", "sketch")
-    return _keyed(_signatures(lines)).select("*", F.lag(this).over(order).alias("before"), F.first(this).over(order).alias("least"), F.count("*").over(keys).alias("many")).where("many > 1")
-
-
-def _candidates(met: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of each line with the least line of its key and the one before it, if their sketches agree enough."""
-    pairs = met.where("before IS NOT NULL").select(F.col("line_id").alias("a"), "sketch", F.explode(F.array("before", "least")).alias("other"))
-    return pairs.where(_agree(F.col("sketch"), F.col("other.sketch")) >= AGREE).select("a", F.col("other.line_id").alias("b")).distinct()
+def _met(keyed: DataFrame) -> DataFrame:
+    """line_id, sketch and key, for keys of two lines or more. Keys are counted before their lines meet, so none is gathered in a task."""
+    rows = keyed.select("line_id", "sketch", F.explode("keys").alias("key"))
+    return rows.join(rows.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key"), "key", "left_semi")
 
 
 def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -125,46 +126,48 @@ def _all_pairs(rest: DataFrame) -> DataFrame:
     """Pairs under a key that are in two components, whose sketches agree enough; keys of many lines are dealt out by pairs of blocks."""
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
     dealt = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("line_id", F.lit(BLOCK)), F.col("blocks")).cast("int"))
-    x = dealt.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.struct("line_id", "sketch", "component", "before").alias("x"))
-    y = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.struct("line_id", "sketch", "component", "before").alias("y"))
+    x = dealt.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.struct("line_id", "sketch", "component").alias("x"))
+    y = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.struct("line_id", "sketch", "component").alias("y"))
     new = (F.col("x.component") != F.col("y.component")) & ((F.col("i") < F.col("j")) | (F.col("x.line_id") < F.col("y.line_id")))
-    met = (F.col("x.before") == F.col("y.line_id")) | (F.col("y.before") == F.col("x.line_id"))
-    both = x.join(y.withColumnsRenamed({"i": "_i", "j": "_j", "key": "_key"}), (F.col("key") == F.col("_key")) & (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")) & new & ~met & (_agree(F.col("x.sketch"), F.col("y.sketch")) >= AGREE))
+    both = x.join(y.withColumnsRenamed({"i": "_i", "j": "_j", "key": "_key"}), (F.col("key") == F.col("_key")) & (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")) & new & (_agree(F.col("x.sketch"), F.col("y.sketch")) >= AGREE))
     return both.select(F.greatest("x.line_id", "y.line_id").alias("a"), F.least("x.line_id", "y.line_id").alias("b")).distinct()
 
 
-def _join_rest(met: DataFrame, pairs: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
-    """Components when all pairs under a key are verified or already connected.
+def _components(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component) of lines when all pairs under a key are verified or already connected.
 
-    ``met`` has the lines of keys of four or more (fewer have all their pairs in ``pairs``). Lines of a
-    key in several components meet again: all with one line of the key, another in each round, as long
-    as that halves the pairs left and they are many; then all pairs of two components.
+    The lines of a key that are in several components meet one of them, its pivot, which then leaves the
+    key; another in each round, as long as that halves the pairs left and they are many; then all pairs of
+    two components. Pairs are verified once, and keys are aggregated before any line is joined to them.
     """
-    rest, turn, before = met.where("line_id <> least.line_id").select("key", "line_id", "sketch", F.col("before.line_id").alias("before")), 0, math.inf
+    rest, turn, before = met, 0, math.inf
+    components = links = pairs = None
     while True:
-        components = connected_components(links)
-        placed = rest.join(components.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
-        keys = Window.partitionBy("key")
-        spread = placed.select("*", F.min("component").over(keys).alias("low"), F.max("component").over(keys).alias("high"), F.count("*").over(keys).alias("many"))
-        now = store(spread.where("low < high").drop("low", "high"))
+        if turn:
+            components = connected_components(links)
+            rest = rest.join(components.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
+        else:
+            rest = rest.withColumn("component", F.col("line_id"))
+        pivot = F.min_by(F.struct("line_id", "sketch", "component"), F.xxhash64("line_id", F.lit(turn))).alias("pivot")
+        keys = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many"), pivot).where("low < high").drop("low", "high")
+        now = store(rest.join(keys, "key"))
         of = now.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
         lines, load = of.agg(F.sum("n"), F.sum(F.col("n").cast("double") * F.col("n") - F.col("own"))).first()
         if not lines:
-            return components
-        last = load <= FEW_PAIRS * lines or load > before / 2
+            return components if turn else connected_components(met.select(F.col("line_id").alias("a"), F.col("line_id").alias("b")))
+        last = turn > 0 and (load <= FEW_PAIRS * lines or load > before / 2)
         if last:
             fresh = _all_pairs(now)
         else:
-            pivots = now.groupBy("key").agg(F.min_by(F.struct("line_id", "sketch", "component"), F.xxhash64("line_id", F.lit(turn))).alias("pivot"))
-            met_again = now.join(pivots, "key").where((F.col("component") != F.col("pivot.component")) & (_agree(F.col("sketch"), F.col("pivot.sketch")) >= AGREE))
+            met_again = now.where((F.col("component") != F.col("pivot.component")) & (_agree(F.col("sketch"), F.col("pivot.sketch")) >= AGREE))
             fresh = met_again.select(F.greatest("line_id", "pivot.line_id").alias("a"), F.least("line_id", "pivot.line_id").alias("b")).distinct()
-            rest = now.join(pivots, "key").where("line_id <> pivot.line_id").select("key", "line_id", "sketch", "before")
-        fresh = store(fresh.join(pairs, ["a", "b"], "left_anti"))
+            rest = now.where("line_id <> pivot.line_id").select("key", "line_id", "sketch")
+        fresh = store(fresh if pairs is None else fresh.join(pairs, ["a", "b"], "left_anti"))
         more = store(_similar(texts, fresh))
-        links = links.union(more)
+        links = more if links is None else links.union(more)
         if last:
             return components if more.isEmpty() else connected_components(links)
-        pairs, turn, before = pairs.union(fresh), turn + 1, load
+        pairs, turn, before = fresh if pairs is None else pairs.union(fresh), turn + 1, load
 
 
 @tidy
@@ -172,14 +175,13 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, line_no) of the lines that go."""
     lines = lines_of(documents.select("doc_id", "text"))
     places = store(lines.select("doc_id", "line_no", F.xxhash64("line").alias("line_id")))
-    met = store(_met(lines))
-    pairs = store(_candidates(met))
-    large = met.where("many > 3")
-    texts = _texts(lines, pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).union(large.select("line_id")))
-    components = _join_rest(large, pairs, texts, store(_similar(texts, pairs))).withColumnRenamed("node", "line_id")
+    met = store(_met(store(_keyed(_signatures(lines)))))
+    texts = _texts(lines, met.select("line_id"))
+    components = _components(met, texts).withColumnRenamed("node", "line_id")
     places = places.join(components, "line_id", "left").select("doc_id", "line_no", F.coalesce("component", "line_id").alias("line"))
-    firsts = places.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("many")).where("many > 1").select("line", "first")
-    return places.join(firsts, "line").where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first"))).select("doc_id", "line_no").distinct()
+    firsts = store(places.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("many")).where("many > 1").select("line", "first"))
+    few = firsts.count() <= BROADCAST_IDS
+    return places.join(F.broadcast(firsts) if few else firsts, "line").where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first"))).select("doc_id", "line_no").distinct()
 
 
 def line_report(documents: DataFrame) -> DataFrame:
@@ -193,11 +195,11 @@ def line_report(documents: DataFrame) -> DataFrame:
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """The documents, with all their columns, whose text has lost the lines that go."""
-    drops = dropped_lines(documents).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("line_no").alias("_drops"))
-    rows = documents.join(drops, documents["doc_id"].eqNullSafe(F.col("_id")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_drops", i)), "\n")
-    text = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(kept).alias("text")
-    return rows.select(*[text if c == "text" else documents[c] for c in documents.columns])
+    drops = dropped_lines(documents).groupBy(F.col("doc_id").alias("_lattix_id")).agg(F.collect_list("line_no").alias("_lattix_drops"))
+    rows = documents.join(drops, F.col("doc_id").eqNullSafe(F.col("_lattix_id")), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_lattix_drops", i)), "\n")
+    text = F.when(F.col("_lattix_drops").isNull(), F.col("text")).otherwise(kept).alias("text")
+    return rows.select(*[text if c == "text" else F.col(f"`{c}`") for c in documents.columns])
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
