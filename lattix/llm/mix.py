@@ -1,18 +1,22 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Documents fall into cells of (source, language, topic). Raking multiplies the tokens of all cells by
-a factor for each source, each language and each topic in turn until the weighted tokens have the
-three target marginals. Each document is then kept with the probability of its cell: the cell's
-weight times one constant, cut at 1, the constant being such that the expected tokens are
-``BUDGET`` of all tokens. Whether a document stays depends only on its doc_id and that probability.
-
-Targets default to tempered shares of tokens, share ** exponent, made to sum to 1. Topics are
+Documents fall into cells of (source, language, topic), each with a probability that its documents
+stay: ``BUDGET`` at first. Raking multiplies it by a factor for each source, each language and each
+topic in turn, with 1 as the upper bound of the product, until the expected tokens of every level are
+the target share of ``BUDGET`` of all tokens. Since the bound is inside the loop, the sample has the
+target marginals, not only the weights before a cut. If that is not reached in ``ROUNDS`` rounds to
+``TOLERANCE``, the targets ask for more tokens than there are: given targets then raise ValueError.
+Whether a document stays depends only on its doc_id and its probability.
+
+Targets are shares by level value (None: null), for any of the three marginals. Those not given are
+tempered shares of tokens, share ** exponent, made to sum to 1, or as many tenths of the way there from the
+shares of the corpus as the bound allows. Topics are
 clusters of hashed words (spherical k-means over all documents, from seeds among ``TOPIC_SAMPLE``
 distinct ones); every document gets one. Tokens are words between white space. Cells are counted over all documents. They are raked on
-the driver up to ``MAX_CELLS``, beyond that by Spark joins on the stored table of cells.
+the driver up to ``MAX_CELLS``, beyond that by Spark joins on the stored table of cells: the same steps to the same tolerance.
 
 A null source or language is a level of its own. Null and empty texts have no tokens and topic 0;
-cells without tokens have weight 1. Rows that repeat are decided alike. An empty table gives an
+they stay by the probability of their cell, or by ``BUDGET`` where its levels have none. Rows that repeat are decided alike. An empty table gives an
 empty result. Other columns are kept by mix_documents().
 """
 
@@ -33,8 +37,8 @@ TOPICS = 8
 TOPIC_SAMPLE = 2000
 FEATURES = 256
 MAX_CELLS = 200_000
-ROUNDS = 200
-TOLERANCE = 1e-9
+ROUNDS = 400
+TOLERANCE = 1e-7
 MARGINS = ("source", "lang", "topic")
 
 
@@ -111,90 +115,124 @@ def with_topics(documents: DataFrame, centres: np.ndarray) -> DataFrame:
     return documents.mapInArrow(run, schema)
 
 
-def tempered(tokens: pd.Series, exponent: float) -> pd.Series:
-    raised = tokens.where(tokens > 0, 0).astype(float) ** exponent * (tokens > 0)
-    return raised / max(raised.sum(), 1e-300)
+def _check_targets(targets: dict[str, dict]) -> None:
+    for m, shares in targets.items():
+        if m not in MARGINS or any(not x >= 0 for x in shares.values()) or abs(sum(shares.values()) - 1) > 1e-6:
+            raise ValueError(f"targets of {m} must be shares by level that sum to 1, of one of {MARGINS}")
 
 
-def rake(cells: pd.DataFrame, targets: dict[str, pd.Series] | None = None) -> pd.Series:
-    """Weights of cells (source, lang, topic, tokens): weighted tokens have the target marginals and the same total.
+def _plain(level):
+    return None if pd.isna(level) else level
 
-    Targets: shares by level number, where level k is the k-th distinct value in order of appearance.
-    """
-    tokens = cells["tokens"].to_numpy(float)
-    levels = {m: pd.factorize(cells[m], use_na_sentinel=False)[0] for m in MARGINS}
-    total = tokens.sum()
-    weights = np.ones(len(cells))
-    if not total:
-        return pd.Series(weights, cells.index)
-    goals = {}
+
+def _local_goals(cells: pd.DataFrame, budget: float, targets: dict[str, dict], part: float) -> dict[str, pd.Series]:
+    """Expected tokens of each level, by margin; ``part`` of the way from the shares of the corpus to tempered ones."""
+    goals, total = {}, float(cells["tokens"].sum())
     for m in MARGINS:
-        have = np.bincount(levels[m], tokens)
-        share = tempered(pd.Series(have), EXPONENTS[m]).to_numpy() if targets is None or m not in targets else np.asarray(targets[m], float)
-        goals[m] = share * total
+        have = cells.groupby(m, dropna=False)["tokens"].sum().astype(float)
+        if m in targets:
+            missing = [k for k, x in targets[m].items() if x > 0 and k not in {_plain(v) for v in have[have > 0].index}]
+            if missing:
+                raise ValueError(f"no tokens of {m} {missing}")
+            share = pd.Series([targets[m].get(_plain(v), 0.0) for v in have.index], have.index, dtype=float)
+        else:
+            raised = have ** EXPONENTS[m] * (have > 0)
+            share = part * raised / max(raised.sum(), 1e-300) + (1 - part) * have / max(total, 1e-300)
+        goals[m] = budget * total * share
+    return goals
+
+
+def _rake_here(cells: pd.DataFrame, budget: float, goals: dict[str, pd.Series]) -> tuple[np.ndarray, bool]:
+    """The probability of each cell, and whether all goals are met."""
+    tokens, odds = cells["tokens"].to_numpy(float), np.full(len(cells), float(budget))
+    levels = {}
+    for m in MARGINS:
+        code, names = pd.factorize(cells[m], use_na_sentinel=False)
+        goal = {_plain(k): g for k, g in goals[m].items()}
+        levels[m] = code, np.array([goal[_plain(v)] for v in names], float)
     for _ in range(ROUNDS):
         off = 0.0
-        for m in MARGINS:
-            have = np.bincount(levels[m], tokens * weights)
-            factor = np.divide(goals[m], have, out=np.ones_like(have), where=have > 0)
-            off = max(off, np.abs(factor - 1).max())
-            weights *= factor[levels[m]]
+        for code, goal in levels.values():
+            have = np.bincount(code, tokens * np.minimum(odds, 1), len(goal))
+            factor = np.divide(goal, have, out=np.ones_like(have), where=have > 0)
+            off = max(off, float(np.abs(factor - 1)[goal > 0].max(initial=0)))
+            odds *= factor[code]
         if off < TOLERANCE:
-            break
-    return pd.Series(weights, cells.index)
-
+            return np.minimum(odds, 1), True
+    return np.minimum(odds, 1), False
 
-def calibrate(weights: np.ndarray, tokens: np.ndarray, budget: float) -> np.ndarray:
-    """min(1, c * weight) with c such that the expected tokens are ``budget`` of all."""
-    order = np.argsort(-weights, kind="stable")
-    w, t = weights[order], tokens[order].astype(float)
-    goal = budget * t.sum()
-    full = np.concatenate([[0.0], np.cumsum(t)])[:-1]  # tokens of cells that are kept whole, if the k heaviest are
-    rest = np.cumsum((w * t)[::-1])[::-1]
-    c = np.divide(np.maximum(goal - full, 0), rest, out=np.full(len(w), np.inf), where=rest > 0)
-    fits = np.flatnonzero(c * w <= 1)
-    return np.minimum(1.0, (c[fits[0]] if len(fits) else np.inf) * np.maximum(weights, 1e-300))
 
-
-def _rake_in_spark(cells: DataFrame, budget: float) -> DataFrame:
-    """As rake() and calibrate(), for tables of cells that are too large for the driver."""
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    goals = {}
+def _spark_goals(cells: DataFrame, budget: float, targets: dict[str, dict], part: float) -> dict[str, DataFrame]:
+    """As _local_goals(): (level, goal) by margin."""
+    goals, total = {}, float(cells.agg(F.sum("tokens")).first()[0] or 0)
     for m in MARGINS:
-        have = cells.groupBy(m).agg((F.sum("tokens").cast("double") ** EXPONENTS[m]).alias("raised")).where(F.col("raised") > 0)
-        norm = have.agg(F.sum("raised")).first()[0] or 1.0
-        goals[m] = store(have.select(F.col(m).alias("level"), (F.col("raised") / norm * total).alias("goal")))
-    now = cells.withColumn("weight", F.lit(1.0))
-    for _ in range(20):
+        have = cells.groupBy(F.col(m).alias("level")).agg(F.sum("tokens").cast("double").alias("have"))
+        if m in targets:
+            want = cells.sparkSession.createDataFrame([(k, float(x)) for k, x in targets[m].items()], cells.select(F.col(m).alias("_level"), F.lit(0.0).alias("share")).schema)
+            both = have.join(want, F.col("level").eqNullSafe(F.col("_level")), "full")
+            missing = both.where("share > 0 AND coalesce(have, 0) = 0").limit(5).collect()
+            if missing:
+                raise ValueError(f"no tokens of {m} {[r['_level'] for r in missing]}")
+            shares = both.where("have IS NOT NULL").select("level", F.coalesce("share", F.lit(0.0)).alias("share"))
+        else:
+            raised = have.withColumn("raised", F.when(F.col("have") > 0, F.col("have") ** EXPONENTS[m]).otherwise(0.0))
+            norm = max(raised.agg(F.sum("raised")).first()[0] or 0.0, 1e-300)
+            shares = raised.select("level", (part * F.col("raised") / norm + (1 - part) * F.col("have") / max(total, 1e-300)).alias("share"))
+        goals[m] = store(shares.select("level", (F.col("share") * (budget * total)).alias("goal")))
+    return goals
+
+
+def _rake_in_spark(cells: DataFrame, budget: float, goals: dict[str, DataFrame]) -> tuple[DataFrame, bool]:
+    """As _rake_here(), for tables of cells that are too large for the driver: ``cells`` with probability."""
+    now = cells.withColumn("odds", F.lit(float(budget)))
+    done = lambda: now.withColumn("probability", F.least(F.lit(1.0), "odds")).drop("odds")
+    for _ in range(ROUNDS):
         off = 0.0
         for m in MARGINS:
-            have = now.groupBy(F.col(m).alias("level")).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have"))
-            factor = have.alias("h").join(goals[m].alias("g"), F.col("h.level").eqNullSafe(F.col("g.level"))).where("have > 0").select("h.level", (F.col("goal") / F.col("have")).alias("factor"))
-            off = max(off, factor.agg(F.max(F.abs(F.col("factor") - 1))).first()[0] or 0.0)
-            now = store(now.join(factor, now[m].eqNullSafe(F.col("level")), "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(1.0))).drop("level", "factor"))
-        if off < 1e-6:
+            have = now.groupBy(F.col(m).alias("_level")).agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), "odds")).alias("have")).where("have > 0")
+            factor = store(have.join(goals[m], F.col("level").eqNullSafe(F.col("_level"))).select("level", (F.col("goal") / F.col("have")).alias("factor"), "goal"))
+            off = max(off, factor.where("goal > 0").agg(F.max(F.abs(F.col("factor") - 1))).first()[0] or 0.0)
+            now = store(now.join(factor.drop("goal"), now[m].eqNullSafe(F.col("level")), "left").withColumn("odds", F.col("odds") * F.coalesce("factor", F.lit(1.0))).drop("level", "factor"))
+        if off < TOLERANCE:
+            return done(), True
+    return done(), False
+
+
+def _first_met(budget: float, given: dict[str, dict], attempt):
+    """The outcome of attempt(part) for the largest part, in tenths, that meets its goals."""
+    for tenths in range(10, -1, -1):
+        made, met = attempt(tenths / 10)
+        if met:
+            return made
+        if given.keys() >= set(MARGINS):
             break
-    low, high = 0.0, 1.0
-    kept = lambda c: float(now.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(c) * F.col("weight")))).first()[0] or 0)
-    while kept(high) < budget * total and high < 1e12:
-        low, high = high, 4 * high
-    for _ in range(30):
-        mid = (low + high) / 2
-        low, high = (mid, high) if kept(mid) < budget * total else (low, mid)
-    return now.withColumn("probability", F.least(F.lit(1.0), F.lit(high) * F.col("weight")))
-
-
-def cell_probabilities(rows: DataFrame, budget: float = BUDGET, targets: dict | None = None) -> tuple[DataFrame, bool]:
-    """(source, lang, topic, tokens, weight, probability), and whether its size is bounded by MAX_CELLS."""
-    cells = store(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
+    raise ValueError(f"targets {sorted(given)} can't be met with {budget:.0%} of the tokens: they ask for more of some levels, jointly, than there is")
+
+
+def rake(cells: pd.DataFrame, budget: float = BUDGET, targets: dict[str, dict] | None = None) -> np.ndarray:
+    """Probabilities of cells (source, lang, topic, tokens): expected tokens have the target marginals."""
+    targets = targets or {}
+    _check_targets(targets)
+    if not len(cells) or not cells["tokens"].sum():
+        return np.full(len(cells), float(budget))
+    return _first_met(budget, targets, lambda part: _rake_here(cells, budget, _local_goals(cells, budget, targets, part)))
+
+
+def cell_probabilities(rows: DataFrame, budget: float = BUDGET, targets: dict[str, dict] | None = None) -> tuple[DataFrame, bool]:
+    """(source, lang, topic, tokens, weight, probability), and whether its size is bounded by MAX_CELLS.
+
+    weight, the probability over ``budget``, is the factor by which the sample changes a cell's share of tokens.
+    """
+    cells, targets = store(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))), targets or {}
+    weight = (F.col("probability") / float(budget)).alias("weight")
     if cells.count() > MAX_CELLS:
-        return _rake_in_spark(cells, budget), False
+        _check_targets(targets)
+        made = _first_met(budget, targets, lambda part: _rake_in_spark(cells, budget, _spark_goals(cells, budget, targets, part)))
+        return made.select(*MARGINS, "tokens", weight, "probability"), False
     local = pd.DataFrame([r.asDict() for r in cells.orderBy(*MARGINS).collect()], columns=[*MARGINS, "tokens"])
-    weight = rake(local, targets).to_numpy()
-    p = calibrate(weight, local["tokens"].to_numpy(), budget)
-    made = [(*[None if pd.isna(x) else x for x in key], int(t), float(w), float(q)) for key, t, w, q in zip(local[list(MARGINS)].astype(object).itertuples(index=False), local["tokens"], weight, p, strict=True)]
-    schema = cells.withColumn("weight", F.lit(1.0)).withColumn("probability", F.lit(1.0)).schema
-    return cells.sparkSession.createDataFrame(made, schema), True
+    made = [(*[_plain(x) for x in key], int(t), float(q)) for key, t, q in zip(local[list(MARGINS)].astype(object).itertuples(index=False), local["tokens"], rake(local, budget, targets), strict=True)]
+    schema = cells.withColumn("probability", F.lit(1.0)).schema
+    return cells.sparkSession.createDataFrame(made, schema).select(*MARGINS, "tokens", weight, "probability"), True
 
 
 def decide(rows: DataFrame, cells: DataFrame, bounded: bool, seed: int = 7) -> DataFrame:
@@ -206,19 +244,18 @@ def decide(rows: DataFrame, cells: DataFrame, bounded: bool, seed: int = 7) -> D
     return out.withColumn("kept", at < F.col("probability"))
 
 
-def mix_table(documents: DataFrame, budget: float = BUDGET) -> DataFrame:
+def mix_table(documents: DataFrame, budget: float = BUDGET, targets: dict[str, dict] | None = None) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, kept for every row."""
-    rows = with_topics(documents.select("doc_id", "source", "lang", "text"), fit_topics(documents)).drop("text")
-    rows = store(rows)
-    return decide(rows, *cell_probabilities(rows, budget))
+    rows = store(with_topics(documents.select("doc_id", "source", "lang", "text"), fit_topics(documents)).drop("text"))
+    return decide(rows, *cell_probabilities(rows, budget, targets))
 
 
-def mix_documents(documents: DataFrame, budget: float = BUDGET) -> DataFrame:
+def mix_documents(documents: DataFrame, budget: float = BUDGET, targets: dict[str, dict] | None = None) -> DataFrame:
     """The documents, with all their columns, that the sampling keeps."""
     centres = fit_topics(documents)
     rows = store(with_topics(documents.select("doc_id", "source", "lang", "text"), centres).drop("text"))
-    cells = cell_probabilities(rows, budget)
-    full = with_topics(documents.select(F.struct(*documents.columns).alias("row"), "doc_id", "source", "lang", "text"), centres)
+    cells = cell_probabilities(rows, budget, targets)
+    full = with_topics(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "doc_id", "source", "lang", "text"), centres)
     return decide(full.drop("text"), *cells).where("kept").select("row.*")
 
 
