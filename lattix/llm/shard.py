@@ -1,33 +1,42 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly (law `bytes`).
 
 Groups of equal texts are what is packed, each as the vector of its bytes, tokens and rows, largest
-first, into the shard where the dot product with the residual capacity is highest. To keep the
-driver's part bounded at any input size, groups smaller than 1 / ``BUCKETS`` of every total are
-first pooled by the hash of their text into ``BUCKETS`` buckets; larger ones, of which there can be
-3 * ``BUCKETS`` at most, are packed on their own. A group above ``WHOLE`` of a shard cannot stay
-together if shards are to be equal: it is cut by the hash of doc_id into cells of a bucket's size.
-A last pass moves or exchanges items while that brings the bytes of two shards closer.
-
-Slots count the rows of a shard from 0. They come from the row counts of cells (bounded, on the
-driver) and a row number within each cell, so no task sees a whole shard.
-
-Null texts count as empty: size 1, no tokens. Rows with equal doc_id and text are interchangeable.
-An empty table gives an empty result. Other columns play no part and are kept by assign_shards().
+first, into the shard where the dot product with the residual capacity is highest. This takes three steps,
+so that neither the driver nor a task holds more than a bounded number of groups:
+
+1. Large groups, above 1 / ``LARGE`` of any total (there are 3 * ``LARGE`` at most), are packed on the driver.
+   A group stays whole if it is no larger than a shard and the bytes of any shard have room for it; otherwise
+   shards could not be equal, and it is cut by the hash of doc_id into cells that are packed one by one.
+2. All others but the reserve are packed in tasks of about ``GROUPS`` groups by hash, each with its
+   part of the capacity that is left.
+3. The reserve, the ``RESERVE`` small groups with the least hashes, is packed last on the driver, into
+   what the tasks left, and its groups are moved or exchanged while that brings the bytes of two shards closer.
+
+Slots count the rows of a shard from 0: rows are counted by task while they are written, and the counts
+of the tasks before are added. No task sees a whole shard, and no rows are sorted.
+
+Null texts count as empty: size 1, no tokens. Rows with equal doc_id and text are interchangeable and lie in
+one shard. An empty table gives an empty result. Other columns play no part and are kept by assign_shards().
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, store
+from .common import read, store, tidy
 
-BUCKETS = 4096
-#: Share of a shard's capacity up to which a group of equal texts stays in one shard.
-WHOLE = 0.5
+LARGE, RESERVE = 1024, 4096
+#: Groups that a task packs.
+GROUPS = 100_000
+#: Groups whose shards may be broadcast (16 MB); more are joined by a shuffle.
+BROADCAST_GROUPS = 1_000_000
 #: Bytes come first in the order of importance; tokens and rows follow.
 IMPORTANCE = np.array([2.0, 1.0, 1.0])
+SUMS = ("bytes", "tokens", "n_rows")
 
 
 def measures() -> dict[str, Column]:
@@ -41,22 +50,21 @@ def measures() -> dict[str, Column]:
     }
 
 
-def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """A shard for each row of ``vectors`` (items by dimensions)."""
-    totals = vectors.sum(0)
-    share = vectors / np.where(totals > 0, totals, 1) * shards  # 1: the capacity of a shard
-    residual = np.ones((shards, vectors.shape[1]))
-    placed = np.zeros(len(vectors), np.int64)
-    for i in np.argsort(-share.max(1), kind="stable"):
-        k = placed[i] = int(np.argmax(residual @ (IMPORTANCE * share[i])))
+def pack(share: np.ndarray, residual: np.ndarray) -> np.ndarray:
+    """A shard for each row of ``share`` (items by dimensions); ``residual`` (shards by dimensions) falls by what is placed.
+
+    Of shards whose bytes have room for an item the one with the highest dot product takes it, else the one with most room.
+    """
+    placed = np.zeros(len(share), np.int32)
+    for i in np.argsort(-share.max(1), kind="stable") if len(share) else ():
+        room = residual[:, 0] >= share[i, 0]
+        k = placed[i] = int(np.argmax(np.where(room, residual @ (IMPORTANCE * share[i]), -np.inf) if room.any() else residual[:, 0]))
         residual[k] -= share[i]
-    _even_out(vectors[:, 0].astype(np.int64), placed, shards)
     return placed
 
 
-def _even_out(sizes: np.ndarray, placed: np.ndarray, shards: int, rounds: int = 2000) -> None:
-    """Move or exchange items between the fullest and the emptiest shard while that lowers their difference."""
-    loads = np.bincount(placed, weights=sizes, minlength=shards).astype(np.int64)
+def _even_out(sizes: np.ndarray, placed: np.ndarray, loads: np.ndarray, rounds: int = 2000) -> None:
+    """Move or exchange items between the fullest and the emptiest shard while that lowers their difference; ``loads``: all bytes of shards."""
     for _ in range(rounds if len(sizes) else 0):
         a, b = int(loads.argmax()), int(loads.argmin())
         gap = loads[a] - loads[b]
@@ -77,64 +85,122 @@ def _even_out(sizes: np.ndarray, placed: np.ndarray, shards: int, rounds: int =
         loads[b] += delta
 
 
-def plan(measured: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
-    """(large groups: group_key, cells, first_cell), (cells: cell, shard, first_slot), both of bounded size."""
-    spark = measured.sparkSession
-    sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n_rows")]
-    total = measured.agg(*sums).first()
-    least = [(total[k] or 0) / BUCKETS for k in ("bytes", "tokens", "n_rows")]
-    groups = measured.groupBy("group_key").agg(*sums)
-    large = sorted(groups.where((F.col("bytes") > least[0]) | (F.col("tokens") > least[1]) | (F.col("n_rows") > least[2])).collect())
-    rows, first = [], BUCKETS
-    for g in large:
-        # Cells for counting rows; a group above WHOLE of a shard is also packed by cell.
-        share = max(v / (t * BUCKETS) for v, t in zip(g[1:], least, strict=True) if t)
-        cells = max(1, -(-g["n_rows"] // max(1, int(least[2]))), int(share * BUCKETS) if share * shards > WHOLE else 1)
-        cells = min(cells, g["n_rows"])
-        rows.append((g["group_key"], cells, first, share * shards <= WHOLE))
-        first += cells
-    groups_df = spark.createDataFrame(rows, "group_key long, cells long, first_cell long, whole boolean")
-    counts = sorted(locate(measured, groups_df).groupBy("cell").agg(*sums).collect())
-    starts = np.array([r[2] for r in rows] or [first], np.int64)
-    keep = np.array([r[3] for r in rows] or [False])
-    cell = np.array([c["cell"] for c in counts], np.int64)
-    of = np.maximum(np.searchsorted(starts, cell, side="right") - 1, 0)
-    item = np.where((cell >= BUCKETS) & keep[of], starts[of], cell)
-    names, of_item = np.unique(item, return_inverse=True)
-    vectors = np.zeros((len(names), 3))
-    np.add.at(vectors, of_item, np.array([c[1:] for c in counts], float).reshape(-1, 3))
-    shard = pack(vectors, shards)[of_item]
-    slots, planned = [0] * shards, []
-    for c, k in zip(counts, shard.tolist(), strict=True):
-        planned.append((c["cell"], k, slots[k]))
-        slots[k] += c["n_rows"]
-    return groups_df, spark.createDataFrame(planned, "cell long, shard int, first_slot long")
-
-
-def locate(measured: DataFrame, groups: DataFrame) -> DataFrame:
-    """``measured`` with the number of each row's cell."""
-    found = measured.join(F.broadcast(groups.drop("whole")), "group_key", "left")
-    within = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("cells"))
-    return found.withColumn("cell", F.coalesce(F.col("first_cell") + within, F.pmod(F.col("group_key"), F.lit(BUCKETS)))).drop("cells", "first_cell")
+def _vectors(rows) -> np.ndarray:
+    return np.array([[r[k] for k in SUMS] for r in rows], float).reshape(-1, 3)
+
+
+def _pack_large(large: list, shares: np.ndarray, residual: np.ndarray) -> tuple[list, list]:
+    """((group_key, shard) of groups that stay whole, (group_key, cells) of those that are cut)."""
+    whole, cut = [], []
+    for i in np.argsort(-shares.max(1), kind="stable") if len(large) else ():
+        k = int(np.argmax(np.where(residual[:, 0] >= shares[i, 0], residual @ (IMPORTANCE * shares[i]), -np.inf)))
+        if shares[i].max() <= 1 and residual[k, 0] >= shares[i, 0]:
+            residual[k] -= shares[i]
+            whole.append((large[i]["group_key"], k))
+        else:
+            cut.append((large[i]["group_key"], min(large[i]["n_rows"], int(np.ceil(shares[i].max() / len(residual) * RESERVE)))))
+    return whole, cut
 
 
+def plan(measured: DataFrame, shards: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Shards of groups: (group_key, cells) of cut groups and (group_key, cell, shard) on the driver's part, both bounded; (group_key, shard) of all others.
+
+    ``cell`` is null for groups that are whole.
+    """
+    spark = measured.sparkSession
+    groups = store(measured.groupBy("group_key").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n_rows")))
+    total = groups.agg(*[F.sum(k).alias(k) for k in SUMS], F.count("*").alias("groups")).first()
+    totals = np.array([total[k] or 0 for k in SUMS], float)
+    share_of = lambda rows: _vectors(rows) / np.where(totals > 0, totals, 1) * shards  # noqa: E731  1: the capacity of a shard
+    is_large = F.lit(False)
+    for k, t in zip(SUMS, totals.tolist(), strict=True):
+        is_large = is_large | (F.col(k) > t / LARGE)
+    large = sorted(groups.where(is_large).collect())
+    residual = np.ones((shards, 3))
+    whole, cut = _pack_large(large, share_of(large), residual)
+    cut_df = spark.createDataFrame(cut, "group_key long, cells int")
+    cells = sorted(_cells(measured.join(F.broadcast(cut_df), "group_key")).groupBy("group_key", "cell").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n_rows")).collect()) if cut else []
+    of_cells = pack(share_of(cells), residual)
+
+    small = groups.where(~is_large)
+    order = F.xxhash64("group_key", F.lit(5))
+    reserve = sorted(small.orderBy(order, "group_key").limit(RESERVE).collect())
+    rest = small.join(F.broadcast(spark.createDataFrame([(r["group_key"],) for r in reserve], "group_key long")), "group_key", "left_anti")
+    room = np.maximum(residual, 0) / np.maximum(np.maximum(residual, 0).sum(0), 1e-300)
+
+    def pack_part(batches):
+        rows = [b for b in batches if b.num_rows]
+        if rows:
+            table = pa.Table.from_batches(rows)
+            keys, order = table.column("group_key").to_numpy(), np.argsort(table.column("group_key").to_numpy(), kind="stable")
+            share = np.stack([table.column(k).to_numpy().astype(float) for k in SUMS], 1)[order] / np.where(totals > 0, totals, 1) * shards
+            yield pa.RecordBatch.from_arrays([pa.array(keys[order]), pa.array(pack(share, room * share.sum(0)))], names=["group_key", "shard"])
+
+    parts = max(1, -(-int(total["groups"] or 0) // GROUPS))
+    others = store(rest.repartition(parts, "group_key").mapInArrow(pack_part, "group_key long, shard int"))
+    loads = np.zeros((shards, 3))
+    for r in others.join(groups, "group_key").groupBy("shard").agg(*[F.sum(k).alias(k) for k in SUMS]).collect():
+        loads[r["shard"]] = [r[k] for k in SUMS]
+    residual -= loads / np.where(totals > 0, totals, 1) * shards
+    of_reserve = pack(share_of(reserve), residual)
+    loads[:, 0] += np.bincount(of_reserve, _vectors(reserve)[:, 0], shards) + np.bincount(of_cells, _vectors(cells)[:, 0], shards)
+    sizes = {g["group_key"]: g["bytes"] for g in large}
+    for key, k in whole:
+        loads[k, 0] += sizes[key]
+    # Cells of cut groups and the reserve are what may still move.
+    loose, placed = np.concatenate([_vectors(cells)[:, 0], _vectors(reserve)[:, 0]]).astype(np.int64), np.concatenate([of_cells, of_reserve])
+    _even_out(loose, placed, loads[:, 0].astype(np.int64))
+    made = [(r["group_key"], r["cell"], int(k)) for r, k in zip(cells, placed, strict=False)]
+    made += [(r["group_key"], None, int(k)) for r, k in zip(reserve, placed[len(cells) :], strict=True)] + [(key, None, k) for key, k in whole]
+    return cut_df, spark.createDataFrame(made, "group_key long, cell int, shard int"), others
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, cells, ...) with their cell, null where cells is null."""
+    return rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("cells")).cast("int")).drop("cells")
+
+
+def place(rows: DataFrame, planned: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """``rows`` (doc_id, group_key, ...) with shard. Only rows of groups that tasks packed may be shuffled, by their group, none of which is large."""
+    cut, known, others = planned
+    known = known.withColumnsRenamed({"group_key": "_group", "cell": "_cell", "shard": "_known"})
+    found = _cells(rows.join(F.broadcast(cut), "group_key", "left"))
+    found = found.join(F.broadcast(known), (F.col("group_key") == F.col("_group")) & F.col("cell").eqNullSafe(F.col("_cell")), "left").drop("_group", "_cell", "cell")
+    if others.count() <= BROADCAST_GROUPS:
+        return found.join(F.broadcast(others), "group_key", "left").withColumn("shard", F.coalesce("_known", "shard")).drop("_known")
+    return found.where("_known IS NOT NULL").withColumnRenamed("_known", "shard").unionByName(found.where("_known IS NULL").drop("_known").join(others, "group_key"))
+
+
+@tidy
 def shard_table(documents: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row."""
     measured = store(documents.select("doc_id", *[c.alias(n) for n, c in measures().items()]))
-    groups, cells = plan(measured, shards)
-    placed = locate(measured, groups).join(F.broadcast(cells), "cell")
-    number = F.row_number().over(Window.partitionBy("cell").orderBy("doc_id", "size"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first_slot") + number - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    placed = place(measured, plan(measured, shards)).select("doc_id", "size", "text_crc32", "shard")
+
+    def number(batches):
+        part, seen = TaskContext.get().partitionId(), np.zeros(shards, np.int64)
+        for batch in batches:
+            shard, within = batch.column("shard").to_numpy(), np.zeros(batch.num_rows, np.int64)
+            for k in range(shards):
+                here = np.flatnonzero(shard == k)
+                within[here] = seen[k] + np.arange(len(here))
+                seen[k] += len(here)
+            yield batch.append_column("part", pa.array([part] * batch.num_rows, pa.int32())).append_column("within", pa.array(within))
+
+    numbered = store(placed.mapInArrow(number, placed.withColumn("part", F.lit(0)).withColumn("within", F.lit(0).cast("long")).schema))
+    counts = numbered.groupBy("part", "shard").agg(F.count("*").alias("n"))
+    before = counts.select(F.col("part").alias("_part"), F.col("shard").alias("_shard"), (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
+    out = numbered.join(F.broadcast(before), (F.col("part") == F.col("_part")) & (F.col("shard") == F.col("_shard")))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("within")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def assign_shards(documents: DataFrame, shards: int = 16) -> DataFrame:
-    """``documents`` with a column shard (replaced, if there is one); nothing but two narrow sums is shuffled."""
-    columns = [c for c in documents.columns if c != "shard"]
+    """``documents`` with a column shard (replaced, if there is one)."""
+    columns = [F.col(f"`{c}`") for c in documents.columns if c != "shard"]
     made = measures()
     measured = store(documents.select("doc_id", made["group_key"].alias("group_key"), made["size"].alias("size"), made["tokens"].alias("tokens")))
-    groups, cells = plan(measured, shards)
     rows = documents.select(F.struct(*columns).alias("row"), "doc_id", made["group_key"].alias("group_key"))
-    return locate(rows, groups).join(F.broadcast(cells), "cell").select("row.*", "shard")
+    return place(rows, plan(measured, shards)).select("row.*", "shard")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
