@@ -145,6 +145,10 @@ def test_line_dedup_is_brute_force(made):
     assert clean[60] is None and clean[61] == ""
     assert all(clean[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want.get(i, [])) for i, t in enumerate(texts) if t is not None)
     assert line_dedup.line_report(docs.limit(0)).isEmpty()
+    clash = docs.selectExpr("doc_id AS _id", "doc_id AS _drops", "*")
+    assert line_dedup.dedup_lines(clash).columns == clash.columns and line_dedup.dedup_lines(clash).count() == docs.count()
+    loose = made([(None, "same line here\nother", "en", "s"), (3, "same line here", "en", "s"), (3, "same line here", "en", "s")])
+    assert sorted((str(r["doc_id"]), r["dropped_lines"]) for r in line_dedup.line_report(loose).collect()) == [("3", [0]), ("3", [0]), ("None", [])]
 
 
 @pytest.mark.parametrize("few, block", [(20, 1000), (0, 7)])
@@ -167,7 +171,7 @@ def test_line_dedup_of_interleaved_families(spark, made, monkeypatch, few, block
     of = line_dedup.lines_of(docs)
     ids = {r["line"]: r["id"] for r in of.selectExpr("line", "xxhash64(line) AS id").collect()}
     keyed = line_dedup._keyed(line_dedup._signatures(of)).collect()
-    key, sketch = {r["line_id"]: r["key"] for r in keyed}, {r["line_id"]: r["sketch"] for r in keyed}
+    key, sketch = {r["line_id"]: r["keys"][0] for r in keyed}, {r["line_id"]: r["sketch"] for r in keyed}
     sets = [{x[j : j + 9] for j in range(len(x) - 8)} for x in lines]
     same = lambda a, b: sum((sketch[a] ^ sketch[b]) >> 6 * k & 63 == 0 for k in range(10))
     roots, alike, apart = Roots(), 0, 0
@@ -216,21 +220,51 @@ def test_nearest_against_brute_force(spark):
     assert ann.nearest(df.limit(0), "vec_id % 20 = 0").isEmpty()
 
 
-def test_rake_meets_its_targets():
+def _cells():
     rng = np.random.default_rng(9)
-    cells = pd.DataFrame([(s, c, t, int(rng.integers(10, 1000))) for s in ("a", "b", None) for c in ("x", "y") for t in range(3)], columns=["source", "lang", "topic", "tokens"])
-    targets = {"source": [0.5, 0.3, 0.2], "lang": [0.7, 0.3], "topic": [0.2, 0.2, 0.6]}
-    w = mix.rake(cells, targets)
-    mass = cells["tokens"] * w / cells["tokens"].sum()
+    return pd.DataFrame([(s, c, t, int(rng.integers(10, 1000))) for s in ("a", "b", None) for c in ("x", "y") for t in range(3)], columns=["source", "lang", "topic", "tokens"])
+
+
+def test_rake_meets_its_targets(spark, monkeypatch):
+    cells = _cells()
+    have = cells.groupby("source", dropna=False)["tokens"].sum()
+    # The bound matters: nearly all tokens of b are wanted.
+    b = 0.99 * have["b"] / (0.6 * have.sum())
+    targets = {"source": {None: 0.8 - b, "b": b, "a": 0.2}, "lang": {"y": 0.4, "x": 0.6}, "topic": {2: 0.4, 0: 0.3, 1: 0.3}}
+    p = mix.rake(cells, 0.6, targets)
+    assert (p <= 1).all() and (p == 1).any()
+    mass = cells["tokens"] * p / (0.6 * cells["tokens"].sum())
     for m in mix.MARGINS:
-        got = [mass[pd.factorize(cells[m], use_na_sentinel=False)[0] == k].sum() for k in range(len(targets[m]))]
-        assert got == pytest.approx(targets[m], abs=1e-6)
-    p = mix.calibrate(w.to_numpy(), cells["tokens"].to_numpy(), 0.6)
-    assert (p * cells["tokens"]).sum() == pytest.approx(0.6 * cells["tokens"].sum())
-    assert (p <= 1).all()
+        for level, share in targets[m].items():
+            assert mass[[mix._plain(x) == level for x in cells[m]]].sum() == pytest.approx(share, abs=1e-6)
+    with pytest.raises(ValueError, match="can't be met"):
+        mix.rake(cells, 0.9, targets)
+    for wrong in ({"source": {"a": 0.5}}, {"site": {"a": 1.0}}, {"source": {"a": 0.5, "nowhere": 0.5}}):
+        with pytest.raises(ValueError):
+            mix.rake(cells, 0.6, wrong)
+    monkeypatch.setattr(mix, "ROUNDS", 25)
+    rows = spark.createDataFrame([tuple(r) for r in cells.astype(object).where(cells.notna(), None).itertuples(index=False)], "source string, lang string, topic int, n_tokens long")
+    easy = {"source": {None: 0.3, "a": 0.3, "b": 0.4}, "topic": {0: 0.3, 1: 0.4, 2: 0.3}}
+    here = {(r["source"], r["lang"], r["topic"]): r["probability"] for r in mix.cell_probabilities(rows, 0.5, easy)[0].collect()}
+    monkeypatch.setattr(mix, "MAX_CELLS", 1)  # the way for many cells
+    there, bounded = mix.cell_probabilities(rows, 0.5, easy)
+    assert not bounded
+    assert {(r["source"], r["lang"], r["topic"]): r["probability"] for r in there.collect()} == pytest.approx(here, abs=1e-9)
+    with pytest.raises(ValueError):
+        mix.cell_probabilities(rows, 0.5, {"source": {"nowhere": 1.0}})
+
 
+def test_default_targets_go_as_far_as_the_tokens_reach():
+    cells = _cells()
+    for budget in (0.3, 0.75, 0.97, 1.0):
+        p = mix.rake(cells, budget)
+        assert (p <= 1).all()
+        assert (p * cells["tokens"]).sum() == pytest.approx(budget * cells["tokens"].sum())
+        met = [k for k in range(11) if all((cells["tokens"] * p).groupby(cells[m].fillna("?")).sum().to_numpy() == pytest.approx(mix._local_goals(cells.fillna("?"), budget, {}, k / 10)[m].to_numpy(), rel=1e-5) for m in mix.MARGINS)]
+        assert met
 
-def test_mixing(spark, made, monkeypatch):
+
+def test_mixing(made):
     rng = random.Random(10)
     rows = [(i, " ".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(rng.randint(0, 30))), rng.choice(["en", "de", None]), "big" if i % 3 else f"s{i % 7}") for i in range(600)] + [(600, None, None, None), (600, None, None, None)]
     out = mix.mix_table(made(rows)).toPandas()
@@ -241,11 +275,8 @@ def test_mixing(spark, made, monkeypatch):
     assert kept.columns == made(rows).columns
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(out[out["kept"]]["doc_id"].tolist())
     assert mix.mix_table(made(rows).limit(0)).isEmpty()
-    monkeypatch.setattr(mix, "MAX_CELLS", 1)  # the way for many cells
-    monkeypatch.setattr(mix, "EXPONENTS", {"source": 0.5, "lang": 1.0, "topic": 1.0})
-    cells, bounded = mix.cell_probabilities(spark.createDataFrame([("a", "x", 0, 900), ("b", "x", 0, 100)], "source string, lang string, topic int, n_tokens long"), 0.5)
-    assert not bounded
-    assert {r["source"]: round(r["weight"], 4) for r in cells.collect()} == {"a": 0.8333, "b": 2.5}
+    clash = made(rows).selectExpr("*", "1 AS topic", "text AS n_tokens", "3 AS weight", "'k' AS probability")
+    assert mix.mix_documents(clash).columns == clash.columns
 
 
 def test_topics_come_from_all_documents(made):
@@ -288,6 +319,34 @@ def test_sharding(made):
     assert shard.shard_table(docs.limit(0)).isEmpty()
 
 
+def test_sharding_in_tasks(made, monkeypatch):
+    """Groups packed in tasks, a group that is cut, groups that stay whole up to a shard, rows joined by a shuffle."""
+    for name, value in (("LARGE", 64), ("RESERVE", 100), ("GROUPS", 400), ("BROADCAST_GROUPS", 10)):
+        monkeypatch.setattr(shard, name, value)
+    rng = random.Random(13)
+    texts = ["w " * rng.randint(0, 60) + str(i % 1800) for i in range(2000)]
+    whole = len(texts)
+    texts += ["kept together " + "k" * 60] * 120 + ["cut, as it fills several shards"] * 1500
+    docs = made([(i, t, "en", "s") for i, t in enumerate(texts)] + [(5, texts[5], "en", "s")] * 3)
+    clash = docs.selectExpr("*", "1 AS shard", "2 AS cell", "3 AS cells", "4 AS group_key")
+    out = shard.shard_table(docs).toPandas()
+    load, rows = out.groupby("shard")["size"].sum(), out.groupby("shard").size()
+    assert len(load) == 16 and load.max() - load.min() <= 0.001 * load.mean() + 2
+    assert rows.max() / rows.mean() < 1.5
+    of = dict(zip(out["doc_id"], out["shard"], strict=True))
+    assert len({of[i] for i in range(whole, whole + 120)}) == 1
+    assert len({of[i] for i in range(whole + 120, whole + 1620)}) > 2
+    groups = {}
+    for i, t in enumerate(texts[:whole]):
+        groups.setdefault(t, set()).add(of[i])
+    assert all(len(g) == 1 for g in groups.values())
+    for _, part in out.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    named = shard.assign_shards(clash)
+    assert named.columns == [c for c in clash.columns if c != "shard"] + ["shard"]
+    assert {(r["doc_id"], r["shard"]) for r in named.collect()} == set(zip(out["doc_id"], out["shard"], strict=True))
+
+
 def test_archives_round_trip(spark, tmp_path):
     mark = "\r\n\r\nWARC/1.1\r\nX-Archive: "
     html = ["<p>" + "x" * 200, "<p>" + "x" * 200, "short", "short", None, "", "ü" * 60, "a\r\n\r\n" * 40, mark * 20, "tail\r\n\r\n", "z" * 300_000]
