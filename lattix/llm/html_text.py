@@ -10,7 +10,7 @@ them from many layouts, with the label of every block known.
 
 Character references are decoded; white space inside a block becomes one space; blocks follow in
 page order, joined by one space. Scripts, styles, comments of the markup and other elements that a
-browser doesn't show are skipped by the parser. Tags that are never closed, stray end tags and cut
+browser doesn't show, by tag, attribute or style, are skipped by the parser, which takes time in proportion to the page. Tags that are never closed, stray end tags and cut
 pages are parsed as browsers do in the main: whatever is open ends where its parent ends. Null and
 empty html, and pages without content, give an empty text. Equal pages give equal texts. Other
 columns play no part.
@@ -39,6 +39,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+#: What a labelled page begins with if the text outside all blocks is content.
+MAIN_PAGE = "<!--data-main-->"
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -51,16 +54,66 @@ class Block:
         self.text, self.score = "", 0.0
 
 
+class Open:
+    """The open elements, innermost last; each step takes time in proportion to the elements it closes, however many are open."""
+
+    def __init__(self):
+        #: (tag, its block or the block around it, hidden?, inside a link?).
+        self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        self._at: dict[str, list[int]] = defaultdict(list)
+        self._solid = [0]
+
+    def push(self, tag: str, block: int, hidden: bool, linked: bool) -> None:
+        self._at[tag].append(len(self.stack))
+        if tag not in INLINE:
+            self._solid.append(len(self.stack))
+        self.stack.append((tag, block, hidden, linked))
+
+    def _cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            tag = self.stack.pop()[0]
+            self._at[tag].pop()
+            if tag not in INLINE:
+                self._solid.pop()
+
+    def _last(self, tags: set[str]) -> int:
+        return max((self._at[t][-1] for t in tags if self._at.get(t)), default=0)
+
+    def close(self, tag: str) -> None:
+        if self._at.get(tag):
+            self._cut(self._at[tag][-1])
+
+    def make_way(self, tag: str) -> None:
+        """Close what ends where a block element of this kind begins."""
+        if self.stack[self._solid[-1]][0] == "p":
+            self._cut(self._solid[-1])
+        if tag in CLOSES:
+            tags, barriers = CLOSES[tag]
+            if self._last(tags) > self._last(barriers):
+                self._cut(self._last(tags))
+
+
+def _attributes(text: str) -> dict[str, str]:
+    """Values by name; of a name that repeats the first counts."""
+    out: dict[str, str] = {}
+    for name, x, y, z in ATTRIBUTE.findall(text) if text.strip() else ():
+        out.setdefault(name.lower(), unescape(x or y or z))
+    return out
+
+
+def _is_hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(HIDING.search(attributes.get("style", "")))
+
+
 def parse(html: str) -> tuple[list[Block], list[tuple[int, str]]]:
     """(blocks, parents before children; (block, text) of each run of text, in page order)."""
-    blocks = [Block("", -1, ())]
-    runs: list[tuple[int, str]] = []
-    # Open elements: (tag, its block or the block around it, hidden?, inside a link?).
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    blocks = [Block("", -1, (), html.startswith(MAIN_PAGE))]
+    runs: list[tuple[int, list[str]]] = []
+    opened = Open()
     at = 0
 
     def add(text: str) -> None:
-        tag, block, hidden, linked = stack[-1]
+        _, block, hidden, linked = opened.stack[-1]
         if hidden or not text:
             return
         text = unescape(text)
@@ -70,9 +123,9 @@ def parse(html: str) -> tuple[list[Block], list[tuple[int, str]]]:
         if shown:
             blocks[block].text = text
         if runs and runs[-1][0] == block:
-            runs[-1] = (block, runs[-1][1] + text)
+            runs[-1][1].append(text)
         else:
-            runs.append((block, text))
+            runs.append((block, [text]))
 
     while m := TAG.search(html, at):
         add(html[at : m.start()])
@@ -82,45 +135,31 @@ def parse(html: str) -> tuple[list[Block], list[tuple[int, str]]]:
             continue
         tag = tag.lower()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            opened.close(tag)
             if tag not in INLINE:
-                runs.append((-1, ""))
+                runs.append((-1, []))
             continue
         if tag == "br" or tag == "hr":
             add(" ")
         if tag in VOID:
             continue
         if tag not in INLINE and tag not in HIDDEN:
-            _end_open(stack, {"p"}, set())
-            if tag in CLOSES:
-                _end_open(stack, *CLOSES[tag])
-            runs.append((-1, ""))
-        _, block, hidden, linked = stack[-1]
-        attributes = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(rest)} if rest.strip() else {}
-        hidden = hidden or tag in HIDDEN or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
+            opened.make_way(tag)
+            runs.append((-1, []))
+        _, block, hidden, linked = opened.stack[-1]
+        attributes = _attributes(rest)
+        hidden = hidden or tag in HIDDEN or _is_hidden(attributes)
         if tag not in INLINE and not hidden:
             names = tuple(x.lower() for a in ("class", "id", "role") for x in NAME.findall(attributes.get(a, "")))
-            blocks.append(Block(tag, block, names, "data-main" in rest))
+            blocks.append(Block(tag, block, names, "data-main" in attributes))
             block = len(blocks) - 1
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
             at = end.end() if end else len(html)
         elif not rest.endswith("/") or tag not in ("svg", "math"):
-            stack.append((tag, block, hidden, linked or tag == "a"))
+            opened.push(tag, block, hidden, linked or tag == "a")
     add(html[at:])
-    return blocks, runs
-
-
-def _end_open(stack: list, tags: set[str], barriers: set[str]) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k][0] in tags:
-            del stack[k:]
-            return
-        if stack[k][0] in barriers or not barriers and stack[k][0] not in INLINE:
-            return
+    return blocks, [(block, "".join(parts)) for block, parts in runs]
 
 
 def _features(block: Block) -> list[str]:
@@ -129,6 +168,7 @@ def _features(block: Block) -> list[str]:
     if block.chars:
         out.append(f"chars={min(6, int(math.log2(block.chars + 1)) // 2)}")
         out.append(f"linked={(4 * block.linked) // block.chars}")
+        out.append(f"tag={block.tag} linked={2 * block.linked >= block.chars}")
         last = block.text.rstrip()[-1:]
         out.append("ends=" + ("stop" if last in ".!?…。\"”»" else "other"))
         if "©" in block.text[:400]:
@@ -140,6 +180,9 @@ def _logaddexp(a: float, b: float) -> float:
     return a + math.log1p(math.exp(b - a)) if a > b else b + math.log1p(math.exp(a - b))
 
 
+KINDS = ("text", "links", "frame")
+
+
 class TreeModel:
     """Log-odds weights of features, and a 2 x 2 log-potential of (parent, child) for the child's kind."""
 
@@ -149,7 +192,7 @@ class TreeModel:
 
     @staticmethod
     def kind(block: Block) -> str:
-        return "text" if block.chars else "frame"
+        return "frame" if not block.chars else "links" if 2 * block.linked >= block.chars else "text"
 
     def marginals(self, blocks: list[Block], features: list[list[str]], pairwise: bool = False):
         """Probability of content for each block by sum-product; with ``pairwise`` also of (parent, child)."""
@@ -204,7 +247,7 @@ class TreeModel:
                         self.pairs[key[0]][key[1]] += step
                     else:
                         self.weights[key] += step
-        self.weights, self.pairs = dict(self.weights), {"text": self.pairs["text"], "frame": self.pairs["frame"]}
+        self.weights, self.pairs = dict(self.weights), {kind: self.pairs[kind] for kind in KINDS}
         return self
 
     def extract(self, html: str | None) -> str:
@@ -227,6 +270,7 @@ ASIDE_NAMES = {
     "comments": "comments comment comment-list reply disqus responses comment-body discussion user-comments reader-comments",
     "share": "share social sharing share-buttons social-links follow author-box byline-links",
 }
+WRAPPER_NAMES = "wrap wrapper container page site layout outer app root row columns grid"
 MAIN_NAMES = "article post entry content main story article-body post-content entry-content main-content story-body text body-copy"
 
 
@@ -240,6 +284,8 @@ def labelled_pages(count: int, seed: int = 1) -> list[str]:
 
     def named(kind: str) -> str:
         name = rng.choice((ASIDE_NAMES[kind] if kind in ASIDE_NAMES else MAIN_NAMES).split())
+        if rng.random() < 0.2:  # a name of no meaning, as made by style tools: shape and place must tell
+            name = rng.choice("bcdfgmrst") + "".join(rng.choice("aeioubcdfgklm") for _ in range(rng.randint(2, 6)))
         return rng.choice([f' class="{name}"', f' class="{name}"', f' id="{name}"', f' class="x-{name} col-{rng.randint(1, 9)}"'])
 
     def links(n: int) -> str:
@@ -251,7 +297,7 @@ def labelled_pages(count: int, seed: int = 1) -> list[str]:
         tag = tag if plain or rng.random() < 0.5 else rng.choice(["div", "section"])
         start = f"<{tag}{'' if plain else named(kind)}>"
         if kind in ("menu", "share"):
-            inner = links(rng.randint(2, 8)) if rng.random() < 0.8 else "".join(f'<a href="#">{words(1, 2)}</a> ' for _ in range(4))
+            inner = links(rng.randint(2, 8)) if rng.random() < 0.7 else rng.choice([" ", " | ", " &middot; ", ", ", " / "]).join(f'<a href="#">{words(1, 2)}</a>' for _ in range(rng.randint(1, 6)))
         elif kind == "header":
             inner = rng.choice([f"<h1>{words(1, 4)}</h1>", f"<div><a href='/'>{words(1, 3)}</a></div>", f"<p>{words(2, 8)}</p>", words(1, 6)]) + rng.choice(["", links(4)])
         elif kind == "footer":
@@ -287,6 +333,11 @@ def labelled_pages(count: int, seed: int = 1) -> list[str]:
 
     pages = []
     for _ in range(count):
+        if rng.random() < 0.08:  # no layout at all: bare text, paragraphs or lines, in a body or not
+            inner = rng.choice([words(1, 200), "<br>".join(words(3, 40) for _ in range(3)), f"<b>{words(1, 5)}</b> {words(5, 90)}"])
+            bare = "".join(f"<p data-main>{words(1, 60)}</p>" for _ in range(rng.randint(1, 6)))
+            pages.append(MAIN_PAGE + rng.choice([inner, f"<body data-main>{inner}", bare, f"<html data-main><body data-main>{bare}</body></html>", f"<h1 data-main>{words(1, 6)}</h1>{bare}"]))
+            continue
         inside = [paragraph() for _ in range(rng.choice([1, 1, 2, 4, 8, 15]))]
         if rng.random() < 0.35:
             inside.insert(rng.randint(0, len(inside)), aside(rng.choice(["advert", "share", "sidebar", "form", "notice"])))
@@ -297,10 +348,16 @@ def labelled_pages(count: int, seed: int = 1) -> list[str]:
         tag, name = ("article", "") if holder < 0.5 else ("main", "") if holder < 0.6 else (rng.choice(["div", "section", "article"]), named("main"))
         body = f"<{tag}{name} data-main>{title}{''.join(inside)}</{tag}>"
         if rng.random() < 0.2:
-            body = f"<div class='{rng.choice(['wrap', 'container', 'row', 'page', 'layout'])}' data-main>{body}</div>"
+            body = f"<div class='{rng.choice(WRAPPER_NAMES.split())}' data-main>{body}</div>"
         before = [aside(k) for k in rng.sample(["menu", "header", "notice", "advert", "sidebar", "form", "share"], rng.randint(0, 4))]
         after = [aside(k) for k in rng.sample(["footer", "sidebar", "comments", "advert", "share", "form", "notice", "menu"], rng.randint(0, 5))]
-        pages.append(f"<html data-main><head><title>t</title></head><body data-main>{''.join(before)}{body}{''.join(after)}</body></html>")
+        if rng.random() < 0.15:  # wrappers without a name around single parts
+            before, after = ([f"<div>{x}</div>" for x in xs] for xs in (before, after))
+        inner = "".join(before) + body + "".join(after)
+        for _ in range(rng.choice([0, 0, 0, 1, 1, 2])):  # wrappers around all parts
+            inner = f"<{rng.choice(['div', 'div', 'section', 'main'])}{rng.choice(['', *(f' {k}={n}' for k in ('id', 'class') for n in WRAPPER_NAMES.split())])} data-main>{inner}</div>"
+        whole = f"<html data-main><head><title>t</title></head><body data-main>{inner}</body></html>"
+        pages.append(MAIN_PAGE + (whole if rng.random() < 0.8 else rng.choice([inner, f"<body data-main>{inner}</body>"])))
     return pages
 
 

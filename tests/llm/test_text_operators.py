@@ -150,6 +150,35 @@ def test_proximity(spark, made):
     assert 2 not in {d for d, _ in got}
 
 
+@pytest.mark.parametrize("slop", [0, 1, 2])
+def test_proximity_is_brute_force(spark, made, monkeypatch, slop):
+    monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", 200)
+    rng = random.Random(slop)
+    items = {k: [rng.choice("abcde") for _ in range(rng.choice([2, 4, 5]))] for k in range(6)} | {9: "one two three four".split()}
+    texts = [[rng.choice("abcdefg") for _ in range(rng.randint(0, 30))] for _ in range(40)] + ["two one four three".split(), "x two one three four".split()]
+    want = set()
+    for i, t in enumerate(texts):
+        for k, item in items.items():
+            windows = [item[j : j + 4] for j in range(max(1, len(item) - 3))]
+            for w in windows:
+                for p in range(len(t) - len(w) + 1):
+                    if all(x in t[max(0, p + j - slop) : p + j + slop + 1] for j, x in enumerate(w)):
+                        want.add((i, k, p, len(w), "phrase" if t[p : p + len(w)] == w else "proximity"))
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    got = decontaminate.find_matches(made(rows_of([" ".join(t) for t in texts])), bench, window=4, slop=slop).collect()
+    assert {tuple(r) for r in got} == want
+
+
+def test_contamination_of_rows_without_or_with_the_same_id(spark):
+    docs = spark.createDataFrame([(None, "a b c", 1, 1), (None, "d", 2, 2), (1, "a b c", 3, 3), (1, "d", 4, 4), (1, "a b c", 5, 5)], "doc_id long, text string, _id int, words int")
+    bench = spark.createDataFrame([(7, "a b c")], "item_id long, text string")
+    got = sorted((tuple(r)[:4] for r in decontaminate.contamination(docs, bench).collect()), key=str)
+    assert got == sorted([(None, 3, 3, 1), (None, 1, 0, 0), (1, 3, 3, 1), (1, 1, 0, 0), (1, 3, 3, 1)], key=str)
+    kept = decontaminate.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and sorted(r["_id"] for r in kept.collect()) == [2, 4]
+
+
+
 @pytest.mark.parametrize("tag, shown", [("div style='overflow:hidden'", True), ("a href='/the-hidden-valley'", True), ("div title=\"Hidden gems\"", True), ("div data-hidden='false'", True), ("a href=/a/hidden/b", True), ("div hidden", False), ("div class=x HIDDEN=''", False), ("div aria-hidden='true'", False), ("div aria-hidden=false", True)])
 def test_html_hidden_is_an_attribute_name(tag, shown):
     _, runs = html_text.parse(f"<article><{tag}><p>Words.</p></{tag.split()[0]}></article>")
@@ -174,6 +203,43 @@ def test_html_held_out_pages():
         assert isinstance(model.extract(odd), str)
 
 
+#: (page, main text) of layouts that were written down by hand, apart from the generator of the training pages.
+PAGES = [
+    ("<div id=wrapper><div class=nav-bar><a href=/>Home</a> | <a href=/news>News</a></div><div class=story><h2>Storm hits coast</h2><p>The storm arrived at noon, and trees fell on the road.</p><p>Nobody was hurt, the mayor said.</p></div><div class=footer>Copyright 2020 The Paper. All rights reserved.</div></div>",
+     "Storm hits coast The storm arrived at noon, and trees fell on the road. Nobody was hurt, the mayor said."),
+    ("<header><h1>My Blog</h1></header><main><article><h1>How I bake bread</h1><p>Take flour, water, salt and time.</p><ul><li>Mix it well.</li><li>Let it rest for a night.</li></ul><div class=share-buttons><a href=#>Tweet</a><a href=#>Mail</a></div></article><section class=comments><h3>2 comments</h3><p>Great recipe, thanks a lot!</p></section></main><footer><p>Made with care.</p></footer>",
+     "How I bake bread Take flour, water, salt and time. Mix it well. Let it rest for a night."),
+    ("<body><nav><ul><li><a href=a>A</a><li><a href=b>B</a></ul></nav><article><p>First paragraph of the text, without an end tag.<p>Second paragraph, with <a href=x>a link</a> inside it.</article><aside><h3>Read also</h3><ul><li><a href=c>Another story of ours</a></li></ul></aside></body>",
+     "First paragraph of the text, without an end tag. Second paragraph, with a link inside it."),
+    ("<div class=cookie-notice>We use cookies. <button>Accept</button></div><article class=post><h1>Results</h1><table><tr><td>Team</td><td>Points</td></tr><tr><td>Reds</td><td>12</td></tr></table><p>The season ends in May.</p></article><form class=newsletter><label>Your address</label><input><button>Subscribe</button></form>",
+     "Results Team Points Reds 12 The season ends in May."),
+    ("<article><h1>Title &amp; more</h1><div style='display: none'>Not shown.</div><p>Shown&nbsp;text.</p><pre>a  b\n c</pre></article><div class=advertisement>Buy two, get one free, today only.</div>",
+     "Title & more Shown text. a b c"),
+    ("Only a line of text, in no element at all.", "Only a line of text, in no element at all."),
+    ("<p>A page of one paragraph.", "A page of one paragraph."),
+]
+
+
+def test_html_pages_labelled_by_hand():
+    model = html_text.TreeModel().fit(html_text.labelled_pages(html_text.TRAIN_PAGES))
+    for page, text in PAGES:
+        assert model.extract(page) == text
+    for start in ('<article style="overflow: hidden">', '<article title="a hidden gem">', '<article data-hidden="false">'):
+        assert model.extract(start + "<p>Words of it.</p></article>") == "Words of it."
+
+
+@pytest.mark.parametrize(("start", "first", "then"), [("", "<div>", "</b>"), ("<ul><li>", "<b>", "<div></div>"), ("<li><ul>", "<div>", "<li>x</li>"), ("<p><button>", "<b>", "<div></div>"), ("", "<p>a", "b<i>")])
+def test_html_takes_time_in_proportion(start, first, then):
+    import time
+
+    took = []
+    for n in (2_000, 16_000):
+        began = time.process_time()
+        html_text.parse(start + first * n + then * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * max(took[0], 0.01)  # 8 times in proportion, 64 times if quadratic
+
+
 def test_sum_product_is_exact():
     """Marginals against the sum over all labellings of a small tree."""
     import itertools
