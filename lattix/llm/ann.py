@@ -13,7 +13,7 @@ fast lists improve, not which rows are indexed: all are).
 
 Search. A query holds the ``BEAM`` best nodes seen. In each round it expands the best ``EXPAND``
 that it has not expanded, reads their lists from the graph by a join, and keeps the best again; it ends
-when all it holds are expanded. It starts from the best of ``ENTRIES`` sampled nodes and, if it is a
+when all it holds are expanded. It starts from the best of a sample of nodes that grows with the square root of their number up to ``ENTRIES`` and, if it is a
 row of the index, from its own node. The best ``RERANK`` nodes are then scored exactly, in double
 precision on the original vectors.
 
@@ -44,8 +44,8 @@ ROUNDS = 9
 SETTLED = 0.01
 BEAM = 224
 EXPAND = 32
-MAX_EXPANSIONS = 60
-ENTRIES = 512
+#: Entry points: ENTRY_ROOTS times the square root of the number of nodes, at most ENTRIES.
+ENTRIES, ENTRY_ROOTS = 512, 4
 RERANK = 64
 #: Random meetings of the first round: places visited by a node, and visitors of a place.
 FIRST_VISITS, FIRST_SIZE = 4, 40
@@ -160,6 +160,12 @@ def _visit(batches, seed: int, places: int):
             least = last[row]
         turn = (mix(tag[row] ^ place.view(np.uint64)) >> np.uint64(1)).view(np.int64)
         turn[place == node[row]] = -1  # the place itself always takes part
+        # Those beyond the first MEETING of these rows are beyond them at the place, too: a hub gets no more from any batch.
+        order = np.lexsort((turn, place))
+        sorted_place = place[order]
+        rank = np.arange(len(order)) - np.searchsorted(sorted_place, sorted_place)
+        order = np.sort(order[rank < MEETING])
+        place, row, turn, least = place[order], row[order], turn[order], least[order]
         for lo in range(0, len(place), 20_000):
             some = slice(lo, lo + 20_000)
             yield pa.RecordBatch.from_arrays([pa.array(place[some]), pa.array(turn[some]), pa.array(node[row[some]]), batch.column("half").take(pa.array(row[some])), pa.array(least[some])], names=["place", "turn", "node", "half", "least"])
@@ -311,7 +317,8 @@ def search_graph(graph: DataFrame, queries: DataFrame, beam: int = BEAM) -> Data
     ``queries``: query_id, half (as in the graph), own (its node in the graph, or null).
     """
     spark = graph.sparkSession
-    entries = graph.select("node", "half").orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()
+    many_entries = min(ENTRIES, int(np.ceil(ENTRY_ROOTS * np.sqrt(graph.count()))))
+    entries = graph.select("node", "half").orderBy(F.xxhash64("node"), "node").limit(many_entries).collect()
     if not entries:
         return spark.createDataFrame([], "query_id long, node long, score float")
     ids = np.array([r["node"] for r in entries], np.int64)
@@ -323,8 +330,7 @@ def search_graph(graph: DataFrame, queries: DataFrame, beam: int = BEAM) -> Data
             if not batch.num_rows:
                 continue
             score = _half(batch.column("half")) @ matrix.T
-            many = min(beam, len(ids)) if len(ids) < ENTRIES else EXPAND
-            order = np.argsort(-score, 1, kind="stable")[:, :many]
+            order = np.argsort(-score, 1, kind="stable")[:, :EXPAND]
             near, value = ids[order], np.take_along_axis(score, order, 1)
             rows: list[list] = []
             for k, own in enumerate(batch.column("own").to_pylist()):
@@ -344,7 +350,7 @@ def search_graph(graph: DataFrame, queries: DataFrame, beam: int = BEAM) -> Data
     listed = store(listed).repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
     beams = store(queries.select("query_id", "half", "own").mapInArrow(start, BEAMS))
     finished = None
-    for _ in range(MAX_EXPANSIONS):
+    while True:  # beams only improve, so a node that has left one doesn't come back
         open_ones = beams.where(F.exists("done", lambda x: ~x))
         if open_ones.isEmpty():
             break

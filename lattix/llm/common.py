@@ -53,11 +53,14 @@ def drop_stored(spark: SparkSession, path: str) -> None:
     where.getFileSystem(conf).delete(where, True)
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it again: it cuts lineage and survives lost executors."""
+def store(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it again: it cuts lineage and survives lost executors.
+
+    ``rows_per_file`` (0: any number) bounds what a reader of long rows holds at once.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     if _OPEN:
         _OPEN[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
@@ -114,21 +117,28 @@ def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
     Ranges of at most eight bytes of one length never collide, and no pattern within longer ones makes them collide.
     """
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eights = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
-    lengths = (ends - starts).astype(np.int64)
+    eights, lengths = _eights(data), (ends - starts).astype(np.int64)
     with np.errstate(over="ignore"):
-        code = mix(lengths.astype(np.uint64) * _M2)
-        live, at = np.flatnonzero(lengths > 0), starts
+        code = mix(lengths.astype(np.uint64) * _M2 ^ (eights[starts] & _MASKS[np.minimum(lengths, 8)]))
+        live, done = np.flatnonzero(lengths > 8), 8
         while len(live):
-            left = lengths[live] - (at[live] - starts[live])
-            chunk = eights[at[live]] & _MASKS[np.minimum(left, 8)]
-            code[live] = mix(code[live] * _M3 ^ chunk)
-            at = at + 8
-            live = live[left > 8]
+            left = lengths[live] - done
+            code[live] = mix(code[live] * _M3 ^ (eights[starts[live] + done] & _MASKS[np.minimum(left, 8)]))
+            live, done = live[left > 8], done + 8
     return code
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros follow the end."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+
+
+def hash_grams(data: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of the n bytes, eight at most, from each of ``starts`` on."""
+    with np.errstate(over="ignore"):
+        return mix(_eights(data)[starts] & _MASKS[n] ^ np.uint64(n) * _M2)
+
+
 def hash_words(words: list[bytes]) -> np.ndarray:
     """The hashes that Words gives for these byte strings."""
     data = np.frombuffer(b"".join(words), np.uint8)

@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from .common import NOT_ALNUM, Words, read, store, text_slices, tidy
 
 WINDOW = 10
-#: Bytes of text in a segment of the index: about as many bytes of lists.
-SEGMENT_BYTES = 1 << 20
+#: Bytes of text in a segment of the index, about as many bytes of lists; a longer text is a segment by itself.
+SEGMENT_BYTES = 1 << 17
+#: Segments in a file at most: readers and writers of Parquet hold many rows at a time.
+SEGMENTS_PER_FILE = 256
 #: Words of benchmark items in one block: at most about 8 MB in each task.
 BLOCK_WORDS = 200_000
 #: Rows of contaminated documents that may be broadcast (16 MB); more are joined by a shuffle.
@@ -80,21 +82,26 @@ def build_index(documents: DataFrame) -> DataFrame:
                 words = Words(texts, NOT_ALNUM)
                 order = np.argsort(words.hashes, kind="stable")
                 terms, begin = np.unique(words.hashes[order], return_index=True)
-                arrays = words.first.astype(np.int64), terms, np.append(begin, len(order)).astype(np.int64), order.astype(np.int32)
+                arrays = words.first.astype(np.int64), terms, np.append(begin, len(order)).astype(np.int32), order.astype(_width(len(order)))
                 ids = [pa.array([batch.column(c).slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())) for c in ("doc_id", "text_key")]
                 yield pa.RecordBatch.from_arrays([pa.array([(task << 32) | count]), *ids, *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], names=[c.split()[0] for c in INDEX.split(", ")])
                 count += 1
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    return store(rows.mapInArrow(run, INDEX))
+    return store(rows.mapInArrow(run, INDEX), SEGMENTS_PER_FILE)
+
+
+def _width(words: int):
+    return np.uint16 if words <= 1 << 16 else np.int32
 
 
 class Postings:
     """A segment of the index."""
 
     def __init__(self, segment: dict):
-        self.first, self.terms, self.begin = (np.frombuffer(segment[k], t) for k, t in (("first", np.int64), ("terms", np.uint64), ("begin", np.int64)))
-        self.positions = np.frombuffer(segment["positions"], np.int32)
+        self.first, self.terms, self.begin = (np.frombuffer(segment[k], t) for k, t in (("first", np.int64), ("terms", np.uint64), ("begin", np.int32)))
+        self.begin = self.begin.astype(np.int64)
+        self.positions = np.frombuffer(segment["positions"], _width(int(self.begin[-1]))).astype(np.int64)
         #: All lists as one sorted sequence of (term number, position).
         self.keys = np.repeat(np.arange(len(self.terms)) << 32, np.diff(self.begin)) | self.positions
 

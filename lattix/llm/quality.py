@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Texts, Words, hash_ranges, held_out, mix, read, sums_between, text_slices
+from .common import SPACE, Texts, Words, hash_grams, held_out, mix, read, sums_between, text_slices
 
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
@@ -51,7 +51,7 @@ def features(texts: Texts):
     ends = np.repeat(texts.bounds[1:], np.diff(texts.bounds))
     for n in GRAMS:
         start = position[position + n <= ends]
-        yield _bucket(hash_ranges(words.data, start, start + n)), np.searchsorted(start, texts.bounds)
+        yield _bucket(hash_grams(words.data, start, n)), np.searchsorted(start, texts.bounds)
 
 
 class Model:
