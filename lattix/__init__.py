@@ -5,7 +5,7 @@ import numpy as _np
 from .array import Array, from_cells
 from .meta import Spec, broadcast_shapes, can_cast, finfo, iinfo, isdtype, result_type
 from .operators import elementwise as _elementwise
-from .operators.blocks import apply_gufunc, blockwise, map_blocks, map_blocks_multiple_outputs, map_overlap, map_selection, reduce_blocks
+from .operators.blocks import apply_gufunc, blockwise, general_blockwise, map_blocks, map_blocks_multiple_outputs, map_overlap, map_selection, reduce_blocks
 from .operators.blocks import reduction
 from .operators.creation import arange, asarray, empty, empty_like, empty_virtual_array, eye, from_array, from_table, full, full_like, linspace, meshgrid, ones, ones_like, tril, triu, zeros, zeros_like
 from .operators.elementwise import astype, clip, elemwise, where

@@ -9,10 +9,12 @@ from __future__ import annotations
 import inspect
 import itertools
 import math
+import pickle
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,25 +180,137 @@ def _together(arrays: list[Array], ndim: int) -> DataFrame:
     return table.select(*[F.col(f"b{i}") if i in have else F.lit(0).alias(f"b{i}") for i in range(ndim)], *[f"x{k}" for k in range(len(arrays))])
 
 
+def _packed(x: Array, k: int) -> DataFrame:
+    """k, n (the linear number of a block), data (its elements in C order): a row for each block."""
+    counts, dtype, ndim = x.numblocks, x.dtype, x.ndim
+
+    def run(batches):
+        for batch in batches:
+            numbers = [batch.column(f"b{i}").to_pylist() for i in range(ndim)]
+            for r in range(batch.num_rows):
+                n = int(np.ravel_multi_index(tuple(b[r] for b in numbers), counts)) if ndim else 0
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n]), pa.array([_values(batch.column("x"), r, dtype).tobytes()], pa.binary())], names=["k", "n", "data"])
+
+    return to_blocks(x, "x").mapInArrow(run, "k int, n long, data binary")
+
+
+def _by_key(batches, *names: str):
+    """(key, rows as lists of values) of consecutive rows with equal values of the first column; the others are read in order."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            if rows and row[0] != key:
+                yield key, rows
+                rows = []
+            key = row[0]
+            rows.append(row[1:])
+    if rows:
+        yield key, rows
+
+
+def general_blockwise(func: Callable, key_function: Callable, *arrays: Array, shapes, dtypes, chunkss, spec=None, **kwargs) -> tuple[Array, ...]:
+    """func over any blocks: key_function(block numbers of the result) names, for each argument of func, a block
+    as (number of the array, its block numbers), or a list of such. Gives an array for each of ``shapes``, all
+    with the same grid of blocks; func returns a tuple if there are several, and gets block_id if it takes one.
+
+    func runs once for a block, however many results are computed.
+    """
+    dtypes = [np.dtype(d) for d in dtypes]
+    chunkss = [meta.normalize_chunks(c, tuple(s), d) for c, s, d in zip(chunkss, shapes, dtypes, strict=True)]
+    counts = tuple(len(c) for c in chunkss[0])
+    if any(tuple(len(c) for c in chunks) != counts for chunks in chunkss):
+        raise ValueError("results must have the same grid of blocks")
+    wants_id = "block_id" in inspect.signature(func).parameters if _has_signature(func) else False
+    plan = []
+    for number, block in enumerate(itertools.product(*(range(c) for c in counts))):
+        for argument, item in enumerate(key_function(block)):
+            many = isinstance(item, list)
+            for place, (k, own) in enumerate(item if many else [item]):
+                plan.append((number, argument, place, many, k, int(np.ravel_multi_index(tuple(own), arrays[k].numblocks)) if arrays[k].ndim else 0))
+    widest = max((sum(math.prod(block_shape(arrays[k].shape, arrays[k].chunksize, np.unravel_index(n, arrays[k].numblocks) if arrays[k].ndim else ())) * arrays[k].itemsize for _, _, _, _, k, n in rows) for _, rows in itertools.groupby(plan, key=lambda r: r[0])), default=0)
+    check_memory(spec or arrays[0].spec, [widest], [math.prod(meta.chunk_sizes(c)) * d.itemsize for c, d in zip(chunkss, dtypes, strict=True)])
+    wanted = session().createDataFrame(plan, "number long, argument int, place int, many boolean, k int, n long")
+    pieces = _packed(arrays[0], 0)
+    for k, x in enumerate(arrays[1:], 1):
+        pieces = pieces.unionByName(_packed(x, k))
+    facts = [(x.shape, x.chunksize, x.numblocks, x.dtype) for x in arrays]
+    ndim = max(len(s) for s in shapes)
+
+    def run(batches):
+        for number, rows in _by_key(batches, "number", "argument", "place", "many", "k", "n", "data"):
+            parts: list = []
+            for argument, _, many, k, n, data in rows:
+                shape, sizes, blocks, dtype = facts[k]
+                block = np.frombuffer(data, dtype).reshape(block_shape(shape, sizes, np.unravel_index(n, blocks) if blocks else ()))
+                if argument == len(parts):
+                    parts.append([block] if many else block)
+                else:
+                    parts[argument].append(block)
+            block_id = tuple(int(b) for b in np.unravel_index(number, counts)) if counts else ()
+            made = func(*parts, **({"block_id": block_id} if wants_id else {}), **kwargs)
+            for o, (part, chunks, dtype) in enumerate(zip(made if len(dtypes) > 1 else (made,), chunkss, dtypes, strict=True)):
+                cells = cells_batch(np.asarray(part).astype(dtype), [sum(c[:b]) for c, b in zip(chunks, block_id, strict=True)], dtype)
+                n = cells.num_rows
+                at = [cells.column(f"d{i}") if f"d{i}" in cells.schema.names else pa.nulls(n, pa.int64()) for i in range(ndim)]
+                values = [cells.column("v") if k == o else pa.nulls(n, empty[k]) for k in range(len(dtypes))]
+                yield pa.RecordBatch.from_arrays([pa.array([o] * n, pa.int32()), *at, *values], names=["o", *(f"d{i}" for i in range(ndim)), *(f"v{k}" for k in range(len(dtypes)))])
+
+    empty = [cells_batch(np.zeros((0,) * len(c), d), [0] * len(c), d).schema.field("v").type for c, d in zip(chunkss, dtypes, strict=True)]
+    schema = ", ".join(["o int", *[f"d{i} long" for i in range(ndim)], *[f"v{k} {meta.spark_type(d).simpleString()}" for k, d in enumerate(dtypes)]])
+    table = wanted.join(pieces, ["k", "n"]).repartition("number").sortWithinPartitions("number", "argument", "place").mapInArrow(run, schema)
+    if len(dtypes) > 1:
+        table = table.persist(StorageLevel.MEMORY_AND_DISK)
+    out = []
+    for o, (shape, chunks, dtype) in enumerate(zip(shapes, chunkss, dtypes, strict=True)):
+        out.append(from_cells(table.where(F.col("o") == o).select(*[f"d{i}" for i in range(len(shape))], F.col(f"v{o}").alias("v")), tuple(shape), dtype, chunks, spec=spec or arrays[0].spec))
+    return tuple(out)
+
+
 def map_blocks_multiple_outputs(func: Callable, *arrays: Array, shapes, dtypes, chunkss, **kwargs) -> tuple[Array, ...]:
-    """One pass over blocks with several results; func gives a tuple."""
-    return tuple(map_blocks(lambda *parts, _k=k, **kw: func(*parts, **kw)[_k], *arrays, dtype=d, chunks=meta.normalize_chunks(c, s, d), **kwargs) for k, (s, d, c) in enumerate(zip(shapes, dtypes, chunkss, strict=True)))
+    """One pass over corresponding blocks with several results; func gives a tuple."""
+    ndim = max(a.ndim for a in arrays)
+
+    def same(block):
+        return [(k, tuple(0 if a.numblocks[i] == 1 else block[i + ndim - a.ndim] for i in range(a.ndim))) for k, a in enumerate(arrays)]
+
+    return general_blockwise(func, same, *arrays, shapes=shapes, dtypes=dtypes, chunkss=chunkss, **kwargs)
 
 
 def map_selection(func: Callable | None, selection: Callable, x: Array, shape, dtype, chunks) -> Array:
-    """Each block of the result is func of the part of ``x`` that selection(block numbers) names by slices."""
-    chunks = meta.normalize_chunks(chunks, tuple(shape), dtype)
-    parts = []
-    for block in itertools.product(*(range(len(c)) for c in chunks)):
-        piece = x[selection(block)]
-        whole = piece.with_chunks(-1)
-        offset = [b * s for b, s in zip(block, meta.chunk_sizes(chunks), strict=True)]
-        made = map_blocks(func, whole, dtype=dtype, chunks=tuple((c[b],) for c, b in zip(chunks, block, strict=True))) if func else whole
-        parts.append(made.base().select(*[(c + o).alias(f"d{i}") for i, (c, o) in enumerate(zip(made.coordinates, offset, strict=True))], made.column.cast(meta.spark_type(dtype)).alias("v")))
-    table = parts[0]
-    for p in parts[1:]:
-        table = table.unionByName(p)
-    return from_cells(table, tuple(shape), dtype, chunks, spec=x.spec)
+    """Each block of the result is func of the part of ``x`` that selection(block numbers) names by slices with positive steps.
+
+    Blocks of ``x`` go to the blocks of the result that need them, in one shuffle.
+    """
+    sizes, x_shape, counts = x.chunksize, x.shape, x.numblocks
+
+    def ranges(block):
+        named = tuple(selection(block))
+        slices = [s.indices(n) for s, n in zip(named + (slice(None),) * (len(x_shape) - len(named)), x_shape, strict=True)]
+        if any(step < 1 for _, _, step in slices):
+            raise ValueError("selections have positive steps")
+        return slices, [range(min(start // s, n - 1), min(max(stop - 1, start) // s, n - 1) + 1) for (start, stop, _), s, n in zip(slices, sizes, counts, strict=True)]
+
+    def needed(block):
+        return [[(0, own) for own in itertools.product(*ranges(block)[1])]]
+
+    def pick(parts, block_id):
+        slices, spans = ranges(block_id)
+        grid = dict(zip(itertools.product(*(range(len(r)) for r in spans)), parts, strict=True))
+        whole = _assemble(grid, len(spans))
+        part = whole[tuple(slice(start - r[0] * s, max(stop - r[0] * s, 0), step) for (start, stop, step), r, s in zip(slices, spans, sizes, strict=True))]
+        return func(part) if func else part
+
+    return general_blockwise(pick, needed, x, shapes=[shape], dtypes=[dtype], chunkss=[chunks])[0]
+
+
+def _assemble(grid: dict[tuple, np.ndarray], ndim: int) -> np.ndarray:
+    """The array whose blocks are at their places in a grid."""
+    for axis in reversed(range(ndim)):
+        lines: dict[tuple, list] = {}
+        for place in sorted(grid):
+            lines.setdefault(place[:axis], []).append(grid[place])
+        grid = {place: np.concatenate(parts, axis) if len(parts) > 1 else parts[0] for place, parts in lines.items()}
+    return grid[()]
 
 
 def map_overlap(func: Callable, x: Array, *more, dtype=None, chunks=None, depth=None, boundary=None, trim=False, **kwargs) -> Array:
@@ -295,20 +409,71 @@ def apply_gufunc(func: Callable, signature: str, *arrays: Array, axes=None, axis
     return map_blocks(block, *lined, dtype=dtype, chunks=chunks, drop_axis=list(range(depth, depth + width)) if width else None, new_axis=list(range(depth, depth + len(outs[0]))))
 
 
-def reduce_blocks(x: Array, axis, func, combine, dtype, keepdims=False) -> Array:
-    """A reduction by NumPy functions with axis and keepdims: func of each block, combine of the results, in rounds of four."""
-    axes = meta.normalize_axis(axis, x.ndim)
-    step, out = func, x
-    while True:
-        out = map_blocks(lambda b, f=step: f(b, axis=axes, keepdims=True), out, dtype=dtype, chunks=tuple(tuple([1] * out.numblocks[i]) if i in axes else out.chunks[i] for i in range(x.ndim)))
-        if all(out.shape[a] == 1 for a in axes):
-            break
-        step, out = combine, out.with_chunks(tuple(4 if i in axes else out.chunksize[i] for i in range(x.ndim)))
-    if keepdims:
-        return out
-    from .manipulation import squeeze
-
-    return squeeze(out, axes)
+def reduce_blocks(x: Array, axis, func, combine, dtype, keepdims=False, aggregate=None, split_every: int = 4) -> Array:
+    """A reduction by NumPy functions with axis and keepdims: func of each block, combine of ``split_every`` results
+    along each axis at a time until one is left, and aggregate of that.
+
+    What func and combine give is an array, or a dict of arrays if a result has several parts (as the count
+    and total of a mean). It stays a block between the rounds.
+    """
+    axes, dtype, ndim = meta.normalize_axis(axis, x.ndim), np.dtype(dtype), x.ndim
+    if split_every < 2:
+        raise ValueError("split_every must be 2 at least")
+    check_memory(x.spec, [x.chunkmem], [x.chunkmem // max(1, math.prod(x.chunksize[a] for a in axes))])
+    shape, sizes, old = x.shape, x.chunksize, x.dtype
+    ids = [f"b{i}" for i in range(ndim)]
+    schema = ", ".join([*(f"{c} int" for c in ids), "part binary"])
+
+    def row(block, part):
+        return pa.RecordBatch.from_arrays([*(pa.array([b], pa.int32()) for b in block), pa.array([pickle.dumps(part)], pa.binary())], names=[*ids, "part"])
+
+    def first(batches):
+        for batch in batches:
+            numbers = [batch.column(c).to_pylist() for c in ids]
+            for r in range(batch.num_rows):
+                block = tuple(n[r] for n in numbers)
+                yield row(block, func(_values(batch.column("x"), r, old).reshape(block_shape(shape, sizes, block)), axis=axes, keepdims=True))
+
+    def merge(batches):
+        for _, rows in _by_key(batches, "_key", *(f"_{c}" for c in ids), *ids, "part"):
+            grid = {tuple(r[ndim + a] for a in axes): pickle.loads(r[-1]) for r in rows}
+            places = [sorted({p[k] for p in grid}) for k in range(len(axes))]
+            grid = {tuple(places[k].index(v) for k, v in enumerate(p)): part for p, part in grid.items()}
+            yield row(rows[0][:ndim], combine(_joined(grid, axes), axis=axes, keepdims=True))
+
+    parts, counts = to_blocks(x, "x").mapInArrow(first, schema), list(x.numblocks)
+    while any(counts[a] > 1 for a in axes):
+        up = [(F.floor(F.col(c) / split_every).cast("int") if i in axes else F.col(c)).alias(f"_{c}") for i, c in enumerate(ids)]
+        keyed = parts.select(*ids, "part", *up).withColumn("_key", F.concat_ws(",", *(f"_{c}" for c in ids)))
+        parts = keyed.repartition("_key").sortWithinPartitions("_key", *ids).mapInArrow(merge, schema)
+        counts = [-(-n // split_every) if i in axes else n for i, n in enumerate(counts)]
+    kept = [i for i in range(ndim) if i not in axes]
+    where = ndim if keepdims else len(kept)
+
+    def last(batches):
+        for batch in batches:
+            for *block, data in zip(*(batch.column(c).to_pylist() for c in ids), batch.column("part").to_pylist(), strict=True):
+                part = pickle.loads(data)
+                out = np.asarray(aggregate(part) if aggregate else part).astype(dtype)
+                offset = [0 if i in axes else block[i] * sizes[i] for i in range(ndim)]
+                yield cells_batch(out if keepdims else out.reshape([out.shape[i] for i in kept]), offset if keepdims else [offset[i] for i in kept], dtype)
+
+    out_shape = tuple(1 if i in axes else n for i, n in enumerate(shape)) if keepdims else tuple(shape[i] for i in kept)
+    chunks = tuple((1,) if i in axes else c for i, c in enumerate(x.chunks)) if keepdims else tuple(x.chunks[i] for i in kept)
+    return from_cells(parts.mapInArrow(last, cell_schema(where, dtype)), out_shape, dtype, chunks, spec=x.spec)
+
+
+def _joined(grid: dict[tuple, np.ndarray | dict], axes: tuple[int, ...]):
+    """Partial results, each with all axes, at their places along ``axes`` (in that order) as one."""
+    some = next(iter(grid.values()))
+    if isinstance(some, dict):
+        return {name: _joined({p: part[name] for p, part in grid.items()}, axes) for name in some}
+    for k in reversed(range(len(axes))):
+        lines: dict[tuple, list] = {}
+        for place in sorted(grid):
+            lines.setdefault(place[:k], []).append(grid[place])
+        grid = {place: np.concatenate(parts, axes[k]) for place, parts in lines.items()}
+    return grid[()]
 
 
 reduction = reduce_blocks

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .. import meta
 from ..array import BROADCAST_ELEMENTS, Array, from_cells, new_name, session
 from ..functions import ieee
 from .elementwise import astype
-from .reductions import _accumulator, exact_product, variance, wrapping_sum
+from .reductions import _accumulator, variance, wrapped_products, wrapping_sum
 
 #: Of each named reduction: dtype of the result, aggregate, and what an empty group has.
 NAMED = {
     "sum": (lambda d: _dtype(d), lambda v, d: wrapping_sum(v, d), 0),
-    "prod": (lambda d: _dtype(d), lambda v, d: exact_product(v, d) if np.dtype(d).kind in "iu" else F.product(v.cast("double")).cast(meta.spark_type(d)), 1),
+    "prod": (lambda d: _dtype(d), lambda v, d: F.product(v.cast("double")).cast(meta.spark_type(d)), 1),
     "mean": (lambda d: d if d.kind == "f" else np.dtype(np.float64), lambda v, d: F.avg(v), np.nan),
     "var": (lambda d: d if d.kind == "f" else np.dtype(np.float64), lambda v, d: variance(v, d, 0.0), np.nan),
     "max": (lambda d: d, lambda v, d: F.max(v), None),
@@ -76,11 +77,17 @@ def groupby_reduction(x: Array, by: Array, op="sum", *, axis: int, num_groups: i
         kind, aggregate, empty = NAMED[op]
         dtype = np.dtype(kind(x.dtype))
         value = ieee.cast(F.col(name), x.dtype, dtype) if op in ("sum", "prod", "mean", "var") else F.col(name)
-        out = cells.groupBy("_g", *keys).agg(aggregate(value, dtype).alias("_r"))
+        if op == "prod" and dtype.kind in "iu":
+            out = wrapped_products(cells.select("_g", *keys, value.alias("_r")), ["_g", *(f"d{i}" for i in rest)], "_r", dtype)
+        else:
+            out = cells.groupBy("_g", *keys).agg(aggregate(value, dtype).alias("_r"))
     shape = tuple(num_groups if i == axis else n for i, n in enumerate(x.shape))
-    places = session().range(num_groups).toDF("_g")
-    for i in rest:
-        places = places.crossJoin(F.broadcast(session().range(x.shape[i]).toDF(f"d{i}")))
+    # All places of the result from one range: no side of a join is made or sent for them.
+    number, steps = F.col("id"), []
+    for i in reversed(rest):
+        steps.append((number % F.lit(max(1, x.shape[i])).cast("long")).alias(f"d{i}"))
+        number = F.call_function("div", number, F.lit(max(1, x.shape[i])).cast("long"))
+    places = session().range(num_groups * math.prod(x.shape[i] for i in rest)).select(number.alias("_g"), *steps)
     if empty is None:
         filler = F.raise_error(F.lit(f"an empty group has no {op}")).cast(meta.spark_type(dtype))
     else:
@@ -91,21 +98,59 @@ def groupby_reduction(x: Array, by: Array, op="sum", *, axis: int, num_groups: i
 
 
 def _by_user(cells, rest: list[str], name: str, op: Aggregation, chunk: int, axis: int):
-    parts = ", ".join(f"p{k} double" for k in range(op.width))
-    types = ", ".join(f"{c} long" for c in rest)
-
-    def partial(key, rows: pd.DataFrame) -> pd.DataFrame:
-        found = np.atleast_1d(op.func(rows[name].to_numpy())).astype(float)
-        return pd.DataFrame([[*key[:-1], *found]], columns=["_g", *rest, *[f"p{k}" for k in range(op.width)]])
-
-    def finish(key, rows: pd.DataFrame) -> pd.DataFrame:
-        merged = np.atleast_1d(op.combine(rows[[f"p{k}" for k in range(op.width)]].to_numpy()))
-        return pd.DataFrame([[*key, float(op.finish(merged))]], columns=["_g", *rest, "_r"])
-
-    schema = "_g long, " + (types + ", " if rest else "")
-    blocks = cells.withColumn("_b", F.floor(F.col(f"d{axis}") / chunk))
-    some = blocks.groupBy("_g", *rest, "_b").applyInPandas(partial, schema + parts)
-    return some.groupBy("_g", *rest).applyInPandas(finish, schema + "_r double")
+    """The user's reduction: each task takes runs of rows of one group and block, and calls it once for each run."""
+    keys = ["_g", *rest]
+    partials = [f"p{k}" for k in range(op.width)]
+
+    def runs(batches, columns: list[str]):
+        """(key, its rows as a matrix of ``values``) of rows sorted by the key columns."""
+        held, last = [], None
+        for batch in batches:
+            table = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for c in columns:
+                new[1:] |= table[c][1:] != table[c][:-1]
+            cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            values = np.stack([table[c] for c in batch.schema.names if c not in columns], 1)
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                key = tuple(table[c][lo].item() for c in columns)
+                if held and key != last:
+                    yield last, np.concatenate(held)
+                    held = []
+                last = key
+                held.append(values[lo:hi])
+        if held:
+            yield last, np.concatenate(held)
+
+    def out(rows: list[tuple], names: list[str]):
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in keys else pa.float64()) for n, c in zip(names, columns, strict=True)], names=names)
+
+    def partial(batches):
+        rows = []
+        for key, values in runs(batches, [*keys, "_b"]):
+            rows.append((*key[:-1], *np.atleast_1d(op.func(values[:, 0])).astype(float).tolist()))
+            if len(rows) == 10_000:
+                yield out(rows, [*keys, *partials])
+                rows = []
+        yield out(rows, [*keys, *partials])
+
+    def finish(batches):
+        rows = []
+        for key, values in runs(batches, keys):
+            rows.append((*key, float(op.finish(np.atleast_1d(op.combine(values))))))
+            if len(rows) == 10_000:
+                yield out(rows, [*keys, "_r"])
+                rows = []
+        yield out(rows, [*keys, "_r"])
+
+    at = ", ".join(f"{k} long" for k in keys)
+    blocks = cells.select(*keys, F.floor(F.col(f"d{axis}") / chunk).cast("long").alias("_b"), F.col(f"d{axis}").alias("_at"), name)
+    sorted_blocks = blocks.repartition(*keys, "_b").sortWithinPartitions(*keys, "_b", "_at").drop("_at")
+    some = sorted_blocks.mapInArrow(partial, at + ", " + ", ".join(f"{p} double" for p in partials))
+    return some.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(finish, at + ", _r double")
 
 
 def groupby_blockwise(x: Array, by: Array, op="sum", *, axis: int, num_groups: int | None = None) -> Array:

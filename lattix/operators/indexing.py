@@ -72,9 +72,13 @@ def index(x: Array, key) -> Array:
     chunks = meta.normalize_chunks(tuple(c[0] if isinstance(c, tuple) else c for c in chunks), tuple(shape), x.dtype)
     if x.table is None:  # a function of coordinates stays one
         return _compose(x, parts, shape, chunks)
-    keep = F.lit(True)
+    keep, stored = F.lit(True), getattr(x.table, "lattix_blocks", {})
     for a, kind, v in where:
         c = F.col(f"d{a}")
+        if a in stored:  # the folders of other blocks aren't read
+            block, per = stored[a]
+            low, high = (v, v) if kind == "=" else v[:2]
+            keep &= (F.col(block) >= low // per) & (F.col(block) <= high // per)
         if kind == "=":
             keep &= c == v
         else:

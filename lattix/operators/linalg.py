@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .. import meta
-from ..array import Array, from_cells
+from ..array import Array, from_cells, session
 from .blocks import _values, block_shape, cell_schema, cells_batch, check_memory, to_blocks
 from .elementwise import astype, multiply
 from .manipulation import broadcast_to, expand_dims, moveaxis, permute_dims, reshape, squeeze
@@ -42,6 +42,10 @@ def matmul(x1: Array, x2: Array, /, split_every=None) -> Array:
 
 
 def _product(x1: Array, x2: Array, loops, d) -> Array:
+    """Blocks of both sides go to each block of the result that needs them; a task multiplies along the common
+    axis and adds up, so that a block of the result leaves it once. Where the result has fewer blocks than
+    there is room for tasks, the common axis is cut in segments, whose sums are added by position.
+    """
     (n, k), m = x1.shape[-2:], x2.shape[-1]
     shape, nl = (*loops, n, m), len(loops)
     if not k or not math.prod(shape):
@@ -53,34 +57,46 @@ def _product(x1: Array, x2: Array, loops, d) -> Array:
     ones = (1,) * nl
     a, b = x1.with_chunks((*ones, bn, bk)), x2.with_chunks((*ones, bk, bm))
     check_memory(x1.spec, [bn * bk * d.itemsize, bk * bm * d.itemsize], [bn * bm * d.itemsize])
-    lb = [f"b{i}" for i in range(nl)]
-    left = to_blocks(a, "x").withColumnRenamed(f"b{nl}", "bi").withColumnRenamed(f"b{nl + 1}", "bk")
-    right = to_blocks(b, "y").withColumnRenamed(f"b{nl}", "bk").withColumnRenamed(f"b{nl + 1}", "bj")
-    pairs = left.join(right, [*lb, "bk"])
-    sa, sb = a.shape, b.shape
+    spark, lb = session(), [f"b{i}" for i in range(nl)]
+    blocks_n, blocks_k, blocks_m = -(-n // bn), -(-k // bk), -(-m // bm)
+    room = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    segments = min(blocks_k, max(1, room // (math.prod(loops) * blocks_n * blocks_m)))
+    segment = F.floor(F.col("bk") * segments / blocks_k).cast("int").alias("seg")
+    every = lambda name, count: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
+    left = to_blocks(a, "x").withColumnsRenamed({f"b{nl}": "bi", f"b{nl + 1}": "bk"})
+    right = to_blocks(b, "x").withColumnsRenamed({f"b{nl}": "bk", f"b{nl + 1}": "bj"})
+    left = left.select(*lb, "bi", every("bj", blocks_m), segment, "bk", F.lit(0).alias("side"), "x")
+    right = right.select(*lb, every("bi", blocks_n), "bj", segment, "bk", F.lit(1).alias("side"), "x")
+    keys = [*lb, "bi", "bj", "seg"]
+    shapes = (*loops, n, k), (*loops, k, m)
 
     def run(batches):
+        key, total, held = None, None, None
         for batch in batches:
-            for r in range(batch.num_rows):
-                loop = tuple(batch.column(c)[r].as_py() for c in lb)
-                bi, kk, bj = (batch.column(c)[r].as_py() for c in ("bi", "bk", "bj"))
-                p = _values(batch.column("x"), r, d).reshape(block_shape(sa, (*ones, bn, bk), (*loop, bi, kk))[nl:])
-                q = _values(batch.column("y"), r, d).reshape(block_shape(sb, (*ones, bk, bm), (*loop, kk, bj))[nl:])
-                out = (p @ q).reshape((*ones, p.shape[0], q.shape[1]))
-                yield cells_batch(out, [*loop, bi * bn, bj * bm], d)
-
-    cells = pairs.mapInArrow(run, cell_schema(nl + 2, d))
+            for r, (*now, kk, which) in enumerate(zip(*(batch.column(c).to_pylist() for c in (*keys, "bk", "side")), strict=True)):
+                if now != key:
+                    if total is not None:
+                        yield cells_batch(total.reshape((*ones, *total.shape)), [*key[:nl], key[nl] * bn, key[nl + 1] * bm], d)
+                    key, total = now, None
+                if which == 0:
+                    held = _values(batch.column("x"), r, d).reshape(block_shape(shapes[0], (*ones, bn, bk), (*now[:nl], now[nl], kk))[nl:])
+                else:
+                    q = _values(batch.column("x"), r, d).reshape(block_shape(shapes[1], (*ones, bk, bm), (*now[:nl], kk, now[nl + 1]))[nl:])
+                    total = held @ q if total is None else total + held @ q
+        if total is not None:
+            yield cells_batch(total.reshape((*ones, *total.shape)), [*key[:nl], key[nl] * bn, key[nl + 1] * bm], d)
+
+    both = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, "bk", "side")
+    cells = both.mapInArrow(run, cell_schema(nl + 2, d))
     chunks = meta.normalize_chunks((*ones, bn, bm), shape, d)
-    if k > bk:
-        cells = from_cells(cells, shape, d, chunks, spec=x1.spec)
-        keys = cells.coordinates
-        if d.kind == "c":
-            part = "float" if d.itemsize == 8 else "double"
-            total = F.struct(F.sum("v.re").cast(part).alias("re"), F.sum("v.im").cast(part).alias("im"))
-        else:
-            total = wrapping_sum(F.col("v"), d)
-        return from_cells(cells.table.groupBy(*keys).agg(total.alias("v")), shape, d, chunks, spec=x1.spec)
-    return from_cells(cells, shape, d, chunks, spec=x1.spec)
+    if segments == 1:
+        return from_cells(cells, shape, d, chunks, spec=x1.spec)
+    if d.kind == "c":
+        part = "float" if d.itemsize == 8 else "double"
+        total = F.struct(F.sum("v.re").cast(part).alias("re"), F.sum("v.im").cast(part).alias("im"))
+    else:
+        total = wrapping_sum(F.col("v"), d)
+    return from_cells(cells.groupBy(*[f"d{i}" for i in range(nl + 2)]).agg(total.alias("v")), shape, d, chunks, spec=x1.spec)
 
 
 def tensordot(x1: Array, x2: Array, /, *, axes=2, split_every=None) -> Array:

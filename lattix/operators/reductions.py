@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import meta
@@ -14,8 +15,11 @@ from ..functions import ieee
 from .elementwise import astype
 
 
-def reduce_cells(x: Array, axis, aggregate, dtype, keepdims=False, empty=None, finish=None) -> Array:
-    """aggregate(value, coordinates) over ``axis``; ``empty``: what no elements give (None: an error)."""
+def reduce_cells(x: Array, axis, aggregate, dtype, keepdims=False, empty=None, finish=None, of_table=None) -> Array:
+    """aggregate(value, coordinates) over ``axis``; ``empty``: what no elements give (None: an error).
+
+    of_table(table, keys, name): in place of ``aggregate``, the table with a row for each value of the keys.
+    """
     axes = meta.normalize_axis(axis, x.ndim)
     kept = [i for i in range(x.ndim) if i not in axes]
     shape = tuple(1 if i in axes else n for i, n in enumerate(x.shape)) if keepdims else tuple(x.shape[i] for i in kept)
@@ -28,8 +32,11 @@ def reduce_cells(x: Array, axis, aggregate, dtype, keepdims=False, empty=None, f
     if x.table is None and not axes:
         axes = ()
     table = x.base().select(*x.coordinates, x.column.alias(name))
-    out = aggregate(F.col(name), x.coordinates)
-    table = table.groupBy(*[F.col(f"d{i}").alias(f"k{i}") for i in kept]).agg(out.alias(name)) if kept else table.agg(out.alias(name))
+    if of_table:
+        table = of_table(table.select(*[F.col(f"d{i}").alias(f"k{i}") for i in kept], name), [f"k{i}" for i in kept], name)
+    else:
+        out = aggregate(F.col(name), x.coordinates)
+        table = table.groupBy(*[F.col(f"d{i}").alias(f"k{i}") for i in kept]).agg(out.alias(name)) if kept else table.agg(out.alias(name))
     result = finish(F.col(name)) if finish else F.col(name)
     if keepdims:
         dims = [F.lit(0).cast("long").alias(f"d{i}") if i in axes else F.col(f"k{i}").alias(f"d{i}") for i in range(x.ndim)]
@@ -66,10 +73,62 @@ def sum(x: Array, /, *, axis=None, dtype=None, keepdims=False, split_every=None,
     return reduce_cells(x, axis, lambda v, _: wrapping_sum(v, d), d, keepdims, 0)
 
 
-def exact_product(v: Column, dtype, order: Column | None = None) -> Column:
-    """Integers multiply modulo their range, over the collected factors of a group that aren't 1."""
-    factors = F.collect_list(F.when(v != 1, v))
-    return F.aggregate(factors, ieee.as_type(F.lit(1), dtype), lambda a, b: ieee.multiply(a, b, dtype))
+def to_signed(v: Column, dtype) -> Column:
+    """Integers as 64-bit signed ones: the same modulo 2^64."""
+    if np.dtype(dtype) != np.uint64:
+        return v.cast("long")
+    return F.when(v >= F.lit(str(1 << 63)).cast("decimal(20,0)"), v - F.lit(str(1 << 64)).cast("decimal(21,0)")).otherwise(v).cast("long")
+
+
+def from_signed(v: Column, dtype) -> Column:
+    dtype = np.dtype(dtype)
+    if dtype == np.uint64:
+        return F.when(v < 0, v.cast("decimal(20,0)") + F.lit(str(1 << 64)).cast("decimal(21,0)")).otherwise(v.cast("decimal(20,0)")).cast("decimal(20,0)")
+    return v if dtype == np.int64 else ieee.wrap(v, dtype)
+
+
+#: Keys whose partial products a task holds at a time.
+HELD_PRODUCTS = 100_000
+
+
+def wrapped_products(table: DataFrame, keys: list[str], name: str, dtype) -> DataFrame:
+    """keys and the product of the integers ``name`` modulo their range.
+
+    Tasks multiply what they hold before the shuffle, so that a group sends about one number a task.
+    """
+
+    def some(products: dict):
+        columns = [pa.array([k[i] for k in products], pa.int64()) for i in range(len(keys))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(list(products.values()), pa.int64())], names=[*keys, "_p"])
+
+    def partial(batches):
+        held: dict[tuple, int] = {}
+        for batch in batches:
+            v, at = batch.column("_p").to_numpy(), [batch.column(k).to_numpy() for k in keys]
+            if not len(v):
+                continue
+            order = np.lexsort(at[::-1]) if keys else np.arange(len(v))
+            new = np.zeros(len(v), bool)
+            new[0] = True
+            for k in at:
+                new[1:] |= k[order][1:] != k[order][:-1]
+            starts = np.flatnonzero(new)
+            with np.errstate(over="ignore"):
+                products = np.multiply.reduceat(v[order], starts)
+            names = zip(*(k[order][starts].tolist() for k in at), strict=True) if keys else [()]
+            for key, p in zip(names, products, strict=True):
+                with np.errstate(over="ignore"):
+                    held[key] = p * held.get(key, np.int64(1))
+            if len(held) > HELD_PRODUCTS:
+                yield some(held)
+                held = {}
+        if held:
+            yield some(held)
+
+    schema = ", ".join([*(f"{k} long" for k in keys), "_p long"])
+    parts = table.select(*keys, to_signed(F.col(name), dtype).alias("_p")).mapInArrow(partial, schema)
+    whole = F.aggregate(F.collect_list("_p"), F.lit(1).cast("long"), lambda a, b: ieee.multiply(a, b, np.dtype(np.int64)))
+    return parts.groupBy(*keys).agg(from_signed(whole, dtype).alias(name))
 
 
 def prod(x: Array, /, *, axis=None, dtype=None, keepdims=False, split_every=None, device=None) -> Array:
@@ -81,7 +140,7 @@ def prod(x: Array, /, *, axis=None, dtype=None, keepdims=False, split_every=None
         from .blocks import reduce_blocks
 
         return reduce_blocks(x, axis, np.prod, np.prod, d, keepdims)
-    return reduce_cells(x, axis, lambda v, _: exact_product(v, d), d, keepdims, 1)
+    return reduce_cells(x, axis, None, d, keepdims, 1, of_table=lambda table, keys, name: wrapped_products(table, keys, name, d))
 
 
 def mean(x: Array, /, *, axis=None, keepdims=False, split_every=None) -> Array:

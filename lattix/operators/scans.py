@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from ..array import Array, from_cells, full, new_name
 from ..functions import ieee
 from .elementwise import astype, subtract
 from .manipulation import concat, flatten
-from .reductions import _accumulator, exact_product, wrapping_sum
+from .reductions import _accumulator, from_signed, to_signed, wrapped_products, wrapping_sum
 
 
 def _scan(x: Array, axis: int, total, join, exact=None, finish=lambda v: v, total_of=None) -> Array:
@@ -28,7 +29,7 @@ def _scan(x: Array, axis: int, total, join, exact=None, finish=lambda v: v, tota
     within = Window.partitionBy(*rest, "_b").orderBy(f"d{axis}").rowsBetween(Window.unboundedPreceding, 0)
     running = cells.withColumn("_r", finish(total(F.col(name)).over(within)) if exact is None else exact(F.col(name), within))
     if size < x.shape[axis]:
-        sums = cells.groupBy(*rest, "_b").agg(finish(total(F.col(name))).alias("_t") if exact is None else (total_of or (lambda v: exact_product(v, x.dtype)))(F.col(name)).alias("_t"))
+        sums = cells.groupBy(*rest, "_b").agg(finish(total(F.col(name))).alias("_t") if exact is None else total_of(F.col(name)).alias("_t"))
         # At most 4096 block totals for each line along the axis: a window over them is small.
         before = Window.partitionBy(*rest).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         offsets = sums.select(*rest, "_b", (finish(total(F.col("_t")).over(before)) if exact is None else exact(F.col("_t"), before)).alias("_o"))
@@ -78,13 +79,51 @@ def cumulative_prod(x: Array, /, *, axis=None, dtype=None, include_initial=False
     elif x.dtype.kind == "c":
         raise TypeError("cumulative_prod takes real arrays")
     else:
-        one = ieee.literal(1, x.dtype)
+        out = _scan_products(x, axis)
+    return _initial(out, axis, 1, include_initial)
 
-        def exact(v, window):
-            return F.aggregate(F.collect_list(v).over(window), one, lambda a, b: ieee.multiply(a, b, x.dtype))
 
-        out = _scan(x, axis, None, lambda o, r: ieee.multiply(o, r, x.dtype), exact)
-    return _initial(out, axis, 1, include_initial)
+def _running_products(table, keys: list[str], order: str, name: str):
+    """``table`` with _r, the running product of ``name`` modulo 2^64 by ``order`` within the keys: one pass over sorted rows."""
+
+    def run(batches):
+        last, carry = None, np.int64(1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, v = [batch.column(k).to_numpy() for k in keys], batch.column(name).to_numpy()
+            new = np.zeros(len(v), bool)
+            for k in at:
+                new[1:] |= k[1:] != k[:-1]
+            cuts = [0, *np.flatnonzero(new).tolist(), len(v)]
+            running = np.empty(len(v), np.int64)
+            with np.errstate(over="ignore"):
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    key = tuple(k[lo].item() for k in at)
+                    running[lo:hi] = np.multiply.accumulate(v[lo:hi]) * (carry if key == last else np.int64(1))
+                    last, carry = key, running[hi - 1]
+            yield batch.append_column("_r", pa.array(running))
+
+    rows = (table.repartition(*keys) if keys else table.repartition(1)).sortWithinPartitions(*keys, order)
+    return rows.mapInArrow(run, table.withColumn("_r", F.lit(0).cast("long")).schema)
+
+
+def _scan_products(x: Array, axis: int) -> Array:
+    """Running products of integers, as _scan: within blocks, and over at most 4096 block products of a line."""
+    axis = meta.normalize_axis(axis, x.ndim)[0]
+    if not x.size:
+        return x
+    rest = [f"d{i}" for i in range(x.ndim) if i != axis]
+    size = max(x.chunksize[axis], -(-x.shape[axis] // 4096))
+    cells = x.base().select(*x.coordinates, to_signed(x.column, x.dtype).alias("_v"), F.floor(F.col(f"d{axis}") / size).cast("long").alias("_b"))
+    running = _running_products(cells, [*rest, "_b"], f"d{axis}", "_v")
+    value = F.col("_r")
+    if size < x.shape[axis]:
+        totals = wrapped_products(cells, [*rest, "_b"], "_v", np.int64)
+        before = _running_products(totals, rest, "_b", "_v").select(*rest, (F.col("_b") + 1).alias("_b"), F.col("_r").alias("_o"))
+        running = running.join(before, [*rest, "_b"], "left")
+        value = ieee.multiply(F.coalesce("_o", F.lit(1).cast("long")), value, np.dtype(np.int64))
+    return from_cells(running.select(*x.coordinates, from_signed(value, x.dtype).cast(meta.spark_type(x.dtype)).alias("v")), x.shape, x.dtype, x.chunks, spec=x.spec)
 
 
 def nancumsum(x: Array, /, *, axis=None, dtype=None) -> Array:

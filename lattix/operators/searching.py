@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .. import meta
 from ..array import BROADCAST_ELEMENTS, Array, combine, from_cells, new_name, session
 from ..functions import ieee
+from .blocks import _values, cell_schema
 from .elementwise import astype
 
 #: Sorted arrays up to this size are sent to every task; longer ones are searched by their blocks.
@@ -51,26 +55,46 @@ def searchsorted(x1: Array, x2: Array, /, *, side: str = "left", sorter=None) ->
     return _search_blocks(astype(x1, d), astype(x2, d), side)
 
 
+#: Queries that one copy of a block of the sorted array answers.
+QUERIES_A_COPY = 10_000_000
+
+
 def _search_blocks(x1: Array, x2: Array, side: str) -> Array:
-    """Each query joins the one block of x1 that its place lies in."""
+    """Queries go to the block of x1 that their place lies in, and are searched there batch by batch.
+
+    Each block has as many copies as there may be queries for it, so that no task has to take all of a popular one.
+    """
     size = max(1, min(x1.chunksize[0], MAX_SENT_BYTES // (4 * x1.itemsize)))
     size = max(size, -(-x1.size // (MAX_SENT_BYTES // x1.itemsize)))
     from .creation import asarray
 
     firsts = asarray(x1[:: size].compute()) if x1.size // size * x1.itemsize < 1_000_000 else x1[::size]
     block = searchsorted(firsts, x2, side=side)  # blocks that begin before the place
-    name = new_name()
-    cells = x1.base().select(F.floor(F.col("d0") / size).cast("long").alias("_b"), x1.column.alias(name), F.col("d0").alias("_i"))
+    name, d, ndim = new_name(), x1.dtype, x2.ndim
+    copies = int(min(64, max(1, -(-x2.size // QUERIES_A_COPY))))
+    cells = x1.base().select(F.floor(F.col("d0") / size).cast("long").alias("_b"), x1.column.cast(meta.spark_type(d)).alias(name), F.col("d0").alias("_i"))
     arrays = cells.groupBy("_b").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", name))), lambda s: s[name]).alias("_a"))
     queries = combine(lambda b, v: F.struct(F.greatest(b - 1, F.lit(0)).alias("b"), v.alias("v")), [block, x2], np.float64)
     rows = queries.base().select(*queries.coordinates, queries.column.alias("_q"))
-    rows = rows.select(*x2.coordinates, F.col("_q.b").alias("_b"), F.col("_q.v").alias("_v"))
-
-    def find(a: pd.Series, v: pd.Series) -> pd.Series:
-        return pd.Series([int(np.searchsorted(x, y, side)) for x, y in zip(a, v, strict=True)])
-
-    udf = F.pandas_udf(find, "long")
-    out = rows.join(arrays, "_b").select(*x2.coordinates, (F.col("_b") * size + udf("_a", "_v")).alias("v"))
-    return from_cells(out, x2.shape, np.int64, x2.chunks, spec=x2.spec)
-
-
+    none = [F.lit(None).cast("long").alias(f"d{i}") for i in range(ndim)]
+    value = meta.spark_type(d).simpleString()
+    copy = F.pmod(F.xxhash64(*x2.coordinates) if ndim else F.lit(0).cast("long"), F.lit(copies)).cast("int")
+    asked = rows.select(F.col("_q.b").cast("long").alias("_b"), copy.alias("_c"), F.lit(1).alias("_side"), F.lit(None).cast(f"array<{value}>").alias("_a"), F.col("_q.v").cast(value).alias("_v"), *x2.coordinates)
+    held = arrays.select("_b", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("_c"), F.lit(0).alias("_side"), "_a", F.lit(None).cast(value).alias("_v"), *none)
+
+    def run(batches):
+        sorted_block = np.zeros(0, d)
+        for batch in batches:
+            sides, b = batch.column("_side").to_numpy(), batch.column("_b").to_numpy()
+            for lo, hi in itertools.pairwise([0, *(np.flatnonzero(np.diff(b * 2 + sides)) + 1).tolist(), len(b)]):
+                if hi == lo:
+                    continue
+                if sides[lo] == 0:
+                    sorted_block = _values(batch.column("_a"), hi - 1, d)
+                    continue
+                v = _values(pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column("_v").slice(lo, hi - lo)), 0, d)
+                found = b[lo:hi] * size + np.searchsorted(sorted_block, v, side)
+                yield pa.RecordBatch.from_arrays([*(batch.column(f"d{i}").slice(lo, hi - lo) for i in range(ndim)), pa.array(found)], names=[*(f"d{i}" for i in range(ndim)), "v"])
+
+    both = held.unionByName(asked).repartition("_b", "_c").sortWithinPartitions("_b", "_c", "_side")
+    return from_cells(both.mapInArrow(run, cell_schema(ndim, np.dtype(np.int64))), x2.shape, np.int64, x2.chunks, spec=x2.spec)

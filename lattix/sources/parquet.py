@@ -1,8 +1,8 @@
 """Chunked storage as Parquet: a folder for each block, coordinates and values in its files.
 
 Layout: ``<path>/cells/b0=…/b1=…/*.parquet`` and ``<path>/meta``, one JSON line with shape, dtype and chunks. Reading
-a part of an array touches only its blocks: selection becomes filters on coordinates, to which the
-reader adds the block numbers that they imply. Writing a region overwrites just the region's blocks.
+a part of an array touches only its blocks: selection becomes filters on coordinates and on the
+block numbers that they imply. Writing a region overwrites just the region's blocks.
 """
 
 from __future__ import annotations
@@ -22,11 +22,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` by files in the folder of spark.checkpoint.dir."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        setting = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(setting or tempfile.mkdtemp(prefix="lattix-"))
+        context.setCheckpointDir(scratch_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def scratch_folder(spark) -> str:
+    """The folder of spark.checkpoint.dir; a local one where that is unset and the master is local."""
+    setting = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not setting and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return setting or f"file://{tempfile.mkdtemp(prefix='lattix-')}"
+
+
 def _write_meta(path: str, x: Array) -> None:
     facts = {"shape": x.shape, "dtype": x.dtype.name, "chunks": x.chunksize}
     session().createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
@@ -93,7 +100,8 @@ def from_parquet(path: str, chunks=None, spec=None) -> Array:
             raise ValueError("chunks must be multiples of the stored ones")
         own = new
     table = session().read.parquet(f"{path}/cells")
-    # Block numbers bound coordinates; saying so lets a filter on coordinates prune folders.
+    # Block numbers bound coordinates: a selection of the array also filters them, which prunes folders.
+    table.lattix_blocks = {i: (f"b{i}", c) for i, c in enumerate(facts["chunks"])}
     return from_cells(table, tuple(facts["shape"]), facts["dtype"], own, spec=spec)
 
 
@@ -135,33 +143,65 @@ def store(sources, targets, regions=None, compute: bool = True):
 
 
 def store_transaction(sources, targets) -> None:
-    """Write all arrays or none: into staging folders first, which take their places when all are complete."""
+    """Write all arrays or none: into staging folders first, which take their places when all are complete.
+
+    What stood there is moved aside, and moved back if any move fails. Only if the driver itself dies
+    between two moves, replaced targets stay replaced; the folders moved aside (``.replaced-…``) are then left.
+    """
     spark = session()
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    staged = [f"{t.rstrip('/')}.staging-{uuid.uuid4().hex}" for t in targets]
+    mark = uuid.uuid4().hex
     path = jvm.org.apache.hadoop.fs.Path
+    files = lambda p: path(p).getFileSystem(conf)
+
+    def move(a: str, b: str) -> None:
+        if not files(a).rename(path(a), path(b)):
+            raise OSError(f"can't move {a} to {b}")
+
+    def drop(p: str) -> None:
+        if files(p).exists(path(p)):
+            files(p).delete(path(p), True)
+
+    targets = [t.rstrip("/") for t in targets]
+    kind = lambda t: ".zarr" if t.endswith(".zarr") else ""  # noqa: E731  the ending decides the format
+    staged = [f"{t}.staging-{mark}{kind(t)}" for t in targets]
+    undo: list[tuple[str, str]] = []
     try:
         store(sources, staged)
         for s, t in zip(staged, targets, strict=True):
-            files = path(t).getFileSystem(conf)
-            if files.exists(path(t)):
-                files.delete(path(t), True)
-            if not files.rename(path(s), path(t)):
-                raise OSError(f"can't move {s} to {t}")
+            if files(t).exists(path(t)):
+                move(t, f"{t}.replaced-{mark}")
+                undo.append((f"{t}.replaced-{mark}", t))
+            move(s, t)
+            undo.append((t, ""))
+    except BaseException:
+        for a, b in reversed(undo):
+            move(a, b) if b else drop(a)
+        raise
     finally:
         for s in staged:
-            files = path(s).getFileSystem(conf)
-            if files.exists(path(s)):
-                files.delete(path(s), True)
+            drop(s)
+    for a, b in undo:
+        if b:
+            drop(a)
 
 
-def resume(x: Array, path: str) -> Array:
-    """The stored array, if it was written whole before; else it is written now."""
+def is_complete(x: Array, path: str) -> bool:
+    """Is an array of the shape, dtype and chunks of ``x`` stored there, with every element?"""
     spark = session()
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
-    if not done.getFileSystem(conf).exists(done):
-        to_parquet(x, path)
-    return from_parquet(path, spec=x.spec)
+    for part in ("meta", "cells"):
+        done = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}/_SUCCESS")
+        if not done.getFileSystem(conf).exists(done):
+            return False
+    facts = read_meta(path)
+    if (tuple(facts["shape"]), facts["dtype"], tuple(facts["chunks"])) != (x.shape, x.dtype.name, x.chunksize):
+        return False
+    return spark.read.parquet(f"{path}/cells").count() == x.size  # from the files' footers
 
 
+def resume(x: Array, path: str) -> Array:
+    """The stored array, if it was written whole before, as ``x`` is; else it is written now."""
+    if not is_complete(x, path):
+        to_parquet(x, path)
+    return from_parquet(path, spec=x.spec)
