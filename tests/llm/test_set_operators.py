@@ -1,5 +1,6 @@
 """Joins, deduplication, neighbours, mixing, sharding and archives against brute force."""
 
+import gzip
 import hashlib
 import random
 import zlib
@@ -365,12 +366,54 @@ def test_archives_round_trip(spark, tmp_path):
     ordered = [(r["url_key"], r["captured_at"], r["page_id"]) for r in index.collect()]
     key = lambda x: (x[0], x[1], x[2] is not None, x[2] or 0)
     assert ordered == sorted(ordered, key=key)
-    back = warc.write_archives(pages, f"{tmp_path}/v")
-    payload = {r["page_id"]: r["payload"] for r in warc.read_archives(spark, f"{tmp_path}/v", back).collect()}
+    payload = {r["page_id"]: r["payload"] for r in warc.read_archives(spark, f"{tmp_path}/w").collect()}
     assert all(bytes(payload[i]) == (h or "").encode() for i, _, h, _ in rows if got[i][2] == "response")
+    # An entry of the index is enough to read its record: offset and length name whole gzip members.
+    for r in index.collect():
+        with open(r["archive"].removeprefix("file:").replace("///", "/"), "rb") as f:
+            f.seek(r["offset"])
+            record = gzip.decompress(f.read(r["length"]))
+        assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n") and record.count(f"X-Page-ID: {r['page_id']}".encode()) == (r["page_id"] is not None)
     assert warc.archive_and_index(pages.limit(0), f"{tmp_path}/n").isEmpty()
 
 
+def test_archives_by_salt_and_stream(spark, tmp_path, monkeypatch):
+    """Digests beyond the broadcast, long records in several members, files that are streamed, a table with another captured_at."""
+    for name, value in (("BROADCAST_DIGESTS", 0), ("WHOLE_FILE", 100), ("MEMBER_BYTES", 1000), ("SALTS", 3), ("MERGE_ROWS", 20)):
+        monkeypatch.setattr(warc, name, value)
+    rows = [(i, f"http://a.org/{i}%20x", "equal " * 40 if i % 2 else "own " * 300 + str(i) if i % 3 else None, "x") for i in range(90)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, captured_at string").repartition(4)
+    got = {r["page_id"]: r for r in warc.archive_and_index(pages, f"{tmp_path}/s").collect()}
+    for i, u, h, _ in rows:
+        again = i % 2 and i > 1
+        assert (got[i]["url"], got[i]["record_type"], got[i]["refers_to"], got[i]["payload_digest"]) == (u, "revisit" if again else "response", 1 if again else None, hashlib.sha256((h or "").encode()).hexdigest())
+
+
+def test_archives_of_other_makers(spark, tmp_path):
+    """A warcinfo record, plain HTTP responses, resources, another digest; compressed by record, as a whole, and not at all."""
+    def record(kind, uri, block, *more):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Date: 2020-01-02T03:04:05Z", *([f"WARC-Target-URI: {uri}"] if uri else []), *more, f"Content-Length: {len(block)}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = "Content-Type: application/http; msgtype=response"
+    records = [record("warcinfo", "", b"software: x\r\n"), record("response", "http://b.org/", b"HTTP/1.0 200 OK\r\nServer: s\r\n\r\nhello\r\n\r\nWARC/1.0\r\n", http, "WARC-Payload-Digest: sha1:AAAA"), record("resource", "http://a.org/", b"plain"), record("response", "http://c.org/", b"x" * 3_000_000, http)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "c.warc").write_bytes(b"".join(records))
+    for name in ("a.warc.gz", "b.warc.gz", "c.warc"):
+        found = sorted(warc.read_archives(spark, f"{tmp_path}/{name}").collect(), key=lambda r: r["url"])
+        assert [(r["record_type"], r["url"], bytes(r["payload"])) for r in found[1:]] == [("resource", "http://a.org/", b"plain"), ("response", "http://b.org/", b"hello\r\n\r\nWARC/1.0\r\n"), ("response", "http://c.org/", b"")]
+        if name != "b.warc.gz":
+            data = (tmp_path / name).read_bytes()
+            for r in found:
+                part = data[r["offset"] : r["offset"] + r["length"]]
+                assert (gzip.decompress(part) if name.endswith("gz") else part) in records
+    assert [r["url"] for r in warc.capture_index(warc.read_archives(spark, f"{tmp_path}/c.warc")).collect()] == ["http://c.org/", "http://a.org/", "http://b.org/"][1:] + ["http://c.org/"]
+    (tmp_path / "d.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records)[:-20])
+    with pytest.raises(Exception, match="damaged WARC file"):
+        warc.read_archives(spark, f"{tmp_path}/d.warc.gz").collect()
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 5, 8, 13])
 def test_loser_tree(k):
     rng = random.Random(k)
@@ -383,7 +426,7 @@ def test_url_key(spark):
 
     urls = ["http://www.Example.com/a?b=1#c", "https://user@shop.example.com:80/x", "", "ftp://h"]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(warc.url_key(F.col("u"))).collect()]
-    assert got == ["com,example)/a?b=1", "com:80,example,shop)/x", ")", "h)"]
+    assert got == ["com,example)/a?b=1", "com,example,shop:80)/x", ")", "h)"]
 
 
 @pytest.mark.parametrize(("p", "q"), [(4, 5), (9, 10)])
