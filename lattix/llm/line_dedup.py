@@ -55,11 +55,20 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.trim(F.replace(line, F.lit("\r"), F.lit(" "))))
 
 
-def shingles(line: Column) -> Column:
-    """The hashes of all shingles of a line, repeated ones included."""
-    data = line.cast("binary")
-    starts = F.sequence(F.lit(1), F.greatest(F.octet_length(line) - (SHINGLE - 1), F.lit(1)))
-    return F.transform(starts, lambda i: F.xxhash64(F.substring(data, i, F.lit(SHINGLE))))
+def one_char_a_byte(line: Column) -> Column:
+    """The line's UTF-8 as a string with a character for each byte."""
+    return F.decode(line.cast("binary"), "ISO-8859-1")
+
+
+def shingles(data: Column) -> Column:
+    """All shingles of a line in the form of one_char_a_byte(), repeated ones included: matches that overlap, found in one pass."""
+    return F.when(F.length(data) < SHINGLE, F.array(data)).otherwise(F.regexp_extract_all(data, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
+
+
+def _similar_sets(x: Column, y: Column) -> Column:
+    """Is the Jaccard similarity of two arrays as sets P / Q or more? Each array is made once."""
+    sets = F.array(F.struct(F.array_distinct(x).alias("x"), F.array_distinct(y).alias("y")))
+    return F.transform(sets, lambda s: F.size(F.array_intersect(s["x"], s["y"])) * (P + Q) >= P * (F.size(s["x"]) + F.size(s["y"])))[0]
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
@@ -107,19 +116,17 @@ def _met(keyed: DataFrame) -> DataFrame:
 
 
 def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """line_id and data (a character for each byte) of the lines named."""
     ids = store(ids.distinct())
     few = ids.count() <= BROADCAST_IDS
     found = lines.select(F.xxhash64("line").alias("line_id"), "line").join(F.broadcast(ids) if few else ids, "line_id")
-    return store(found.groupBy("line_id").agg(F.min("line").alias("line")))
+    return store(found.groupBy("line_id").agg(F.min("line").alias("line")).select("line_id", one_char_a_byte(F.col("line")).alias("data")))
 
 
 def _similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose shingle sets have a Jaccard similarity of P / Q or more."""
-    a, b = texts.toDF("a", "line_a"), texts.toDF("b", "line_b")
-    both = pairs.join(a, "a").join(b, "b")
-    sets = both.select("a", "b", F.array_distinct(shingles(F.col("line_a"))).alias("x"), F.array_distinct(shingles(F.col("line_b"))).alias("y"))
-    sized = sets.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("common"))
-    return sized.where(F.col("common") * (P + Q) >= P * (F.col("n") + F.col("m"))).select("a", "b")
+    a, b = texts.toDF("a", "data_a"), texts.toDF("b", "data_b")
+    return pairs.join(a, "a").join(b, "b").where(_similar_sets(shingles(F.col("data_a")), shingles(F.col("data_b")))).select("a", "b")
 
 
 def _all_pairs(rest: DataFrame) -> DataFrame:
