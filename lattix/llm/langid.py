@@ -1,13 +1,12 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a word byte by byte in both directions (a space stands at either end; longer words
-are read in pieces of ``PIECE`` bytes) and labels every position with language probabilities. A
-document's probabilities are the mean over all its positions. Since a word's labels depend on its
-bytes alone, each task runs the network once for a word and keeps a bounded table of results; equal
-words get exactly equal labels.
-
-It is trained in numpy by backpropagation through time, on the driver, over ``TRAIN_WORDS`` words of
-about ``TRAIN_PER_LANG`` documents of each language, chosen by the hash of doc_id. Whole texts are
+The network reads running text, across words and lines, in pieces of about ``PIECE`` bytes that end between
+characters, from both ends at once, and labels every position with language probabilities. A
+document's probabilities are the mean over all its positions. Long texts take no more memory than short
+ones, and equal texts get equal labels.
+
+It is trained in numpy by backpropagation through time, on the driver, over ``TRAIN_PIECES`` pieces of
+passages of at most ``TRAIN_CHARS`` characters from about ``TRAIN_PER_LANG`` documents of each language, chosen by the hash of doc_id. Whole texts are
 labelled. Null texts and those without a letter get `und` with score 0. With no labelled document
 at all, every text gets `und`. Other columns play no part.
 """
@@ -19,18 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Words, held_out, read, text_slices
+from .common import LOWER, Texts, held_out, read, text_slices
 
-PIECE = 32
-HIDDEN = 16
+PIECE = 64
+HIDDEN = 12
 #: Bounds of the training sample.
 TRAIN_PER_LANG = 150
-TRAIN_WORDS = 24_000
-MAX_LANGS = 500
-#: Bytes of text that are labelled at once: the more, the larger the batches of equally long words.
-LABEL_BYTES = 1 << 21
-#: Words whose labels a task remembers.
-REMEMBERED = 400_000
+TRAIN_CHARS, TRAIN_PIECES = 4000, 4000
+#: Languages at most: more distinct values are no languages, and raise an error.
+MAX_LANGS = 2000
+#: Bytes of text whose pieces are read at once, and pieces in one batch of the network: few enough that each product of matrices stays in one thread.
+LABEL_BYTES, BATCH = 1 << 20, 512
 GATES = 3 * HIDDEN
 
 
@@ -95,7 +93,7 @@ class Network:
         p = np.exp(states @ self.out + self.bias)
         return p / p.sum(2, keepdims=True), states
 
-    def train(self, groups: list[tuple[np.ndarray, np.ndarray]], epochs: int = 5, batch: int = 128, rate: float = 0.01, seed: int = 3) -> None:
+    def train(self, groups: list[tuple[np.ndarray, np.ndarray]], epochs: int = 5, batch: int = 64, rate: float = 0.01, seed: int = 3) -> None:
         """groups: byte codes (time, word) and language numbers of words of one length each. Adam steps."""
         rng = np.random.default_rng(seed)
         params = self._parameters()
@@ -123,86 +121,86 @@ class Network:
                     x -= now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
     def sums(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Summed position probabilities of words: (word, language)."""
+        """Summed position probabilities of pieces of a few sizes: (piece, language)."""
         out = np.zeros((len(starts), len(self.langs)), np.float32)
-        begin, owner = starts, np.arange(len(starts))
-        while len(begin):
-            size = np.minimum(ends[owner] - begin, PIECE)
-            order = np.argsort(size, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
-                for lo in range(0, len(part), 8192):
-                    some = part[lo : lo + 8192]
-                    out[owner[some]] += self.label(_codes(data, begin[some], int(size[some[0]])))[0].sum(0)
-            begin = begin + size
-            more = begin < ends[owner]
-            begin, owner = begin[more], owner[more]
+        size, batch = ends - starts, max(64, BATCH * 16 // (16 + len(self.langs)))
+        order = np.argsort(size, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else ():
+            for lo in range(0, len(part), batch):
+                some = part[lo : lo + batch]
+                out[some] = self.label(_codes(data, starts[some], int(size[some[0]])))[0].sum(0)
         return out
 
+    def documents(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the likeliest language and its mean probability, for each text."""
+        starts, ends, of = pieces(texts)
+        p = self.sums(LOWER[texts.data], starts, ends)
+        total = np.stack([np.bincount(of, p[:, k], minlength=len(texts)) for k in range(p.shape[1])], 1)
+        best = total.argmax(1)
+        return best, total[np.arange(len(texts)), best] / np.maximum(total.sum(1), 1e-9)
+
+
+def pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text) of pieces of about PIECE bytes that cover the texts and cut no character."""
+    sizes = np.diff(texts.bounds)
+    many = -(-sizes // PIECE)
+    of = np.repeat(np.arange(len(sizes)), many)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    starts = texts.bounds[of] + nth * PIECE
+    inside = np.append((texts.data & 0xC0) == 0x80, False)
+    last = texts.bounds[1:][of]
+    for _ in range(3):  # a character has at most three bytes after its first
+        starts = np.where((nth > 0) & (starts < last) & inside[starts], starts + 1, starts)
+    ends = np.append(starts[1:], 0)
+    final = np.append(of[1:] != of[:-1], True) if len(of) else np.zeros(0, bool)
+    ends[: len(of)][final] = last[final]
+    ends = ends[: len(of)]
+    keep = ends > starts
+    return starts[keep], ends[keep], of[keep]
+
 
 def _codes(data: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
-    """Byte codes (time, word) of pieces of one size, with a space at either end."""
+    """Byte codes (time, piece) of pieces of one size, with a space at either end."""
     codes = np.full((size + 2, len(begin)), 32, np.uint8)
     codes[1:-1] = data[begin + np.arange(size)[:, None]]
     return codes
 
 
-class Labeller:
-    """Labels documents in a task and remembers the labels of words."""
-
-    def __init__(self, network: Network):
-        self.network, self.known, self.rows = network, {}, np.zeros((0, len(network.langs)), np.float32)
-
-    def words(self, words: Words) -> np.ndarray:
-        """Summed position probabilities of each word."""
-        distinct, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
-            self.known, self.rows = {}, self.rows[:0]
-        hashes = distinct.tolist()
-        unknown = [i for i, h in enumerate(hashes) if h not in self.known]
-        if unknown:
-            at = first[unknown]
-            self.known.update((hashes[i], len(self.rows) + k) for k, i in enumerate(unknown))
-            self.rows = np.concatenate([self.rows, self.network.sums(words.data, words.starts[at], words.ends[at])])
-        return self.rows[[self.known[h] for h in hashes]][inverse] if len(hashes) else self.rows[:0]
-
-    def documents(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """Number of the likeliest language and its mean probability, for each text."""
-        words = Words(texts, SPACE)
-        p, of = self.words(words), words.text_of()
-        total = np.stack([np.bincount(of, p[:, k], minlength=len(texts)) for k in range(p.shape[1])], 1)
-        best = total.argmax(1)
-        return best, total[np.arange(len(texts)), best] / np.maximum(total.sum(1), 1e-9)
-
-
-def train(texts: list[str], langs: list[str], words: int = TRAIN_WORDS, seed: int = 5) -> Network:
-    """Fit a network to words of labelled texts, equally many of each language."""
+def train(texts: list[str], langs: list[str], count: int = TRAIN_PIECES, seed: int = 5) -> Network:
+    """Fit a network to pieces of labelled texts, equally many of each language."""
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
-    lengths: dict[int, list] = {}
+    sizes: dict[int, list] = {}
     for k, name in enumerate(names):
-        (_, _, joined), = text_slices(pa.array([" ".join(t for t, x in zip(texts, langs, strict=True) if x == name)]), 1 << 40)
-        w = Words(joined, SPACE)
-        if not len(w):
+        own = [t for t, x in zip(texts, langs, strict=True) if x == name]
+        (_, _, joined), = text_slices(pa.array(["\n".join(own)]), 1 << 40)
+        starts, ends, _ = pieces(joined)
+        if not len(starts):
             continue
-        pick = rng.choice(len(w), min(len(w), words // len(names)), replace=False)
-        size = np.minimum(w.ends[pick] - w.starts[pick], PIECE)
+        pick = rng.choice(len(starts), min(len(starts), max(1, count // len(names))), replace=False)
+        size = (ends - starts)[pick]
         for n in np.unique(size):
-            codes = _codes(w.data, w.starts[pick][size == n], int(n))
-            lengths.setdefault(int(n), []).append((codes, np.full(codes.shape[1], k)))
+            codes = _codes(LOWER[joined.data], starts[pick][size == n], int(n))
+            sizes.setdefault(int(n), []).append((codes, np.full(codes.shape[1], k)))
     network = Network(names)
-    network.train([(np.concatenate([c for c, _ in parts], 1), np.concatenate([y for _, y in parts])) for _, parts in sorted(lengths.items())])
+    network.train([(np.concatenate([c for c, _ in parts], 1), np.concatenate([y for _, y in parts])) for _, parts in sorted(sizes.items())])
     return network
 
 
 def training_sample(documents: DataFrame, per_lang: int = TRAIN_PER_LANG) -> tuple[list[str], list[str]]:
     """Texts and languages of about ``per_lang`` documents of each language, none held out."""
     able = documents.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
-    counts = {r["lang"]: r["count"] for r in able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    counts = {r["lang"]: r["count"] for r in able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()}
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} values of lang")
     if not counts:
         return [], []
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, per_lang / n)])
     at = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    rows = able.where(at < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0))).select("doc_id", "text", "lang").toPandas().sort_values("doc_id")
+    # A passage of each, from a place that its doc_id decides: what comes to the driver is bounded in characters, too.
+    first = 1 + F.pmod(F.xxhash64("doc_id", F.lit(2)), F.greatest(F.length("text") - TRAIN_CHARS, F.lit(1)).cast("long")).cast("int")
+    passage = F.substring("text", first, F.lit(TRAIN_CHARS)).alias("text")
+    rows = able.where(at < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0))).select("doc_id", passage, "lang").toPandas().sort_values(["doc_id", "text"])
     return rows["text"].tolist(), rows["lang"].tolist()
 
 
@@ -215,11 +213,10 @@ def identify(documents: DataFrame, network: Network | None) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(network)
 
     def run(batches):
-        labeller = Labeller(shared.value)
-        names = np.array([*labeller.network.langs, "und"], object)
+        names = np.array([*shared.value.langs, "und"], object)
         for batch in batches:
             for lo, hi, texts in text_slices(batch.column("text"), LABEL_BYTES):
-                best, score = labeller.documents(texts)
+                best, score = shared.value.documents(texts)
                 letters = np.array(batch.column("letters").slice(lo, hi - lo).to_pylist(), bool)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(lo, hi - lo), pa.array(names[np.where(letters, best, len(names) - 1)], pa.string()), pa.array(np.where(letters, score, 0.0).astype(np.float64))],

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lattix.llm import decontaminate, html_text, langid, quality
@@ -102,6 +103,29 @@ def test_recurrent_gradients_are_right():
         assert (up - down) / 2e-2 == pytest.approx(g[at], rel=0.05)
 
 
+def test_pieces_cover_texts_and_cut_no_character():
+    texts = ["", None, "a" * 200, "é" * 100, "語" * 90, "🙂" * 77, "x" * 64, "x" * 65, "a" + "語" * 50]
+    for lo, hi, part in text_slices(pa.array(texts, pa.large_string()), 1 << 20):
+        starts, ends, of = langid.pieces(part)
+        got = [""] * (hi - lo)
+        for s, e, k in zip(starts.tolist(), ends.tolist(), of.tolist(), strict=True):
+            assert 0 < e - s <= langid.PIECE + 3
+            got[k] += part.data[s:e].tobytes().decode()
+        assert got == [t or "" for t in texts[lo:hi]]
+
+
+def test_language_of_long_and_repeated_texts(made):
+    words = {"aa": ["ola", "mundo", "casa", "verde"], "bb": ["hallo", "welt", "haus", "grün"]}
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(30)), x, "s") for i in range(200) for x in (("aa", "bb")[i % 2],)]
+    rows += [(200, "haus grün " * 30_000, None, "s"), (201, "ola casa", None, "s"), (201, "ola casa", None, "s"), (None, "welt haus", "aa", "s")]
+    out = langid.language_id(made(rows)).collect()
+    assert len(out) == len(rows)
+    of = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in out}
+    assert of[200][0] == "bb" and of[201][0] == "aa" and of[None][0] == "bb"
+    assert len({(r["lang_pred"], r["score"]) for r in out if r["doc_id"] == 201}) == 1
+
+
 def brute_contamination(texts, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     out = {}
