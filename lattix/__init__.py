@@ -21,7 +21,7 @@ from .operators.reductions import (
 from .operators.scans import cumulative_prod, cumulative_sum, diff, nancumprod, nancumsum, scan
 from .operators.searching import isin, searchsorted
 from .plans.rechunk import explain_rechunk, rechunk_plan
-from .plans.runtime import Callback, HistoryCallback, ProgressCallback, compute, measure_reserved_mem, raise_if_computes, visualize
+from .plans.runtime import Callback, HistoryCallback, MemoryWarningCallback, ProgressCallback, TaskEvent, TimelineCallback, analyze, compute, measure_reserved_mem, raise_if_computes, visualize
 from .sources.parquet import from_parquet, resume, store, store_transaction, to_parquet
 from .sources.zarr import from_zarr, to_zarr
 

@@ -113,3 +113,108 @@ def test_info():
     assert info.capabilities()["boolean indexing"] is False
     assert set(info.dtypes(kind="bool")) == {"bool"}
     assert xp.arange(3).__array_namespace__() is xp
+
+
+def test_general_blockwise(spark):
+    """Any blocks go to a block of the result; several results come from one run of the function."""
+    m = xp.from_array(M, chunks=(3, 2))
+    blocks = -(-M.shape[0] // 3)
+    mirror = lambda b: [(0, (blocks - 1 - b[0], b[1])), [(0, (k, b[1])) for k in range(blocks)]]
+    shape, chunks = (blocks, M.shape[1]), ((1,) * blocks, m.chunks[1])
+
+    def func(one, column, block_id):
+        return one.sum(0, keepdims=True), np.concatenate(column).max(0, keepdims=True) + block_id[0]
+
+    a, b = xp.general_blockwise(func, mirror, m, shapes=[shape] * 2, dtypes=["float64"] * 2, chunkss=[chunks] * 2)
+    parts = [M[3 * k : 3 * k + 3] for k in range(blocks)]
+    same(a, np.stack([p.sum(0) for p in parts[::-1]]))
+    same(b, np.stack([M.max(0) + k for k in range(blocks)]))
+
+
+@pytest.mark.parametrize(("axis", "split_every"), [((0,), 2), ((1,), 4), ((0, 1), 3), (None, 2)])
+def test_reduction_with_parts(spark, axis, split_every):
+    m = xp.from_array(M, chunks=(2, 2))
+    first = lambda a, axis, keepdims: {"n": np.ones_like(a).sum(axis=axis, keepdims=keepdims), "t": a.sum(axis=axis, keepdims=keepdims)}
+    add = lambda p, axis, keepdims: {k: v.sum(axis=axis, keepdims=keepdims) for k, v in p.items()}
+    for keepdims in (False, True):
+        got = xp.reduction(m, axis, first, add, "float64", keepdims, aggregate=lambda p: p["t"] / p["n"], split_every=split_every)
+        same(got, M.mean(axis=axis, keepdims=keepdims))
+    with pytest.raises(ValueError):
+        xp.reduction(m, axis, np.sum, np.sum, "float64", split_every=1)
+
+
+def test_products_of_many_blocks(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(-9, 9, (7, 25)), rng.integers(-9, 9, (25, 5))
+    for chunks in ((2, 3), (7, 25), (7, 4)):
+        same(xp.from_array(a, chunks=chunks) @ xp.from_array(b, chunks=(chunks[1], 2)), a @ b)
+    wide = rng.normal(size=(2, 3, 40))
+    same(xp.matmul(xp.from_array(wide, chunks=(1, 2, 7)), xp.from_array(wide.transpose(0, 2, 1).copy(), chunks=(1, 7, 2))), wide @ wide.transpose(0, 2, 1))
+
+
+def test_integer_products_wrap(spark):
+    rng = np.random.default_rng(5)
+    for dtype in ("int64", "uint64", "int32", "uint8"):
+        x = rng.integers(0 if dtype[0] == "u" else -9, 10, (6, 40)).astype(dtype)
+        x[x == 0] = 3
+        a = xp.from_array(x, chunks=(4, 7))
+        for axis in (None, 0, 1):
+            same(xp.prod(a, axis=axis), np.prod(x, axis=axis))
+        same(xp.cumulative_prod(a, axis=1), np.cumprod(x, axis=1))
+        same(xp.cumulative_prod(a[0]), np.cumprod(x[0]))
+        same(xp.groupby_reduction(a, xp.asarray(np.arange(40) % 3), "prod", axis=1, num_groups=3), np.stack([np.prod(x[:, np.arange(40) % 3 == g], axis=1) for g in range(3)], 1))
+
+
+def test_search_in_blocks(spark, monkeypatch):
+    from lattix.operators import searching
+
+    monkeypatch.setattr(searching, "QUERIES_A_COPY", 5)
+    rng = np.random.default_rng(6)
+    edges, asked = np.sort(rng.integers(0, 50, 60)).astype(float), np.append(rng.uniform(-5, 55, 40), [7.0] * 20)
+    for side in ("left", "right"):
+        same(searching._search_blocks(xp.from_array(edges, chunks=8), xp.from_array(asked, chunks=9), side), np.searchsorted(edges, asked, side))
+
+
+def test_slices_read_only_their_folders(spark, tmp_path):
+    path = f"{tmp_path}/a"
+    xp.to_parquet(xp.from_array(np.arange(40.0), chunks=5), path)
+    x = xp.from_parquet(path)
+    same((x * 2.0)[12:14], np.array([24.0, 26.0]))
+    assert "PartitionFilters: [" in x[12:14].cells()._jdf.queryExecution().toString() and len(x[12:14].cells().inputFiles()) >= 1
+    plan = x[12:14].cells()._jdf.queryExecution().executedPlan().toString()
+    assert "b0" in plan[plan.index("PartitionFilters") :].split("]")[0]
+
+
+def test_resume_looks_at_what_is_stored(spark, tmp_path):
+    path = f"{tmp_path}/r"
+    x = xp.from_array(np.arange(12.0), chunks=4)
+    same(xp.resume(x, path), np.arange(12.0))
+    from lattix.sources import parquet
+
+    assert parquet.is_complete(x, path)
+    assert not parquet.is_complete(xp.from_array(np.arange(13.0), chunks=4), path) and not parquet.is_complete(x.astype("float32"), path) and not parquet.is_complete(x.rechunk(6), path)
+    parquet.create(f"{tmp_path}/h", (12,), "float64", (4,))
+    parquet.to_parquet(x[:4], f"{tmp_path}/h", region=(slice(0, 4),))
+    assert not parquet.is_complete(x, f"{tmp_path}/h")
+    same(xp.resume(x, f"{tmp_path}/h"), np.arange(12.0))
+
+
+def test_transaction_takes_back_what_it_did(spark, tmp_path):
+    x, a = xp.from_array(np.arange(6.0), chunks=3), f"{tmp_path}/a"
+    xp.store_transaction([x], [a])
+    with pytest.raises(Exception):  # noqa: B017  the second target's parent is a file
+        (tmp_path / "file").write_text("")
+        xp.store_transaction([x + 1.0, x], [a, f"{tmp_path}/file/b"])
+    same(xp.from_parquet(a), np.arange(6.0))
+    xp.store_transaction([x + 1.0], [a])
+    same(xp.from_parquet(a), np.arange(6.0) + 1)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "file"]
+
+
+def test_task_events(spark, tmp_path):
+    history, timeline, memory = xp.HistoryCallback(f"{tmp_path}/h"), xp.TimelineCallback(f"{tmp_path}/t.svg"), xp.MemoryWarningCallback(0.0)
+    with pytest.warns(UserWarning, match="took"):
+        xp.sum(xp.from_array(M, chunks=(3, 2)), axis=0).compute(callbacks=[history, timeline, memory])
+    assert sorted(p.name for p in (tmp_path / "h").iterdir()) == ["events.csv", "plan.csv", "stats.csv", "tasks.csv"]
+    assert all(e.end >= e.start and 0 <= row["utilisation"] <= 1.01 for e in history.tasks for row in xp.analyze(history.tasks))
+    assert (tmp_path / "t.svg").read_text().count("<rect") == len(history.tasks) > 0
