@@ -4,13 +4,13 @@ A text is the bag of its words, its pairs of neighbouring words and its byte n-g
 into ``BUCKETS`` learned vectors; the vectors are averaged and a softmax layer gives the classes.
 Vectors and layer are fitted together by stochastic gradient descent in numpy, on the driver, over
 at most ``TRAIN_PER_CLASS`` labelled documents of each class (those with the smallest hashes of
-doc_id). A pair of equal words also counts for a bucket of its own, so that repetition is learned
+doc_id), and at most ``TRAIN_CHARS`` characters of each. A pair of equal words also counts for a bucket of its own, so that repetition is learned
 for words never seen.
 
 Scoring needs no vectors: the layer's weights are folded into one number for each bucket, so a task
 looks up a table of 4 bytes a bucket. Whole texts are scored. Null and empty texts have no features:
 their score is what the layer's bias says. Documents with a null label or without one don't train.
-A label of a repeated doc_id counts for each of its rows. Other columns play no part.
+Of rows with one doc_id one text trains. Without any usable label every score is 0.5. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ BUCKETS = 1 << BUCKET_BITS
 GRAMS = (3, 4, 5)
 #: Bound of the training sample: documents of each label.
 TRAIN_PER_CLASS = 600
+#: Characters of a document that the model is trained on.
+TRAIN_CHARS = 20_000
 THRESHOLD = 0.3
 DIM = 8
 VECTOR_STEP = 8.0
@@ -76,6 +78,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 8, rate: float = 2.0
         for i in range(len(part)):
             ids, many = np.unique(np.concatenate([b[o[i] : o[i + 1]] for b, o in found]), return_counts=True)
             docs.append((ids, (many / max(1, many.sum())).astype(np.float32)))
+    if not docs:
+        return Model(np.zeros(BUCKETS), 0.0)
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -103,28 +107,32 @@ def training_sample(documents: DataFrame, labels: DataFrame, per_class: int = TR
     labels = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"), 5, 0)).select("doc_id", F.col("quality").alias("label"))
     order = F.xxhash64("doc_id")
     chosen = [labels.where(F.col("label") == k).orderBy(order, "doc_id").limit(per_class) for k in (0, 1)]
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("doc_id", "text", "label").toPandas().sort_values("doc_id")
+    # A passage of each, from a place that its doc_id decides, and one row of a doc_id: what comes to the driver is bounded.
+    first = 1 + F.pmod(F.xxhash64("doc_id", F.lit(2)), F.greatest(F.length("text") - TRAIN_CHARS, F.lit(1)).cast("long")).cast("int")
+    passage = F.substring("text", first, F.lit(TRAIN_CHARS)).alias("text")
+    found = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("doc_id", "label", passage)
+    rows = found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).toPandas().sort_values(["doc_id", "label"])
     return rows["text"].tolist(), rows["label"].to_numpy(np.int64)
 
 
-def score_documents(documents: DataFrame, model: Model) -> DataFrame:
-    """``documents`` with a column quality_score (replaced, if there is one)."""
-    documents = documents.drop("quality_score")
-    schema = documents.withColumn("quality_score", F.lit(0.0)).schema
+def score_documents(documents: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
+    """``documents`` with a column of scores (replaced, if there is one of that name)."""
+    documents = documents.drop(name)
+    schema = documents.withColumn(name, F.lit(0.0)).schema
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             for lo, hi, texts in text_slices(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(texts))], names=[*part.schema.names, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(texts))], names=[*part.schema.names, name])
 
     return documents.mapInArrow(run, schema)
 
 
-def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def quality(documents: DataFrame, labels: DataFrame, name: str = "quality_score") -> DataFrame:
     """Train on ``labels`` and score all documents."""
-    return score_documents(documents, fit(*training_sample(documents, labels)))
+    return score_documents(documents, fit(*training_sample(documents, labels)), name)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
