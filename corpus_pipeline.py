@@ -24,8 +24,8 @@ from lattix.llm.shard import assign_shards
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality(docs, read(spark, sf_dir, "labels"))
-    return scored.where(F.col("quality_score") >= THRESHOLD).select(*docs.columns)
+    scored = quality(docs, read(spark, sf_dir, "labels"), "_lattix_quality")
+    return scored.where(F.col("_lattix_quality") >= THRESHOLD).drop("_lattix_quality")
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
