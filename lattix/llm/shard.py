@@ -10,7 +10,7 @@ so that neither the driver nor a task holds more than a bounded number of groups
 2. All others but the reserve are packed in tasks of about ``GROUPS`` groups by hash, each with its
    part of the capacity that is left.
 3. The reserve, the ``RESERVE`` small groups with the least hashes, is packed last on the driver, into
-   what the tasks left, and its groups are moved or exchanged while that brings the bytes of two shards closer.
+   what the tasks left, and groups that the driver has placed are moved or exchanged while that brings the bytes of two shards closer.
 
 Slots count the rows of a shard from 0: rows are counted by task while they are written, and the counts
 of the tasks before are added. No task sees a whole shard, and no rows are sorted.
@@ -65,17 +65,21 @@ def pack(share: np.ndarray, residual: np.ndarray) -> np.ndarray:
 
 def _even_out(sizes: np.ndarray, placed: np.ndarray, loads: np.ndarray, rounds: int = 2000) -> None:
     """Move or exchange items between the fullest and the emptiest shard while that lowers their difference; ``loads``: all bytes of shards."""
+    able = np.ones(len(loads), bool)  # shards whose fullness no move can lower, as with one huge group, are passed over
     for _ in range(rounds if len(sizes) else 0):
-        a, b = int(loads.argmax()), int(loads.argmin())
+        a, b = int(np.where(able, loads, -1).argmax()), int(loads.argmin())
         gap = loads[a] - loads[b]
+        if not able.any() or gap <= 1:
+            return
         out, back = np.flatnonzero(placed == a), np.flatnonzero(placed == b)
         back = back[np.argsort(sizes[back], kind="stable")]
         options = np.concatenate([[0], sizes[back]])  # 0: nothing comes back
         at = np.clip(np.searchsorted(options, sizes[out] - gap / 2), 1, len(options)) - 1
         at = np.stack([at, np.minimum(at + 1, len(options) - 1)])
         change = np.abs(gap - 2 * (sizes[out] - options[at]))
-        if gap <= 1 or not len(out) or change.min() >= gap:
-            return
+        if not len(out) or change.min() > 0.99 * gap:  # a huge item would only change places, over and over
+            able[a] = False
+            continue
         j, i = np.unravel_index(change.argmin(), change.shape)
         delta = sizes[out[i]] - options[at[j, i]]
         placed[out[i]] = b
@@ -143,15 +147,13 @@ def plan(measured: DataFrame, shards: int) -> tuple[DataFrame, DataFrame, DataFr
         loads[r["shard"]] = [r[k] for k in SUMS]
     residual -= loads / np.where(totals > 0, totals, 1) * shards
     of_reserve = pack(share_of(reserve), residual)
-    loads[:, 0] += np.bincount(of_reserve, _vectors(reserve)[:, 0], shards) + np.bincount(of_cells, _vectors(cells)[:, 0], shards)
-    sizes = {g["group_key"]: g["bytes"] for g in large}
-    for key, k in whole:
-        loads[k, 0] += sizes[key]
-    # Cells of cut groups and the reserve are what may still move.
-    loose, placed = np.concatenate([_vectors(cells)[:, 0], _vectors(reserve)[:, 0]]).astype(np.int64), np.concatenate([of_cells, of_reserve])
-    _even_out(loose, placed, loads[:, 0].astype(np.int64))
-    made = [(r["group_key"], r["cell"], int(k)) for r, k in zip(cells, placed, strict=False)]
-    made += [(r["group_key"], None, int(k)) for r, k in zip(reserve, placed[len(cells) :], strict=True)] + [(key, None, k) for key, k in whole]
+    # What the driver has placed may still move: whole groups, cells of cut ones and the reserve.
+    by_key = {g["group_key"]: g["bytes"] for g in large}
+    loose = np.array([*(by_key[key] for key, _ in whole), *(r["bytes"] for r in cells), *(r["bytes"] for r in reserve)], np.int64)
+    placed = np.concatenate([np.array([k for _, k in whole], np.int32), of_cells, of_reserve]).astype(np.int64)
+    _even_out(loose, placed, loads[:, 0].astype(np.int64) + np.bincount(placed, loose, shards).astype(np.int64))
+    names = [*((key, None) for key, _ in whole), *((r["group_key"], r["cell"]) for r in cells), *((r["group_key"], None) for r in reserve)]
+    made = [(*name, int(k)) for name, k in zip(names, placed, strict=True)]
     return cut_df, spark.createDataFrame(made, "group_key long, cell int, shard int"), others
 
 
