@@ -33,7 +33,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix, read, store
+from .common import mix, read, store, tidy
 
 NEIGHBOURS = 40
 VISITS = 30
@@ -365,6 +365,7 @@ def search_graph(graph: DataFrame, queries: DataFrame, beam: int = BEAM) -> Data
     return found
 
 
+@tidy
 def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of ``vectors`` for which ``is_query`` holds."""
     rows = store(usable(vectors))

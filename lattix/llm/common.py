@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -69,6 +70,19 @@ def store(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
 _OPEN: list[list[tuple[SparkSession, str]]] = []
 
 
+@contextlib.contextmanager
+def scratch():
+    """What is stored inside goes at the end: for functions whose result is no DataFrame."""
+    at = len(_OPEN)
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for spark, path in [x for held in _OPEN[at:] for x in held]:
+            drop_stored(spark, path)
+        del _OPEN[at:]
+
+
 def tidy(make):
     """A function whose stored tables go when it ends; its result, a DataFrame, is stored and stays."""
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Texts, Words, read, store, text_slices
+from .common import SPACE, Texts, Words, read, scratch, store, text_slices
 
 BUDGET = 0.75
 #: Exponents of the default targets: 1 keeps the shares of the corpus, 0 makes all levels equal.
@@ -39,6 +39,8 @@ FEATURES = 256
 MAX_CELLS = 200_000
 ROUNDS = 400
 TOLERANCE = 1e-7
+#: Odds stay below this where targets can't be met.
+MOST = 1e100
 MARGINS = ("source", "lang", "topic")
 
 
@@ -82,7 +84,11 @@ def _sums(vectors: DataFrame, centres: np.ndarray) -> np.ndarray:
 
 def fit_topics(documents: DataFrame, topics: int = TOPICS, sample: int = TOPIC_SAMPLE, rounds: int = 20, seed: int = 1) -> np.ndarray:
     """Centres (topic by hashed word): k-means over all documents, from distinct vectors with the smallest hashes."""
-    vectors = store(_vectors(documents))
+    with scratch():
+        return _k_means(store(_vectors(documents)), topics, sample, rounds, seed)
+
+
+def _k_means(vectors: DataFrame, topics: int, sample: int, rounds: int, seed: int) -> np.ndarray:
     hashed = vectors.select(F.xxhash64("v", F.lit(seed)).alias("h"), "v")
     first = hashed.select("h").distinct().orderBy("h").limit(sample)
     seeds = [np.frombuffer(r["v"], np.float32).astype(float) for r in hashed.join(F.broadcast(first), "h").groupBy("h").agg(F.min("v").alias("v")).orderBy("h").collect()]
@@ -156,7 +162,7 @@ def _rake_here(cells: pd.DataFrame, budget: float, goals: dict[str, pd.Series])
             have = np.bincount(code, tokens * np.minimum(odds, 1), len(goal))
             factor = np.divide(goal, have, out=np.ones_like(have), where=have > 0)
             off = max(off, float(np.abs(factor - 1)[goal > 0].max(initial=0)))
-            odds *= factor[code]
+            odds = np.minimum(odds * factor[code], MOST)
         if off < TOLERANCE:
             return np.minimum(odds, 1), True
     return np.minimum(odds, 1), False
@@ -192,7 +198,7 @@ def _rake_in_spark(cells: DataFrame, budget: float, goals: dict[str, DataFrame])
             have = now.groupBy(F.col(m).alias("_level")).agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), "odds")).alias("have")).where("have > 0")
             factor = store(have.join(goals[m], F.col("level").eqNullSafe(F.col("_level"))).select("level", (F.col("goal") / F.col("have")).alias("factor"), "goal"))
             off = max(off, factor.where("goal > 0").agg(F.max(F.abs(F.col("factor") - 1))).first()[0] or 0.0)
-            now = store(now.join(factor.drop("goal"), now[m].eqNullSafe(F.col("level")), "left").withColumn("odds", F.col("odds") * F.coalesce("factor", F.lit(1.0))).drop("level", "factor"))
+            now = store(now.join(factor.drop("goal"), now[m].eqNullSafe(F.col("level")), "left").withColumn("odds", F.least(F.lit(MOST), F.col("odds") * F.coalesce("factor", F.lit(1.0)))).drop("level", "factor"))
         if off < TOLERANCE:
             return done(), True
     return done(), False
