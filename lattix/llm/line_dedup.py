@@ -12,6 +12,11 @@ Jaccard similarity of their shingle sets (``P`` / ``Q`` or more), and distribute
 components of the verified pairs. Of each component the first occurrence, by doc_id and line number,
 stays.
 
+Sets are compared in two steps. Each line has ``64 * WORDS`` marks, the parities of the numbers of its shingles
+whose hashes fall on each mark. Where the marks of two lines differ, one set at least has a shingle that the other has not: sets with
+more different marks than a similarity of ``P`` / ``Q`` allows shingles in one set only can't be similar, which drops no
+similar pair. The shingles themselves are compared for the pairs that are left.
+
 Lines above ``SHORT`` bytes look for their minima in the lowest quarter of each range, where nearly all are.
 
 Banding misses a pair at the very threshold with a probability of (1 - J^2)^5 or 0.6 %, agreement in
@@ -43,6 +48,9 @@ BROADCAST_IDS = 1_000_000
 #: Lines of a key that a task pairs with each other, and pairs a line under which all pairs are made at once.
 BLOCK = 1000
 FEW_PAIRS = 20
+#: Words of 64 marks of a line, and the columns of a line's size and marks.
+WORDS = 16
+SIZE_AND_MARKS = ["size", *(f"m{k}" for k in range(WORDS))]
 
 #: Bins of the upper halves of hashes.
 WIDTH = (1 << 32) // BINS
@@ -55,25 +63,16 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.trim(F.replace(line, F.lit("\r"), F.lit(" "))))
 
 
-def one_char_a_byte(line: Column) -> Column:
-    """The line's UTF-8 as a string with a character for each byte."""
-    return F.decode(line.cast("binary"), "ISO-8859-1")
-
-
 def shingles(data: Column) -> Column:
-    """All shingles of a line in the form of one_char_a_byte(), repeated ones included: matches that overlap, found in one pass."""
-    return F.when(F.length(data) < SHINGLE, F.array(data)).otherwise(F.regexp_extract_all(data, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
-
-
-def _similar_sets(x: Column, y: Column) -> Column:
-    """Is the Jaccard similarity of two arrays as sets P / Q or more? Each array is made once."""
-    sets = F.array(F.struct(F.array_distinct(x).alias("x"), F.array_distinct(y).alias("y")))
-    return F.transform(sets, lambda s: F.size(F.array_intersect(s["x"], s["y"])) * (P + Q) >= P * (F.size(s["x"]) + F.size(s["y"])))[0]
+    """The hashes of all shingles of a line's UTF-8, repeated ones included."""
+    starts = F.sequence(F.lit(1), F.greatest(F.octet_length(data) - (SHINGLE - 1), F.lit(1)))
+    return F.transform(starts, lambda at: F.xxhash64(F.substring(data, at, F.lit(SHINGLE))))
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), line (normal form) of all lines that are not empty."""
-    lines = documents.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    # No array here is empty; for explode() without _outer Spark makes each one twice, to filter empty ones.
+    lines = documents.where("text IS NOT NULL").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "raw"))
     return lines.select("doc_id", "line_no", normal_line(F.col("raw")).alias("line")).where("line <> ''")
 
 
@@ -81,7 +80,7 @@ def _signatures(lines: DataFrame) -> DataFrame:
     """line_id and the minima bin0, bin1, ... (null: empty) of each distinct line."""
     data = lines.select(F.xxhash64("line").alias("line_id"), F.col("line").cast("binary").alias("data"), (F.octet_length("line") <= SHORT).alias("short"))
     starts = F.sequence(F.lit(1), F.greatest(F.octet_length("data") - (SHINGLE - 1), F.lit(1)))
-    hashes = data.select("line_id", "data", "short", F.explode(starts).alias("at")).select("line_id", (F.col("short") | (F.col("at") <= FIRST)).alias("always"), F.shiftright(F.xxhash64(F.substring("data", F.col("at"), F.lit(SHINGLE))), 32).cast("int").alias("h"))
+    hashes = data.select("line_id", "data", "short", F.explode_outer(starts).alias("at")).select("line_id", (F.col("short") | (F.col("at") <= FIRST)).alias("always"), F.shiftright(F.xxhash64(F.substring("data", F.col("at"), F.lit(SHINGLE))), 32).cast("int").alias("h"))
     h = F.col("h")
     # Of a longer line only the lowest part of each range counts: nearly all minima lie there, and the rest need no aggregation.
     # Its first shingles always count, since a line that repeats itself may have no other.
@@ -101,12 +100,13 @@ def _keyed(signatures: DataFrame) -> DataFrame:
 
 
 def _agree(a: Column, b: Column) -> Column:
-    """In how many bins two sketches agree."""
-    apart, low = a.bitwiseXOR(b), F.lit((1 << BITS) - 1)
-    out = F.lit(0)
-    for k in range(BINS):
-        out = out + (F.shiftright(apart, BITS * k).bitwiseAND(low) == 0).cast("int")
-    return out
+    """In how many bins two sketches agree: the lowest bit of each bin gathers its other bits that differ."""
+    apart = a.bitwiseXOR(b)
+    some, reach = apart, 1
+    while reach < BITS:
+        step = min(reach, BITS - reach)
+        some, reach = some.bitwiseOR(F.shiftright(some, step)), reach + step
+    return F.lit(BINS) - F.bit_count(some.bitwiseAND(F.lit(sum(1 << BITS * k for k in range(BINS)))))
 
 
 def _met(lines: DataFrame) -> DataFrame:
@@ -123,32 +123,59 @@ def _candidates(met: DataFrame) -> DataFrame:
 
 
 def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """line_id and data (a character for each byte) of the lines named."""
+    """line_id and data (UTF-8) of the lines named."""
     ids = store(ids.distinct())
     few = ids.count() <= BROADCAST_IDS
     found = lines.select(F.xxhash64("line").alias("line_id"), "line").join(F.broadcast(ids) if few else ids, "line_id")
-    return store(found.groupBy("line_id").agg(F.min("line").alias("line")).select("line_id", one_char_a_byte(F.col("line")).alias("data")))
+    return store(found.groupBy("line_id").agg(F.min("line").alias("line")).select("line_id", F.col("line").cast("binary").alias("data")))
+
+
+def _marks(texts: DataFrame) -> DataFrame:
+    """line_id, size (number of different shingles) and the words of marks m0, m1, ... of each line."""
+    hashes = texts.select("line_id", F.explode_outer(F.array_distinct(shingles(F.col("data")))).alias("h"))
+    words = hashes.select("line_id", F.col("h").bitwiseAND(F.lit(WORDS - 1)).alias("word"), F.expr("shiftleft(1L, cast(shiftright(h, 32) & 63 as int))").alias("bit"))
+    none = F.lit(0).cast("long")
+    return words.groupBy("line_id").agg(F.count("*").alias("size"), *[F.coalesce(F.bit_xor(F.when(F.col("word") == k, F.col("bit"))), none).alias(f"m{k}") for k in range(WORDS)])
+
+
+def _near(x: str, y: str) -> Column:
+    """Can lines x and y (prefixes of their columns) be similar? Each different mark is a shingle that only one of them has."""
+    apart = F.lit(0)
+    for m in SIZE_AND_MARKS[1:]:
+        apart = apart + F.bit_count(F.col(x + m).bitwiseXOR(F.col(y + m)))
+    return apart * (P + Q) <= _both(x, y) * (Q - P)
+
+
+def _both(x: str, y: str) -> Column:
+    return F.col(f"{x}size") + F.col(f"{y}size")
+
+
+def _near_pairs(marks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b and both (the sum of their sizes) of the pairs that can be similar."""
+    x, y = (marks.select(F.col("line_id").alias(end), *[F.col(c).alias(p + c) for c in SIZE_AND_MARKS]) for end, p in (("a", "x_"), ("b", "y_")))
+    return pairs.join(x, "a").join(y, "b").where(_near("x_", "y_")).select("a", "b", _both("x_", "y_").alias("both"))
 
 
 def _similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of P / Q or more."""
+    """The pairs (a, b, both) whose shingle sets have a Jaccard similarity of P / Q or more."""
     a, b = texts.toDF("a", "data_a"), texts.toDF("b", "data_b")
-    return pairs.join(a, "a").join(b, "b").where(_similar_sets(shingles(F.col("data_a")), shingles(F.col("data_b")))).select("a", "b")
+    common = F.size(F.array_intersect(shingles(F.col("data_a")), shingles(F.col("data_b"))))
+    return pairs.join(a, "a").join(b, "b").where(common * (P + Q) >= F.col("both") * P).select("a", "b")
 
 
 def _all_pairs(rest: DataFrame) -> DataFrame:
-    """Pairs under a key that are in two components, whose sketches agree enough; keys of many lines are dealt out by pairs of blocks."""
+    """Pairs (a, b, both) under a key that are in two components, whose sketches agree enough and that can be similar; keys of many lines are dealt out by pairs of blocks."""
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
     dealt = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("line_id", F.lit(BLOCK)), F.col("blocks")).cast("int"))
-    x = dealt.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.struct("line_id", "sketch", "component", "before").alias("x"))
-    y = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.struct("line_id", "sketch", "component", "before").alias("y"))
+    x = dealt.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.struct("line_id", "sketch", "component", "before", *SIZE_AND_MARKS).alias("x"))
+    y = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.struct("line_id", "sketch", "component", "before", *SIZE_AND_MARKS).alias("y"))
     new = (F.col("x.component") != F.col("y.component")) & ((F.col("i") < F.col("j")) | (F.col("x.line_id") < F.col("y.line_id")))
     met = (F.col("x.before") == F.col("y.line_id")) | (F.col("y.before") == F.col("x.line_id"))
-    both = x.join(y.withColumnsRenamed({"i": "_i", "j": "_j", "key": "_key"}), (F.col("key") == F.col("_key")) & (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")) & new & ~met & (_agree(F.col("x.sketch"), F.col("y.sketch")) >= AGREE))
-    return both.select(F.greatest("x.line_id", "y.line_id").alias("a"), F.least("x.line_id", "y.line_id").alias("b")).distinct()
+    both = x.join(y.withColumnsRenamed({"i": "_i", "j": "_j", "key": "_key"}), (F.col("key") == F.col("_key")) & (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")) & new & ~met & (_agree(F.col("x.sketch"), F.col("y.sketch")) >= AGREE) & _near("x.", "y."))
+    return both.select(F.greatest("x.line_id", "y.line_id").alias("a"), F.least("x.line_id", "y.line_id").alias("b"), _both("x.", "y.").alias("both")).distinct()
 
 
-def _join_rest(met: DataFrame, pairs: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
+def _join_rest(met: DataFrame, pairs: DataFrame, texts: DataFrame, marks: DataFrame, links: DataFrame) -> DataFrame:
     """Components when all pairs under a key are verified or already connected.
 
     ``met`` has the lines of keys of four or more (fewer have all their pairs in ``pairs``). Lines of a
@@ -161,7 +188,7 @@ def _join_rest(met: DataFrame, pairs: DataFrame, texts: DataFrame, links: DataFr
         placed = rest.join(components.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
         keys = Window.partitionBy("key")
         spread = placed.select("*", F.min("component").over(keys).alias("low"), F.max("component").over(keys).alias("high"), F.count("*").over(keys).alias("many"))
-        now = store(spread.where("low < high").drop("low", "high"))
+        now = store(spread.where("low < high").drop("low", "high").join(marks, "line_id"))
         of = now.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
         lines, load = of.agg(F.sum("n"), F.sum(F.col("n").cast("double") * F.col("n") - F.col("own"))).first()
         if not lines:
@@ -170,28 +197,30 @@ def _join_rest(met: DataFrame, pairs: DataFrame, texts: DataFrame, links: DataFr
         if last:
             fresh = _all_pairs(now)
         else:
-            pivots = now.groupBy("key").agg(F.min_by(F.struct("line_id", "sketch", "component"), F.xxhash64("line_id", F.lit(turn))).alias("pivot"))
-            met_again = now.join(pivots, "key").where((F.col("component") != F.col("pivot.component")) & (_agree(F.col("sketch"), F.col("pivot.sketch")) >= AGREE))
-            fresh = met_again.select(F.greatest("line_id", "pivot.line_id").alias("a"), F.least("line_id", "pivot.line_id").alias("b")).distinct()
+            pivots = now.groupBy("key").agg(F.min_by(F.struct("line_id", "sketch", "component", *SIZE_AND_MARKS), F.xxhash64("line_id", F.lit(turn))).alias("pivot"))
+            met_again = now.join(pivots, "key").where((F.col("component") != F.col("pivot.component")) & (_agree(F.col("sketch"), F.col("pivot.sketch")) >= AGREE) & _near("", "pivot."))
+            fresh = met_again.select(F.greatest("line_id", "pivot.line_id").alias("a"), F.least("line_id", "pivot.line_id").alias("b"), _both("", "pivot.").alias("both")).distinct()
             rest = now.join(pivots, "key").where("line_id <> pivot.line_id").select("key", "line_id", "sketch", "before")
         fresh = store(fresh.join(pairs, ["a", "b"], "left_anti"))
         more = store(_similar(texts, fresh))
         links = links.union(more)
         if last:
             return components if more.isEmpty() else connected_components(links)
-        pairs, turn, before = pairs.union(fresh), turn + 1, load
+        pairs, turn, before = pairs.union(fresh.select("a", "b")), turn + 1, load
 
 
 @tidy
 def dropped_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, line_no) of the lines that go."""
-    lines = lines_of(documents.select("doc_id", "text"))
-    places = store(lines.select("doc_id", "line_no", F.xxhash64("line").alias("line_id")))
+    lines = store(lines_of(documents.select("doc_id", "text")).withColumn("line_id", F.xxhash64("line")))
+    places = lines.select("doc_id", "line_no", "line_id")
     met = store(_met(lines))
     pairs = store(_candidates(met))
     large = met.where("many > 3")
     texts = _texts(lines, pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).union(large.select("line_id")))
-    components = _join_rest(large, pairs, texts, store(_similar(texts, pairs))).withColumnRenamed("node", "line_id")
+    marks = store(_marks(texts))
+    links = store(_similar(texts, _near_pairs(marks, pairs)))
+    components = _join_rest(large, pairs, texts, marks, links).withColumnRenamed("node", "line_id")
     places = places.join(components, "line_id", "left").select("doc_id", "line_no", F.coalesce("component", "line_id").alias("line"))
     firsts = store(places.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("many")).where("many > 1").select("line", "first"))
     few = firsts.count() <= BROADCAST_IDS

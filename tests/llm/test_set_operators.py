@@ -195,6 +195,36 @@ def test_line_dedup_of_interleaved_families(spark, made, monkeypatch, few, block
     assert {r["doc_id"] for r in line_dedup.dropped_lines(docs).collect()} == want
 
 
+def test_line_dedup_compares_shingles_of_near_pairs_only(spark, made, monkeypatch):
+    """Marks drop no similar pair, also of lines that repeat themselves, and most pairs at a similarity of 1/2."""
+    rng = random.Random(23)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    lines = ["ab" * 40, "ab" * 40 + "c", "short", "shorter", "z" * 300, "z" * 200]
+    for _ in range(6):
+        shared = word(300)
+        for _ in range(6):
+            x = shared + word(rng.choice([10, 30, 60, 150]))
+            k = rng.randrange(len(x))
+            lines += [x, x[:k] + "z" + x[k + 1 :]]
+    sets = [{x[j : j + 9] for j in range(max(1, len(x) - 8))} for x in lines]
+    texts = spark.createDataFrame([(i, bytearray(x.encode())) for i, x in enumerate(lines)], "line_id long, data binary")
+    marks = line_dedup._marks(texts).cache()
+    assert {r["line_id"]: r["size"] for r in marks.collect()} == {i: len(s) for i, s in enumerate(sets)}
+    every = spark.createDataFrame([(a, b) for a in range(len(lines)) for b in range(a)], "a long, b long")
+    near = line_dedup._near_pairs(marks, every).cache()
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    similar = {(a, b) for a in range(len(lines)) for b in range(a) if jaccard(a, b) >= 0.8}
+    assert similar <= {(r["a"], r["b"]) for r in near.collect()}
+    assert all(jaccard(r["a"], r["b"]) > 0.65 for r in near.collect())
+    assert {(r["a"], r["b"]) for r in line_dedup._similar(texts, near).collect()} == similar
+    compared, exact = [], line_dedup._similar
+    monkeypatch.setattr(line_dedup, "BANDS", 1)
+    monkeypatch.setattr(line_dedup, "_similar", lambda texts, pairs: compared.append(pairs.count()) or exact(texts, pairs))
+    shared = word(400)
+    line_dedup.dropped_lines(made([(i, shared + word(130), "en", "s") for i in range(60)]))
+    assert sum(compared) < 60
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
