@@ -65,15 +65,17 @@ def normal_line(line: Column) -> Column:
 
 def shingles(data: Column) -> Column:
     """The hashes of all shingles of a line's UTF-8, repeated ones included."""
-    starts = F.sequence(F.lit(1), F.greatest(F.octet_length(data) - (SHINGLE - 1), F.lit(1)))
-    return F.transform(starts, lambda at: F.xxhash64(F.substring(data, at, F.lit(SHINGLE))))
+    starts = lambda line: F.sequence(F.lit(1), F.greatest(F.octet_length(line) - (SHINGLE - 1), F.lit(1)))
+    # A function over an array reads a binary column anew, with a copy of the whole line, for each shingle; its own variable is copied once.
+    return F.transform(F.array(data), lambda line: F.transform(starts(line), lambda at: F.xxhash64(F.substring(line, at, F.lit(SHINGLE)))))[0]
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), line (normal form) of all lines that are not empty."""
     # No array here is empty; for explode() without _outer Spark makes each one twice, to filter empty ones.
     lines = documents.where("text IS NOT NULL").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "raw"))
-    return lines.select("doc_id", "line_no", normal_line(F.col("raw")).alias("line")).where("line <> ''")
+    # Lines of blanks are empty in normal form; tested so, no line is brought into that form twice.
+    return lines.where(F.ltrim("raw", F.lit(" \r")) != "").select("doc_id", "line_no", normal_line(F.col("raw")).alias("line"))
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
@@ -123,19 +125,20 @@ def _candidates(met: DataFrame) -> DataFrame:
 
 
 def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """line_id and data (UTF-8) of the lines named."""
+    """line_id and data (UTF-8) of the lines named, each from the first of its rows: few lines need no shuffle of texts."""
     ids = store(ids.distinct())
     few = ids.count() <= BROADCAST_IDS
-    found = lines.select(F.xxhash64("line").alias("line_id"), "line").join(F.broadcast(ids) if few else ids, "line_id")
-    return store(found.groupBy("line_id").agg(F.min("line").alias("line")).select("line_id", F.col("line").cast("binary").alias("data")))
+    rows = lines.select("line_id", "row").join(F.broadcast(ids) if few else ids, "line_id").groupBy("line_id").agg(F.min("row").alias("row"))
+    return store(lines.join(F.broadcast(rows) if few else rows, ["line_id", "row"]).select("line_id", F.col("line").cast("binary").alias("data")))
 
 
 def _marks(texts: DataFrame) -> DataFrame:
     """line_id, size (number of different shingles) and the words of marks m0, m1, ... of each line."""
-    hashes = texts.select("line_id", F.explode_outer(F.array_distinct(shingles(F.col("data")))).alias("h"))
+    # The array is made in a step of its own: Spark compiles explode() of a column, not of a function over an array.
+    hashes = texts.select("line_id", F.array_distinct(shingles(F.col("data"))).alias("all")).select("line_id", F.explode_outer("all").alias("h"))
     words = hashes.select("line_id", F.col("h").bitwiseAND(F.lit(WORDS - 1)).alias("word"), F.expr("shiftleft(1L, cast(shiftright(h, 32) & 63 as int))").alias("bit"))
     none = F.lit(0).cast("long")
-    return words.groupBy("line_id").agg(F.count("*").alias("size"), *[F.coalesce(F.bit_xor(F.when(F.col("word") == k, F.col("bit"))), none).alias(f"m{k}") for k in range(WORDS)])
+    return words.groupBy("line_id").agg(F.count("*").alias("size"), *[F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(none)).alias(f"m{k}") for k in range(WORDS)])
 
 
 def _near(x: str, y: str) -> Column:
@@ -150,29 +153,55 @@ def _both(x: str, y: str) -> Column:
     return F.col(f"{x}size") + F.col(f"{y}size")
 
 
+def _placed(rows: DataFrame, components: DataFrame, name: str) -> DataFrame:
+    """The rows of lines with their component (the line itself if it has none) as column ``name``."""
+    found = components.toDF("line_id", "_component")
+    found = rows.join(F.broadcast(found) if components.count() <= BROADCAST_IDS else found, "line_id", "left")
+    return found.withColumn(name, F.coalesce("_component", "line_id")).drop("_component")
+
+
+def _with_ends(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs with the columns of their lines a (x_...) and b (y_...); few pairs choose the rows that are shuffled."""
+    a, b = (lines.select(F.col("line_id").alias(end), *[F.col(c).alias(p + c) for c in lines.columns if c != "line_id"]) for end, p in (("a", "x_"), ("b", "y_")))
+    if pairs.count() > BROADCAST_IDS:
+        return pairs.join(a, "a").join(b, "b")
+    return a.join(F.broadcast(pairs), "a").join(b.join(F.broadcast(pairs.select("b").distinct()), "b"), "b")
+
+
 def _near_pairs(marks: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b and both (the sum of their sizes) of the pairs that can be similar."""
-    x, y = (marks.select(F.col("line_id").alias(end), *[F.col(c).alias(p + c) for c in SIZE_AND_MARKS]) for end, p in (("a", "x_"), ("b", "y_")))
-    return pairs.join(x, "a").join(y, "b").where(_near("x_", "y_")).select("a", "b", _both("x_", "y_").alias("both"))
+    return _with_ends(pairs, marks).where(_near("x_", "y_")).select("a", "b", _both("x_", "y_").alias("both"))
 
 
 def _similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b, both) whose shingle sets have a Jaccard similarity of P / Q or more."""
-    a, b = texts.toDF("a", "data_a"), texts.toDF("b", "data_b")
-    common = F.size(F.array_intersect(shingles(F.col("data_a")), shingles(F.col("data_b"))))
-    return pairs.join(a, "a").join(b, "b").where(common * (P + Q) >= F.col("both") * P).select("a", "b")
-
-
-def _all_pairs(rest: DataFrame) -> DataFrame:
-    """Pairs (a, b, both) under a key that are in two components, whose sketches agree enough and that can be similar; keys of many lines are dealt out by pairs of blocks."""
-    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    dealt = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("line_id", F.lit(BLOCK)), F.col("blocks")).cast("int"))
-    x = dealt.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.struct("line_id", "sketch", "component", "before", *SIZE_AND_MARKS).alias("x"))
-    y = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.struct("line_id", "sketch", "component", "before", *SIZE_AND_MARKS).alias("y"))
-    new = (F.col("x.component") != F.col("y.component")) & ((F.col("i") < F.col("j")) | (F.col("x.line_id") < F.col("y.line_id")))
+    common = F.size(F.array_intersect(shingles(F.col("x_data")), shingles(F.col("y_data"))))
+    return _with_ends(pairs, texts).where(common * (P + Q) >= F.col("both") * P).select("a", "b")
+
+
+def _marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows with the size and the marks of their line; few rows need no shuffle of marks."""
+    return marks.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, "line_id")
+
+
+def _all_pairs(rest: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs (a, b, both) under a key that are in two components, whose sketches agree enough and that can be similar; keys of many lines are dealt out by pairs of blocks. A pair comes from the least of its keys only."""
+    keys = F.collect_list("key").over(Window.partitionBy("line_id").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
+    rows = _marked(store(rest.drop("pivot", "own").withColumn("less", keys).withColumn("less", F.when(F.size("less") > 0, F.col("less")))), marks)
+    rows = rows.withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("line_id", F.lit(BLOCK)), F.col("blocks")).cast("int"))
+    # A line goes to each pair of blocks that has its own, once: both sides of the join are one shuffle.
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    # None of the numbers is null; where Spark knows that, the code of the join is short enough to be compiled well.
+    known = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("line_id", "sketch", "component", "before", *SIZE_AND_MARKS)]
+    dealt = rows.select("*", other.alias("other")).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.coalesce("block", F.lit(0)).alias("block"), "less", *known)
+    x, y = dealt.alias("x"), dealt.alias("y")
+    place = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "i", "j")]
+    in_order = ((F.col("x.block") < F.col("y.block")) | ((F.col("x.block") == F.col("y.block")) & (F.col("x.line_id") < F.col("y.line_id")) & (F.col("x.i") == F.col("x.j"))))
+    new = in_order & (F.col("x.component") != F.col("y.component"))
     met = (F.col("x.before") == F.col("y.line_id")) | (F.col("y.before") == F.col("x.line_id"))
-    both = x.join(y.withColumnsRenamed({"i": "_i", "j": "_j", "key": "_key"}), (F.col("key") == F.col("_key")) & (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")) & new & ~met & (_agree(F.col("x.sketch"), F.col("y.sketch")) >= AGREE) & _near("x.", "y."))
-    return both.select(F.greatest("x.line_id", "y.line_id").alias("a"), F.least("x.line_id", "y.line_id").alias("b"), _both("x.", "y.").alias("both")).distinct()
+    again = F.coalesce(F.arrays_overlap("x.less", "y.less"), F.lit(False))
+    both = x.join(y, place[0] & place[1] & place[2] & new & ~met & (_agree(F.col("x.sketch"), F.col("y.sketch")) >= AGREE) & _near("x.", "y.") & ~again)
+    return both.select(F.greatest("x.line_id", "y.line_id").alias("a"), F.least("x.line_id", "y.line_id").alias("b"), _both("x.", "y.").alias("both"))
 
 
 def _join_rest(met: DataFrame, pairs: DataFrame, texts: DataFrame, marks: DataFrame, links: DataFrame) -> DataFrame:
@@ -183,24 +212,22 @@ def _join_rest(met: DataFrame, pairs: DataFrame, texts: DataFrame, marks: DataFr
     as that halves the pairs left and they are many; then all pairs of two components.
     """
     rest, turn, before = met.where("line_id <> least.line_id").select("key", "line_id", "sketch", F.col("before.line_id").alias("before")), 0, math.inf
+    keys, own = Window.partitionBy("key"), Window.partitionBy("key", "component")
     while True:
         components = connected_components(links)
-        placed = rest.join(components.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
-        keys = Window.partitionBy("key")
-        spread = placed.select("*", F.min("component").over(keys).alias("low"), F.max("component").over(keys).alias("high"), F.count("*").over(keys).alias("many"))
-        now = store(spread.where("low < high").drop("low", "high").join(marks, "line_id"))
-        of = now.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        lines, load = of.agg(F.sum("n"), F.sum(F.col("n").cast("double") * F.col("n") - F.col("own"))).first()
+        pivot = F.min(F.struct(F.xxhash64("line_id", F.lit(turn)).alias("turn"), "line_id", "sketch", "component")).over(keys)
+        spread = _placed(rest, components, "component").select("*", F.count("*").over(keys).alias("many"), pivot.alias("pivot")).select("*", F.count("*").over(own).alias("own"))
+        now = store(spread.where("own < many"))
+        lines, load = now.agg(F.count("*"), F.sum((F.col("many") - F.col("own")).cast("double"))).first()
         if not lines:
             return components
         last = load <= FEW_PAIRS * lines or load > before / 2
         if last:
-            fresh = _all_pairs(now)
+            fresh = _all_pairs(now, marks)
         else:
-            pivots = now.groupBy("key").agg(F.min_by(F.struct("line_id", "sketch", "component", *SIZE_AND_MARKS), F.xxhash64("line_id", F.lit(turn))).alias("pivot"))
-            met_again = now.join(pivots, "key").where((F.col("component") != F.col("pivot.component")) & (_agree(F.col("sketch"), F.col("pivot.sketch")) >= AGREE) & _near("", "pivot."))
-            fresh = met_again.select(F.greatest("line_id", "pivot.line_id").alias("a"), F.least("line_id", "pivot.line_id").alias("b"), _both("", "pivot.").alias("both")).distinct()
-            rest = now.join(pivots, "key").where("line_id <> pivot.line_id").select("key", "line_id", "sketch", "before")
+            met_again = now.where((F.col("component") != F.col("pivot.component")) & (_agree(F.col("sketch"), F.col("pivot.sketch")) >= AGREE))
+            fresh = _near_pairs(marks, store(met_again.select(F.greatest("line_id", "pivot.line_id").alias("a"), F.least("line_id", "pivot.line_id").alias("b")).distinct()))
+            rest = now.where("line_id <> pivot.line_id").select("key", "line_id", "sketch", "before")
         fresh = store(fresh.join(pairs, ["a", "b"], "left_anti"))
         more = store(_similar(texts, fresh))
         links = links.union(more)
@@ -212,18 +239,19 @@ def _join_rest(met: DataFrame, pairs: DataFrame, texts: DataFrame, marks: DataFr
 @tidy
 def dropped_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, line_no) of the lines that go."""
-    lines = store(lines_of(documents.select("doc_id", "text")).withColumn("line_id", F.xxhash64("line")))
+    lines = store(lines_of(documents.select("doc_id", "text")).withColumn("line_id", F.xxhash64("line")).withColumn("row", F.monotonically_increasing_id()))
     places = lines.select("doc_id", "line_no", "line_id")
     met = store(_met(lines))
     pairs = store(_candidates(met))
     large = met.where("many > 3")
     texts = _texts(lines, pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).union(large.select("line_id")))
     marks = store(_marks(texts))
-    links = store(_similar(texts, _near_pairs(marks, pairs)))
-    components = _join_rest(large, pairs, texts, marks, links).withColumnRenamed("node", "line_id")
-    places = places.join(components, "line_id", "left").select("doc_id", "line_no", F.coalesce("component", "line_id").alias("line"))
-    firsts = store(places.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("many")).where("many > 1").select("line", "first"))
-    few = firsts.count() <= BROADCAST_IDS
+    links = store(_similar(texts, store(_near_pairs(marks, pairs))))
+    places = _placed(places, _join_rest(large, pairs, texts, marks, links), "line").select("doc_id", "line_no", "line")
+    repeated = store(places.groupBy("line").agg(F.count("*").alias("many")).where("many > 1").select("line"))
+    few = repeated.count() <= BROADCAST_IDS
+    places = places.join(F.broadcast(repeated) if few else repeated, "line")
+    firsts = store(places.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first")))
     return places.join(F.broadcast(firsts) if few else firsts, "line").where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first"))).select("doc_id", "line_no").distinct()
 
 

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -225,6 +226,27 @@ def test_line_dedup_compares_shingles_of_near_pairs_only(spark, made, monkeypatc
     assert sum(compared) < 60
 
 
+def test_line_dedup_of_long_lines(made):
+    """A line is read once for all its shingles, not copied for each: that took a time that grows with the square of its length."""
+    rng = random.Random(29)
+    x = "".join(rng.choices("abcdefghij ", k=1_000_000))
+    began = time.monotonic()
+    assert [(r["doc_id"], r["line_no"]) for r in line_dedup.dropped_lines(made([(1, x, "en", "s"), (2, "other\n" + x[:400_000] + "z" + x[400_001:], "en", "s")])).collect()] == [(2, 1)]
+    assert time.monotonic() - began < 60
+
+
+@pytest.mark.parametrize("block", [1000, 5])
+def test_line_dedup_makes_a_pair_of_several_keys_once(spark, monkeypatch, block):
+    """Lines that share several keys are one row of the join of all pairs, whatever blocks their keys are dealt into."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    line = "".join(random.Random(31).choices("abcdefghij", k=300))
+    texts = spark.createDataFrame([(i, bytearray((line[:i] + "z" + line[i + 1 :]).encode())) for i in range(12)], "line_id long, data binary")
+    rows = [(key, i, 0, -1, i, 12 - key, 0, 1) for key in range(3) for i in range(key, 12)]
+    now = spark.createDataFrame(rows, "key long, line_id long, sketch long, before long, component long, many long, pivot long, own long")
+    made = sorted((r["a"], r["b"]) for r in line_dedup._all_pairs(now, line_dedup._marks(texts)).collect())
+    assert made == [(a, b) for a in range(12) for b in range(a)]
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
