@@ -187,25 +187,70 @@ def explain(x: Array) -> str:
     return x.cells()._jdf.queryExecution().toString()
 
 
+#: Arrays of so many elements or more come to the driver packed: bytes of values, and of the gaps between their places.
+PACKED_ELEMENTS = 1_000_000
+
+
+def _packed(x: Array) -> np.ndarray:
+    """What to_numpy gives. Tasks pack what they have, for a row of coordinates and a value takes several times the bytes of the value."""
+    shape, dtype, ndim = x.shape, x.dtype, x.ndim
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = np.ravel_multi_index([batch.column(f"d{i}").to_numpy() for i in range(ndim)], shape)
+            values, gaps = _flat(batch.column("v"), dtype), np.diff(place)
+            if len(gaps) and gaps.min() < 0:
+                order = np.argsort(place, kind="stable")
+                place, values = place[order], values[order]
+                gaps = np.diff(place)
+            # Of a run of neighbours nothing but its start is sent.
+            gaps = gaps.astype(np.min_scalar_type(int(gaps.max()))) if len(gaps) and (gaps != 1).any() else gaps[:0]
+            yield pa.RecordBatch.from_arrays([pa.array([int(place[0])]), pa.array([gaps.tobytes()], pa.binary()), pa.array([gaps.itemsize], pa.int32()), pa.array([values.tobytes()], pa.binary())], names=["start", "gaps", "width", "data"])
+
+    out, count = np.zeros(x.size, dtype), 0
+    for batch in x.cells().mapInArrow(run, "start long, gaps binary, width int, data binary").toArrow().to_batches():
+        for start, gaps, width, data in zip(*batch.columns, strict=True):
+            values, steps = np.frombuffer(data.as_buffer(), dtype), np.frombuffer(gaps.as_buffer(), f"u{width.as_py()}")
+            first, count = start.as_py(), count + len(values)
+            if len(steps):
+                out[np.concatenate([[first], first + np.cumsum(steps, dtype=np.int64)])] = values
+            else:
+                out[first : first + len(values)] = values
+    if count != x.size:
+        raise RuntimeError(f"{count} elements for shape {shape}")
+    return out.reshape(shape)
+
+
+def _flat(value, dtype) -> np.ndarray:
+    """The elements of an Arrow column."""
+    if dtype.kind == "c":
+        value = np.asarray(value.field(0)) + 1j * np.asarray(value.field(1))
+    elif dtype.name == "uint64":
+        value = np.array([int(v) for v in value.to_pylist()], np.uint64)
+    else:
+        value = value.to_numpy(zero_copy_only=False)
+    return value.astype(dtype)
+
+
 def to_numpy(x: Array) -> np.ndarray:
     if core._guard["raise"]:
         raise RuntimeError("an array was computed where that isn't allowed")
+    if x.ndim and x.size >= PACKED_ELEMENTS:
+        return _packed(x)
     table = x.cells().toArrow()
     out = np.zeros(x.shape, x.dtype)
-    value = table.column("v").combine_chunks()
-    if x.dtype.kind == "c":
-        flat = np.asarray(value.field(0)) + 1j * np.asarray(value.field(1))
-    elif x.dtype.name == "uint64":
-        flat = np.array([int(v) for v in value.to_pylist()], np.uint64)
-    else:
-        flat = value.to_numpy(zero_copy_only=False)
+    flat = _flat(table.column("v").combine_chunks(), x.dtype)
     if len(flat) != x.size:
         raise RuntimeError(f"{len(flat)} elements for shape {x.shape}")
     at = tuple(table.column(f"d{i}").to_numpy() for i in range(x.ndim))
     if x.ndim:
-        out[at] = flat.astype(x.dtype)
+        out[at] = flat
     else:
-        out[()] = flat.astype(x.dtype)[0]
+        out[()] = flat[0]
     return out
 
 
